@@ -66,19 +66,18 @@ def synthetic_rows(
     rare = cut_lineage(rare.where(is_finite(F.col("features"))))
     whole = int(rate)
     last = _last_copy(rare, rate, seed)
+    blocking = {"block_rows": block_rows, "max_pivots": max_pivots}
     if whole:
-        lists = neighbour_lists(rare, k, block_rows=block_rows, max_pivots=max_pivots)
+        # kept: several readers follow, and the search is the costly part
+        lists = cut_lineage(neighbour_lists(rare, k, **blocking))
         copies = replicate(lists, whole)
         if last is not None:
-            lists = cut_lineage(lists)
             extra = lists.join(last, "id", "left_semi").withColumn("copy", F.lit(whole + 1))
-            copies = replicate(lists, whole).unionByName(extra)
+            copies = copies.unionByName(extra)
     else:
         marked = rare.join(last.withColumn("_seed", F.lit(True)), "id", "left")
-        lists = neighbour_lists(
-            marked, k, seed=F.col("_seed"), block_rows=block_rows, max_pivots=max_pivots
-        )
-        copies = lists.withColumn("copy", F.lit(1))
+        lists = neighbour_lists(marked, k, seed=F.col("_seed"), **blocking)
+        copies = cut_lineage(lists).withColumn("copy", F.lit(1))
     picked = pick_neighbours(copies, "id", seed)
     moved = _interpolate(picked, rare, _MOVES[mode], seed)
     kinds = {f.name: f.dataType for f in df.schema.fields}
