@@ -53,6 +53,7 @@ def stamped(df: DataFrame, incoming: Column | None = None) -> DataFrame:
     )
 
 
-def predictions_only(df: DataFrame) -> DataFrame:
+def predictions_only(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The seven columns of a prediction row, with their types."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PREDICTIONS])
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in PREDICTIONS]
+    return df.select(*typed, *keep)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +10,16 @@ from pyspark.sql import functions as F
 
 from raremill.functions.hashing import hash_uniform, keyed_uuid
 from raremill.functions.times import run_stamp
-from raremill.functions.vectors import feature_array
 from raremill.operators import knn, metrics, projection, sampling
 from raremill.operators import smote as oversampling
 from raremill.operators.throughput import throughput
-from raremill.plans import oracle
-from raremill.schema import AMOUNT, ID, LABEL, SECONDS, feature_cols, txn_schema
-from raremill.sources import delimited
-from raremill.sources.tables import table, transactions
+from raremill.plans import oracle, tuning
+from raremill.schema import AMOUNT, ID, LABEL, feature_cols, txn_schema
+from raremill.session import cut_lineage, shared_folder
+from raremill.sinks import publish
+from raremill.sources import delimited, messages
+from raremill.sources.tables import stream_table, table, transactions
+from raremill.streaming import scoring, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -307,9 +310,7 @@ def _rounded(areas: DataFrame) -> DataFrame:
 @query(oracle.sampling_grid(SAMPLING))
 def sampling_grid(spark, folder):
     """Class sizes each (over, under) setting of a sweep would train on."""
-    from raremill.plans.tuning import sampling_pairs
-
-    pairs = sampling_pairs([o for o, _ in SAMPLING], [u for _, u in SAMPLING])
+    pairs = tuning.sampling_pairs([o for o, _ in SAMPLING], [u for _, u in SAMPLING])
     txn = transactions(spark, folder)
     u = hash_uniform("under", 1, F.col(ID))
     sizes = []
@@ -345,3 +346,108 @@ def best_config(spark, folder):
 @query(oracle.THROUGHPUT)
 def throughput_5s(spark, folder):
     return throughput(table(spark, folder, "events").select("ts"), "ts")
+
+
+# --- messages and streams -----------------------------------------------------
+
+
+def _run_folder(spark: SparkSession) -> str:
+    """A new folder in shared storage for what one run of a stream writes."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+
+
+@query(oracle.publish(2))
+def keyed_publish_rows(spark, folder):
+    sends = publish.keyed_sends(transactions(spark, folder), cycles=2)
+    return sends.select("uuid", "id", "cycle", AMOUNT, LABEL)
+
+
+@query(oracle.round_trip())
+def message_round_trip(spark, folder):
+    sent = publish.messages(publish.keyed_sends(transactions(spark, folder)), with_seconds=True)
+    return scoring.decode_messages(sent, with_seconds=True)
+
+
+@query()
+def send_log(spark, folder):
+    sent = publish.messages(publish.keyed_sends(transactions(spark, folder)))
+    return publish.send_log(sent)
+
+
+@query(oracle.round_trip())
+def stream_decoded(spark, folder):
+    """Publish the transactions as messages, then decode them as a stream."""
+    run = _run_folder(spark)
+    sent = publish.messages(publish.keyed_sends(transactions(spark, folder)), with_seconds=True)
+    publish.to_files(sent, f"{run}/messages")
+    rows = scoring.decode_messages(messages.file_messages(spark, f"{run}/messages"), True)
+    writer = rows.writeStream.format("parquet").option("path", f"{run}/rows")
+    writer = writer.option("checkpointLocation", f"{run}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{run}/rows")
+
+
+@query(oracle.STREAM_THROUGHPUT)
+def stream_throughput_5s(spark, folder):
+    """Windows a watermark without lateness has closed by the end of the stream."""
+    run = _run_folder(spark)
+    events = stream_table(spark, folder, "events")
+    stamped = events.select(F.col("ts").cast("timestamp").alias("ts"))
+    windows.throughput_stream(
+        stamped, "ts", f"{run}/windows", f"{run}/checkpoint", lateness="0 seconds", available_now=True
+    ).awaitTermination()
+    stored = "window_start timestamp, n bigint, tps bigint, rate double"
+    out = spark.read.schema(stored).parquet(f"{run}/windows")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# --- models -------------------------------------------------------------------
+
+
+def _forest(train: DataFrame):
+    stages, forest = tuning.forest_stages(train)
+    forest.setNumTrees(10).setMaxDepth(5)
+    return stages.fit(train)
+
+
+def _fitted(spark: SparkSession, folder: str):
+    train, test = sampling.train_test_split(transactions(spark, folder), 0.7, ID)
+    ready = tuning.assemble(tuning.rebalance(train, 3, 0.3)).select(LABEL, "features")
+    return _forest(cut_lineage(ready)), test
+
+
+@query()
+def forest_scores(spark, folder):
+    """Held-out transactions scored by a forest trained on the rebalanced rest."""
+    model, test = _fitted(spark, folder)
+    scored = model.transform(tuning.assemble(test))
+    return scored.select(F.col(ID).alias("id"), "label", "prediction", "predictedLabel")
+
+
+@query()
+def score_stamped(spark, folder):
+    """The same as prediction rows with their arrival and prediction times."""
+    model, test = _fitted(spark, folder)
+    sends = publish.keyed_sends(test)
+    return scoring.score(sends, model)
+
+
+@query()
+def stream_scored(spark, folder):
+    """Held-out transactions published as messages and scored as a stream."""
+    run = _run_folder(spark)
+    model, test = _fitted(spark, folder)
+    publish.to_files(publish.messages(publish.keyed_sends(test)), f"{run}/messages")
+    rows = scoring.decode_messages(messages.file_messages(spark, f"{run}/messages"))
+    scoring.score_stream(
+        rows, model, f"{run}/predictions", f"{run}/checkpoint", available_now=True
+    ).awaitTermination()
+    return delimited.read_predictions(spark, f"{run}/predictions")
+
+
+@query()
+def cv_sweep(spark, folder):
+    """Report of a sweep over two sampling settings and two forests."""
+    grid = tuning.ForestGrid(num_trees=[5, 10], max_depth=[5], impurity=["entropy"])
+    found = tuning.sweep(transactions(spark, folder), [2, 4], [0.3, 0.1], grid, parallelism=4)
+    return found.report

@@ -2,9 +2,250 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 
-def sampling_pairs(
-    over: list[int], under: list[float]
-) -> list[tuple[int, float]]:
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from raremill.functions.times import run_stamp
+from raremill.operators.metrics import evaluation
+from raremill.operators.projection import label_indexer, label_names
+from raremill.operators.sampling import train_test_split, undersample
+from raremill.operators.smote import smote
+from raremill.schema import ID, LABEL, METRIC_NAMES, TUNING_LOG, feature_cols
+from raremill.session import cut_lineage
+from raremill.sinks.files import append_log, save_model, write_table
+
+# older logs hold the false-positive rate under the name "specificity"; reports carry
+# both, each under its proper name
+REPORT = T.StructType([*TUNING_LOG.fields, T.StructField("fpr", T.DoubleType())])
+
+SUBMODELS = T.StructType(
+    [
+        T.StructField("executionTime", T.StringType()),
+        T.StructField("undersampling", T.DoubleType()),
+        T.StructField("oversampling", T.LongType()),
+        T.StructField("params", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("metric", T.DoubleType()),
+    ]
+)
+
+
+@dataclass(frozen=True)
+class ForestGrid:
+    """Values to try for each random-forest parameter."""
+
+    num_trees: list[int]
+    max_depth: list[int]
+    impurity: list[str] = field(default_factory=lambda: ["gini"])
+    min_instances: list[int] = field(default_factory=list)
+    subset: list[str] = field(default_factory=lambda: ["auto"])
+    max_bins: list[int] = field(default_factory=lambda: [32])
+
+    def __len__(self) -> int:
+        size = len(self.num_trees) * len(self.max_depth) * len(self.impurity)
+        return size * len(self.subset) * len(self.max_bins) * max(1, len(self.min_instances))
+
+    def param_maps(self, forest: RandomForestClassifier) -> list[dict]:
+        grid = ParamGridBuilder()
+        grid.addGrid(forest.maxBins, self.max_bins)
+        grid.addGrid(forest.featureSubsetStrategy, self.subset)
+        grid.addGrid(forest.impurity, self.impurity)
+        grid.addGrid(forest.maxDepth, self.max_depth)
+        grid.addGrid(forest.numTrees, self.num_trees)
+        if self.min_instances:
+            grid.addGrid(forest.minInstancesPerNode, self.min_instances)
+        return grid.build()
+
+
+@dataclass(frozen=True)
+class Setting:
+    """What one sampling setting achieved."""
+
+    over: float
+    under: float
+    metric: float
+    model: CrossValidatorModel
+
+
+@dataclass(frozen=True)
+class Sweep:
+    best: Setting
+    settings: list[Setting]
+    submodels: DataFrame
+    report: DataFrame
+    predictions: DataFrame
+
+
+def sampling_pairs(over: list[float], under: list[float]) -> list[tuple[float, float]]:
     """Settings tried together: pairs by position, as long as the shorter list."""
     return list(zip(over, under))
+
+
+def assemble(df: DataFrame, with_seconds: bool = False) -> DataFrame:
+    return VectorAssembler(inputCols=feature_cols(with_seconds), outputCol="features").transform(df)
+
+
+def forest_stages(
+    train: DataFrame, label: str = LABEL, seed: int = 11, max_memory_mb: int | None = None
+) -> tuple[Pipeline, RandomForestClassifier]:
+    """Label index, forest, and the index turned back into the label."""
+    indexer = label_indexer(label).fit(train)
+    forest = RandomForestClassifier(seed=seed)
+    if max_memory_mb:
+        forest.setMaxMemoryInMB(max_memory_mb)
+    return Pipeline(stages=[indexer, forest, label_names(list(indexer.labels))]), forest
+
+
+def cross_validate(
+    train: DataFrame,
+    grid: ForestGrid,
+    label: str = LABEL,
+    folds: int = 5,
+    parallelism: int = 4,
+    seed: int = 11,
+    score: str = "prediction",
+    max_memory_mb: int | None = None,
+) -> CrossValidatorModel:
+    """Best forest of the grid by area under the PR curve. ``score`` is the hard
+    prediction by default; ``rawPrediction`` uses the whole curve."""
+    stages, forest = forest_stages(train, label, seed, max_memory_mb)
+    evaluator = BinaryClassificationEvaluator(
+        metricName="areaUnderPR", labelCol="label", rawPredictionCol=score, numBins=0
+    )
+    search = CrossValidator(
+        estimator=stages,
+        estimatorParamMaps=grid.param_maps(forest),
+        evaluator=evaluator,
+        numFolds=folds,
+        parallelism=parallelism,
+        seed=seed,
+    )
+    return search.fit(train)
+
+
+def rebalance(
+    train: DataFrame,
+    over: float,
+    under: float,
+    with_seconds: bool = False,
+    key: str = ID,
+    label: str = LABEL,
+    k: int = 5,
+    seed: int = 11,
+) -> DataFrame:
+    """Undersample the majority, then oversample the minority."""
+    kept = undersample(train, under, label, key, seed)
+    return smote(kept, feature_cols(with_seconds), label, key, over, k, seed)
+
+
+def sweep(
+    df: DataFrame,
+    over: list[float],
+    under: list[float],
+    grid: ForestGrid,
+    train_share: float = 0.7,
+    with_seconds: bool = False,
+    key: str = ID,
+    label: str = LABEL,
+    k: int = 5,
+    folds: int = 5,
+    parallelism: int = 4,
+    seed: int = 11,
+    score: str = "prediction",
+    max_memory_mb: int | None = None,
+    log_folder: str | None = None,
+    model_path: str | None = None,
+) -> Sweep:
+    """Try every sampling setting, keep the one whose best forest has the largest
+    metric (the earlier of equals), and evaluate it on the held-out share.
+
+    With ``log_folder`` the test partition, the per-parameter results and the
+    report are written there; with ``model_path`` the chosen model too.
+    """
+    spark = df.sparkSession
+    started = spark.range(1).select(run_stamp(F.current_timestamp())).first()[0]
+    pairs = sampling_pairs(over, under)
+    if not pairs:
+        raise ValueError("no sampling settings")
+    train, test = train_test_split(df, train_share, key, seed)
+    train, test = cut_lineage(train), cut_lineage(test)
+    settings, rows = [], []
+    for o, u in pairs:
+        ready = cut_lineage(
+            assemble(rebalance(train, o, u, with_seconds, key, label, k, seed), with_seconds).select(
+                label, "features"
+            )
+        )
+        model = cross_validate(
+            ready, grid, label, folds, parallelism, seed, score, max_memory_mb
+        )
+        maps = zip(model.getEstimatorParamMaps(), model.avgMetrics)
+        rows += [
+            (started, float(u), int(o), {p.name: str(v) for p, v in params.items()}, float(metric))
+            for params, metric in maps
+        ]
+        settings.append(Setting(o, u, float(max(model.avgMetrics)), model))
+    # max keeps the first of equals
+    best = max(settings, key=lambda s: s.metric)
+    submodels = spark.createDataFrame(rows, SUBMODELS)
+    predictions = cut_lineage(
+        best.model.transform(assemble(test, with_seconds)).select(
+            F.col(key).alias("id"),
+            "prediction",
+            F.col("predictedLabel").cast("double").alias("predictedLabel"),
+            F.col("label"),
+        )
+    )
+    report = _report(predictions, best, started, parallelism, over, under, grid, max_memory_mb, k)
+    if log_folder:
+        write_table(test, f"{log_folder}/test_partition")
+        append_log(submodels, f"{log_folder}/submodel_log")
+        append_log(report, f"{log_folder}/tuning_log")
+    if model_path:
+        save_model(best.model, model_path)
+    return Sweep(best, settings, submodels, report, predictions)
+
+
+def best_forest_params(model: CrossValidatorModel) -> dict:
+    """The winning forest's parameters by name."""
+    forest = model.bestModel.stages[1]
+    return {p.name: v for p, v in forest.extractParamMap().items()}
+
+
+def _report(predictions, best, started, workers, over, under, grid, max_memory_mb, k) -> DataFrame:
+    params = best_forest_params(best.model)
+    listed = [over, under, grid.num_trees, grid.max_depth, grid.impurity, grid.min_instances]
+    listed += [grid.subset, grid.max_bins]
+    given = [";".join(str(v) for v in values) for values in listed]
+    given += [str(-1 if max_memory_mb is None else max_memory_mb), None, str(k)]
+    known = {
+        "executionTime": started,
+        "numWorkerNodes": workers,
+        "undersampling": float(best.under),
+        "oversampling": int(best.over),
+        **{
+            n: params[n]
+            for n in (
+                "numTrees", "maxDepth", "maxBins", "impurity", "featureSubsetStrategy",
+                "minInstancesPerNode",
+            )
+        },
+        "areaunderPRCV": float(best.metric),
+        **dict(zip([n for n in TUNING_LOG.names if n.startswith("param")], given, strict=True)),
+    }
+    measured = evaluation(predictions, "predictedLabel", "label", "prediction")
+    return measured.select(
+        *[
+            (F.col(f.name) if f.name in [*METRIC_NAMES, "fpr"] else F.lit(known[f.name]))
+            .cast(f.dataType)
+            .alias(f.name)
+            for f in REPORT
+        ]
+    )

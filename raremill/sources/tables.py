@@ -13,6 +13,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same as a stream. The stream source takes a single file only through a
+    glob; this one matches a file or a directory of that name."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}.parquet")
+
+
 def transactions(spark: SparkSession, folder: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Labelled transactions: an event joined to the vector its id selects.
 
