@@ -31,24 +31,28 @@ def block_neighbours(seeds, seed_ids, limits, data, data_ids, k):
     moved = data - centre
     data_sq = np.einsum("ij,ij->i", moved, moved)
     top = data_sq.max(initial=0.0)
+    # one product gives |x|^2 - 2 s.x, the squared distance less the seed's own norm
+    spread = np.vstack([-2.0 * moved.T, data_sq])
     out = []
     for start in range(0, len(seeds), _CHUNK):
         part = seeds[start : start + _CHUNK]
-        ids = seed_ids[start : start + _CHUNK]
         limit = limits[start : start + _CHUNK]
         near = part - centre
         near_sq = np.einsum("ij,ij->i", near, near)
         with np.errstate(all="ignore"):
-            rough = near_sq[:, None] + data_sq[None, :] - 2.0 * (near @ moved.T)
+            rough = np.hstack([near, np.ones((len(near), 1))]) @ spread
             room = 1e-13 * data.shape[1] * (near_sq + top)
-            own = ids[:, None] == data_ids[None, :]
-            rough[own] = np.inf
-            bound = limit * limit * (1 + 1e-9) + room
-            if data.shape[0] > k:
-                kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
-                bound = np.minimum(bound, kth + 2 * room)
+            bound = limit * limit * (1 + 1e-9) + room - near_sq
             # "not greater" also keeps pairs whose rough distance overflowed
-            rows, cols = np.nonzero(~(rough > bound[:, None]) & ~own)
+            maybe = ~(rough > bound[:, None])
+            crowded = np.flatnonzero(np.count_nonzero(maybe, axis=1) > 4 * (k + 1))
+            if len(crowded):
+                # the k-th best other row is no farther than the (k+1)-th of all
+                kth = np.partition(rough[crowded], k, axis=1)[:, k] + 2 * room[crowded]
+                maybe[crowded] &= ~(rough[crowded] > kth[:, None])
+        rows, cols = np.nonzero(maybe)
+        other = seed_ids[start + rows] != data_ids[cols]
+        rows, cols = rows[other], cols[other]
         dist = exact_distances(part, data, rows, cols)
         keep = dist <= limit[rows]
         rows, cols, dist = rows[keep], cols[keep], dist[keep]
@@ -86,7 +90,11 @@ def reachable_cells(seeds, limits, pivots, inner, outer):
     triangle inequality any of them is at least max(d - outer, inner - d) away
     from a seed at distance d from that pivot.
     """
-    d = rough_distances(seeds, pivots)
-    room = distance_room(seeds, pivots)[:, None]
-    least = np.maximum(d - outer[None, :], inner[None, :] - d) - room
-    return ~(least > limits[:, None])
+    out = np.zeros((len(seeds), len(pivots)), bool)
+    for start in range(0, len(seeds), _CHUNK):
+        part = seeds[start : start + _CHUNK]
+        d = rough_distances(part, pivots)
+        room = distance_room(part, pivots)[:, None]
+        least = np.maximum(d - outer[None, :], inner[None, :] - d) - room
+        out[start : start + _CHUNK] = ~(least > limits[start : start + _CHUNK, None])
+    return out

@@ -32,7 +32,7 @@ from raremill.functions.vectors import is_finite
 from raremill.session import cut_lineage
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 2048
 
 
 def knn_join(
@@ -80,13 +80,16 @@ def neighbour_lists(
         F.col(features_col).alias("features"),
         (F.lit(True) if seed is None else F.coalesce(seed, F.lit(False))).alias("is_seed"),
     ).where(is_finite(F.col("features")))
-    keys = ["features"] if seed is None else ["features", "is_seed"]
-    vectors = cut_lineage(_fold_copies(rows, k, keys))
+    # the hash leads every sort and join on vectors: comparing arrays is slow
+    rows = rows.withColumn("h", F.xxhash64("features"))
+    vectors = cut_lineage(_fold_copies(rows, k, every_row=seed is None))
     others = _vector_neighbours(vectors, k, block_rows, max_pivots)
 
-    group = vectors.where("is_seed").select("features", "vid", "ids")
-    seeds = rows.where("is_seed").select("id", "features").join(group, "features")
-    listed = seeds.join(others, "vid", "left")
+    # lists are completed per vector; rows join them once, and a hot group of copies
+    # is then one key with a single row on the other side, which AQE can split
+    seeking = vectors.where("is_seed").select("h", "features", "vid", "ids")
+    group = seeking.join(others, "vid", "left").drop("vid")
+    listed = rows.where("is_seed").select("h", "features", "id").join(group, ["h", "features"])
     copies = F.transform(
         F.filter("ids", lambda i: i != F.col("id")),
         lambda i: F.struct(F.lit(0.0).alias("dist"), i.alias("id"), F.lit(True).alias("copy")),
@@ -101,16 +104,25 @@ def neighbour_lists(
     )
 
 
-def _fold_copies(rows: DataFrame, k: int, keys: list[str]) -> DataFrame:
+def _fold_copies(rows: DataFrame, k: int, every_row: bool) -> DataFrame:
     """One row per distinct vector: vid (its smallest id), its k+1 smallest ids, and
-    whether any of its rows is a seed."""
-    order = Window.partitionBy(*keys).orderBy("id")
-    least = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
-    ids = F.slice(F.array_sort(F.collect_list("id")), 1, k + 1)
+    whether any of its rows is a seed. Both windows share one shuffle when every
+    row is a seed."""
+    vector = ["h", "features"]
+    limit = Window.partitionBy(*vector, *([] if every_row else ["is_seed"])).orderBy("id")
+    least = rows.withColumn("_n", F.row_number().over(limit)).where(F.col("_n") <= k + 1)
+    members = Window.partitionBy(*vector).orderBy("id")
+    seen = members.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        least.groupBy("features")
-        .agg(ids.alias("ids"), F.max("is_seed").alias("is_seed"))
-        .select(F.col("ids")[0].alias("vid"), "ids", "features", "is_seed")
+        least.select(
+            F.col("id").alias("vid"),
+            F.collect_list("id").over(members.rowsBetween(0, k)).alias("ids"),
+            *vector,
+            F.max("is_seed").over(seen).alias("is_seed"),
+            F.row_number().over(members).alias("_n"),
+        )
+        .where(F.col("_n") == 1)
+        .drop("_n")
     )
 
 
@@ -132,15 +144,17 @@ def _vector_neighbours(
         )
         meetings = block.select(seeds.alias("seeds"), "rows")
     else:
-        cells = min(max_pivots, math.ceil(n / block_rows))
+        # cells smaller than a block prune better; only crowded ones are sliced
+        cells = min(max_pivots, math.ceil(4 * n / block_rows))
         pivots = _choose_pivots(vectors, cells)
         placed = _place(vectors, pivots)
         summary = _cell_summary(placed, block_rows)
         slices = F.broadcast(summary.select("cell", "slices"))
         own = F.pmod(F.xxhash64("vid"), F.col("slices")).cast("int")
-        blocks = _pack(placed.join(slices, "cell").withColumn("slice", own))
+        blocks = cut_lineage(_pack(placed.join(slices, "cell", "left").withColumn("slice", own)))
         requests = _requests(blocks, pivots, summary, k)
-        meetings = requests.join(blocks, ["cell", "slice"]).select("seeds", "rows")
+        # requests can outgrow any estimate made before they exist: never broadcast them
+        meetings = requests.hint("merge").join(blocks, ["cell", "slice"]).select("seeds", "rows")
     return _merge(_probe(meetings, k), k)
 
 

@@ -61,12 +61,13 @@ def strict_rows(
     """
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     options = {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    parsed = df.select(*keep, F.from_csv(line, f"{ddl}, `_bad` string", options).alias("_row"))
-    fits = F.col("_row._bad").isNull()
+    # a generator keeps each line parsed once: a filter is not pushed through it
+    parsed = df.select(*keep, F.inline(F.array(F.from_csv(line, f"{ddl}, `_bad` string", options))))
+    fits = F.col("_bad").isNull()
     for f in schema:
         if not f.nullable:
-            fits = fits & F.col(f"_row.{f.name}").isNotNull()
-    return parsed.where(fits).select(*keep, *[f"_row.{name}" for name in schema.names])
+            fits = fits & F.col(f.name).isNotNull()
+    return parsed.where(fits).select(*keep, *schema.names)
 
 
 def lenient_rows(

@@ -84,3 +84,9 @@ def test_large_values_close_together(spark):
 def test_rows_without_a_distance_take_no_part(spark):
     rows = [(0, [0.0]), (1, [1.0]), (2, None), (3, [None]), (4, [float("nan")]), (5, [float("inf")])]
     assert run(spark, rows, 3) == {0: [(1.0, 1)], 1: [(1.0, 0)]}
+
+
+def test_signed_zeros_are_the_same_value(spark):
+    rows = [(3, [0.0, 1.0]), (1, [-0.0, 1.0]), (2, [0.0, 1.0]), (4, [0.0, -0.0]), (5, [-0.0, 0.0])]
+    assert run(spark, rows, 2) == brute(rows, 2)
+    assert run(spark, rows, 2, block_rows=1) == brute(rows, 2)
