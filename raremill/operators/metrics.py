@@ -32,6 +32,22 @@ def confusion_by(
     return df.groupBy(*by).agg(*_cells(F.col(label), F.col(predicted)).values())
 
 
+def confusion_of_each(
+    df: DataFrame, predictions: dict[float, Column], name: str, label: str = "label"
+) -> DataFrame:
+    """Counts of several predictions over the same rows in one pass: a row
+    (ordinal, name, tn, fp, fn, tp) for each."""
+    rows = [
+        F.struct(
+            F.lit(i).alias("ordinal"),
+            F.lit(value).alias(name),
+            *_cells(F.col(label), predicted).values(),
+        )
+        for i, (value, predicted) in enumerate(predictions.items())
+    ]
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
 def with_ratios(counts: DataFrame) -> DataFrame:
     """Add accuracy, precision, sensitivity, true specificity and the false-positive
     rate to confusion counts; null where the denominator is zero."""

@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raremill.functions.hashing import hash_bits, hash_uniform
-from raremill.session import cut_lineage
+
+
+def in_training(train_share: float, key: str, seed: int = 11) -> Column:
+    """Whether a row belongs to the training share."""
+    return hash_uniform("split", seed, F.col(key)) < train_share
 
 
 def train_test_split(
     df: DataFrame, train_share: float, key: str, seed: int = 11
 ) -> tuple[DataFrame, DataFrame]:
     """Two disjoint filters over ``df``; no shuffle, no order dependence."""
-    u = hash_uniform("split", seed, F.col(key))
-    return df.where(u < train_share), df.where(u >= train_share)
+    inside = in_training(train_share, key, seed)
+    return df.where(inside), df.where(~inside)
 
 
 def fold_column(key: str, folds: int, seed: int = 11) -> Column:
@@ -27,59 +31,79 @@ def undersample(
 ) -> DataFrame:
     """Keep every positive and a Bernoulli share of the negatives.
 
-    A ratio of 0 or 1 leaves the data as it is. One filter on one scan: the
-    label test can be pushed to the source.
+    A ratio of 0 or 1 leaves the data as it is. One filter on one scan; the class
+    test reaches the source, which can skip rows of neither class.
     """
     if ratio in (0.0, 1.0):
         return df
     kept = hash_uniform("under", seed, F.col(key)) < ratio
-    return df.where((F.col(label) == 1) | ((F.col(label) == 0) & kept))
+    return df.where(F.col(label).isin(0, 1) & ((F.col(label) == 1) | kept))
 
 
 def replicate(df: DataFrame, copies: int, copy_col: str = "copy") -> DataFrame:
     """``copies`` numbered copies of each row (1-based)."""
-    numbers = F.sequence(F.lit(1), F.lit(copies)) if copies > 0 else F.array().cast("array<int>")
-    return df.withColumn(copy_col, F.explode(numbers))
+    if copies < 1:
+        raise ValueError("copies must be at least 1")
+    return df.withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.lit(copies))))
 
 
-def hash_ranked(df: DataFrame, size: int, key: str, purpose: str, seed: int = 1) -> DataFrame:
-    """Exactly ``size`` rows (or all, if fewer): those with the smallest hash.
+def among_first(df: DataFrame, size: int, key: str, purpose: str, seed: int = 1) -> Column:
+    """A condition true for exactly ``size`` rows of ``df`` (all, if it has fewer):
+    those with the smallest (hash, key). ``key`` must be unique.
 
-    Ranks are not computed over one global order. Rows are counted per hash
-    bucket; buckets below the cut are taken whole and only the bucket on the cut
-    is ranked, so no task sorts more than about n / 16384 rows.
+    The condition compares with the size-th smallest pair, so using it is a plain
+    filter. That pair is found without a global order: rows are counted per hash
+    bucket, and only the bucket that holds it, about n / 16384 rows, is ranked.
     """
+    if size <= 0:
+        return F.lit(False)
     bits = hash_bits(purpose, seed, F.col(key))
-    hashed = df.withColumn("_bits", bits).withColumn(
-        "_bucket", F.shiftright(F.col("_bits"), 18).cast("int")
+    hashed = df.select(bits.alias("bits"), F.col(key).alias("key")).withColumn(
+        "bucket", F.shiftright(F.col("bits"), 18)
     )
-    counts = hashed.groupBy("_bucket").count()
-    below = F.sum("count").over(Window.orderBy("_bucket")) - F.col("count")
-    marked = counts.select("_bucket", below.alias("_below"), F.col("count").alias("_count"))
-    reached = F.broadcast(marked.where(F.col("_below") < size))
-    placed = hashed.join(reached, "_bucket")
-    whole = placed.where(F.col("_below") + F.col("_count") <= size)
-    order = Window.partitionBy("_bucket").orderBy("_bits", key)
-    cut = (
-        placed.where(F.col("_below") + F.col("_count") > size)
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_below") + F.col("_rank") <= size)
+    counts = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    # at most 16384 rows: a window over all of them is small
+    up_to = F.sum("n").over(Window.orderBy("bucket"))
+    holds = counts.select("bucket", "n", up_to.alias("up_to")).where(
+        (F.col("up_to") >= size) & (F.col("up_to") - F.col("n") < size)
     )
-    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("bits", "key"))
+    last = (
+        hashed.join(F.broadcast(holds), "bucket")
+        .withColumn("rank", F.col("up_to") - F.col("n") + rank)
+        .where(F.col("rank") == size)
+        .select(F.struct("bits", "key"))
+    )
+    pair = F.struct(bits.alias("bits"), F.col(key).alias("key"))
+    return F.coalesce(pair <= last.scalar(), F.lit(True))
 
 
-def sample_copies(df: DataFrame, rate: float, key: str, seed: int = 1) -> DataFrame:
-    """``round(n * rate)`` rows: each row ``floor(rate)`` times, and one more copy
-    for a hash-ranked share. The copy number is in ``copy``."""
+def hash_ranked(df: DataFrame, size: int, key: str, purpose: str, seed: int = 1) -> DataFrame:
+    """Exactly ``size`` rows (or all, if fewer), without replacement."""
+    return df.where(among_first(df, size, key, purpose, seed))
+
+
+def extra_copy(df: DataFrame, rate: float, key: str, seed: int = 1) -> Column:
+    """Which rows get one copy more than ``floor(rate)`` so that there are
+    ``round(n * rate)`` copies altogether."""
     whole = int(rate)
-    base = replicate(df, whole)
     if rate == whole:
-        return base
-    df = cut_lineage(df)
+        return F.lit(False)
     n = df.count()
-    extra = round_half_up(n * rate) - n * whole
-    last = hash_ranked(df, extra, key, "extra", seed).withColumn("copy", F.lit(whole + 1))
-    return replicate(df, whole).unionByName(last) if whole else last
+    return among_first(df, round_half_up(n * rate) - n * whole, key, "extra", seed)
+
+
+def sample_copies(df: DataFrame, rate: float, key: str, seed: int = 1) -> DataFrame:
+    """``round(n * rate)`` rows: each row ``floor(rate)`` times, and one more copy
+    for a hash-ranked share. The copy number is in ``copy``."""
+    return with_copies(df, int(rate), extra_copy(df, rate, key, seed))
+
+
+def with_copies(df: DataFrame, whole: int, extra: Column) -> DataFrame:
+    copies = F.lit(whole) + F.coalesce(extra, F.lit(False)).cast("int")
+    counted = df.withColumn("_copies", copies).where(F.col("_copies") > 0)
+    numbers = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    return counted.withColumn("copy", numbers).drop("_copies")
 
 
 def round_half_up(x: float) -> int:

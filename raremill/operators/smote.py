@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from raremill.functions.hashing import hash_bits, hash_uniform
 from raremill.functions.vectors import feature_array, is_finite, move_along, move_away
 from raremill.operators.knn import BLOCK_ROWS, MAX_PIVOTS, neighbour_lists
-from raremill.operators.sampling import hash_ranked, replicate, round_half_up
+from raremill.operators.sampling import extra_copy, with_copies
 from raremill.session import cut_lineage
 
 _MOVES = {"interpolate": move_along, "extrapolate": move_away}
@@ -64,20 +64,12 @@ def synthetic_rows(
         F.col(key).cast("long").alias("id"), feature_array(features).alias("features")
     )
     rare = cut_lineage(rare.where(is_finite(F.col("features"))))
-    whole = int(rate)
-    last = _last_copy(rare, rate, seed)
-    blocking = {"block_rows": block_rows, "max_pivots": max_pivots}
-    if whole:
-        # kept: several readers follow, and the search is the costly part
-        lists = cut_lineage(neighbour_lists(rare, k, **blocking))
-        copies = replicate(lists, whole)
-        if last is not None:
-            extra = lists.join(last, "id", "left_semi").withColumn("copy", F.lit(whole + 1))
-            copies = copies.unionByName(extra)
-    else:
-        marked = rare.join(last.withColumn("_seed", F.lit(True)), "id", "left")
-        lists = neighbour_lists(marked, k, seed=F.col("_seed"), **blocking)
-        copies = cut_lineage(lists).withColumn("copy", F.lit(1))
+    whole, extra = int(rate), extra_copy(rare, rate, "id", seed)
+    lists = neighbour_lists(
+        rare, k, seed=None if whole else extra, block_rows=block_rows, max_pivots=max_pivots
+    )
+    # kept: two readers follow, and the search is the costly part
+    copies = with_copies(cut_lineage(lists), whole, extra)
     picked = pick_neighbours(copies, "id", seed)
     moved = _interpolate(picked, rare, _MOVES[mode], seed)
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -93,17 +85,6 @@ def synthetic_rows(
     )
 
 
-def _last_copy(rare: DataFrame, rate: float, seed: int) -> DataFrame | None:
-    """Ids of the rows that get one copy more than ``floor(rate)``."""
-    whole = int(rate)
-    if rate == whole and whole > 0:
-        return None
-    n = rare.count()
-    return hash_ranked(
-        rare.select("id"), round_half_up(n * rate) - n * whole, "id", "extra", seed
-    )
-
-
 def _interpolate(picked: DataFrame, rare: DataFrame, move, seed: int) -> DataFrame:
     """Fetch the picked neighbour's features by key and move the seed.
 

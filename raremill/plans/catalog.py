@@ -167,9 +167,8 @@ def class_split_counts(spark, folder):
 
 @query(oracle.TRAIN_TEST_SPLIT)
 def train_test_split(spark, folder):
-    train, test = sampling.train_test_split(transactions(spark, folder), 0.7, ID)
-    parts = [d.select(ID, LABEL, F.lit(p).alias("part")) for d, p in ((train, "train"), (test, "test"))]
-    return parts[0].unionByName(parts[1])
+    part = F.when(sampling.in_training(0.7, ID), "train").otherwise("test")
+    return transactions(spark, folder).select(ID, LABEL, part.alias("part"))
 
 
 @query(oracle.FOLDS)
@@ -332,13 +331,8 @@ def sampling_grid(spark, folder):
 def best_config(spark, folder):
     """The rule threshold with the best accuracy; the first of equals."""
     scores = rule_scores(spark, folder)
-    tried = F.array(
-        *[F.struct(F.lit(i).alias("ordinal"), F.lit(t).alias("threshold")) for i, t in enumerate(THRESHOLDS)]
-    )
-    rows = scores.select("label", "score", F.inline(tried)).withColumn(
-        "prediction", (F.col("score") > F.col("threshold")).cast("double")
-    )
-    counts = metrics.confusion_by(rows, ["ordinal", "threshold"])
+    tried = {t: (F.col("score") > t).cast("double") for t in THRESHOLDS}
+    counts = metrics.confusion_of_each(scores, tried, "threshold")
     ratios = metrics.with_ratios(counts).select("ordinal", "threshold", "accuracy")
     return metrics.best_of(ratios, "accuracy", "ordinal")
 

@@ -175,7 +175,6 @@ def sweep(
     if not pairs:
         raise ValueError("no sampling settings")
     train, test = train_test_split(df, train_share, key, seed)
-    train, test = cut_lineage(train), cut_lineage(test)
     settings, rows = [], []
     for o, u in pairs:
         ready = cut_lineage(

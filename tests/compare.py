@@ -55,7 +55,7 @@ def run(spark, folder: str, names: list[str] | None = None) -> dict[str, str | N
             got = queries[name](spark, folder).toArrow()
             took = time.time() - start
             if name in sql:
-                want = con.execute(sql[name]).to_arrow_table()
+                want = con.sql(sql[name]).to_arrow_table()
                 out[name] = difference(got, want)
             else:
                 out[name] = None if got.num_rows else "no rows"
