@@ -146,7 +146,7 @@ def _vector_neighbours(
     else:
         # cells smaller than a block prune better; only crowded ones are sliced
         cells = min(max_pivots, math.ceil(4 * n / block_rows))
-        pivots = _choose_pivots(vectors, cells)
+        pivots = _choose_pivots(vectors, n, cells)
         placed = _place(vectors, pivots)
         summary = _cell_summary(placed, block_rows)
         slices = F.broadcast(summary.select("cell", "slices"))
@@ -158,10 +158,13 @@ def _vector_neighbours(
     return _merge(_probe(meetings, k), k)
 
 
-def _choose_pivots(vectors: DataFrame, cells: int) -> np.ndarray:
-    """A fixed-size hash sample; the only vectors that reach the driver."""
-    sample = vectors.orderBy(F.xxhash64("vid", F.lit(17)), "vid").limit(cells)
-    return np.array([row[0] for row in sample.select("features").collect()], dtype=np.float64)
+def _choose_pivots(vectors: DataFrame, n: int, cells: int) -> np.ndarray:
+    """A fixed-size hash sample; the only vectors that reach the driver. Rows that
+    cannot be among the smallest hashes are filtered out where they are read."""
+    place = F.pmod(F.xxhash64("vid", F.lit(17)), F.lit(n))
+    near = vectors.where(place < 4 * cells + 64)
+    sample = near.orderBy(place, "vid").limit(cells).select("features").collect()
+    return np.array([row.features for row in sample], dtype=np.float64)
 
 
 def _place(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:

@@ -63,7 +63,8 @@ def synthetic_rows(
     rare = df.where(F.col(label) == minority).select(
         F.col(key).cast("long").alias("id"), feature_array(features).alias("features")
     )
-    rare = cut_lineage(rare.where(is_finite(F.col("features"))))
+    # a wide scan leaves a few rare rows in each of very many partitions: gather them
+    rare = cut_lineage(rare.where(is_finite(F.col("features"))).hint("rebalance", "id"))
     whole, extra = int(rate), extra_copy(rare, rate, "id", seed)
     lists = neighbour_lists(
         rare, k, seed=None if whole else extra, block_rows=block_rows, max_pivots=max_pivots

@@ -177,11 +177,10 @@ def sweep(
     train, test = train_test_split(df, train_share, key, seed)
     settings, rows = [], []
     for o, u in pairs:
-        ready = cut_lineage(
-            assemble(rebalance(train, o, u, with_seconds, key, label, k, seed), with_seconds).select(
-                label, "features"
-            )
-        )
+        balanced = rebalance(train, o, u, with_seconds, key, label, k, seed)
+        ready = assemble(balanced, with_seconds).select(label, "features")
+        # read many times while fitting: stored once, in partitions of even size
+        ready = cut_lineage(ready.hint("rebalance"))
         model = cross_validate(
             ready, grid, label, folds, parallelism, seed, score, max_memory_mb
         )
