@@ -12,7 +12,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,11 +47,24 @@ def decode(
         mode = "PERMISSIVE" if permissive else "FAILFAST"
         return from_avro(value, avro_schema(with_seconds, with_uuid), {"mode": mode})
 
+    return decoder(with_seconds, with_uuid, permissive)(value)
+
+
+def decoder(with_seconds: bool = False, with_uuid: bool = True, permissive: bool = False):
+    """The decoding function itself, for columns or to register under a SQL name."""
+
     @F.arrow_udf(_nullable(message_schema(with_seconds, with_uuid)))
     def read(messages: pa.Array) -> pa.Array:
         return decode_batch(messages, with_seconds, with_uuid, permissive)
 
-    return read(value)
+    return read
+
+
+def register_decoder(
+    spark: SparkSession, name: str = "deserialize", with_seconds: bool = False, with_uuid: bool = True
+) -> None:
+    """Make ``name(value)`` available to SQL expressions."""
+    spark.udf.register(name, decoder(with_seconds, with_uuid))
 
 
 def encode(with_seconds: bool = False, with_uuid: bool = True, connector: bool = False) -> Column:

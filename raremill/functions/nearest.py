@@ -50,7 +50,7 @@ def block_neighbours(seeds, seed_ids, limits, data, data_ids, k):
                 # the k-th best other row is no farther than the (k+1)-th of all
                 kth = np.partition(rough[crowded], k, axis=1)[:, k] + 2 * room[crowded]
                 maybe[crowded] &= ~(rough[crowded] > kth[:, None])
-        rows, cols = np.nonzero(maybe)
+        rows, cols = np.divmod(np.flatnonzero(maybe), len(data))
         other = seed_ids[start + rows] != data_ids[cols]
         rows, cols = rows[other], cols[other]
         dist = exact_distances(part, data, rows, cols)

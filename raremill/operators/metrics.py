@@ -8,16 +8,23 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from raremill.session import cut_lineage
+
 _ROWS_PER_BUCKET = 1 << 20
 _MAX_BUCKETS = 4096
 
 
-def _cells(label: Column, predicted: Column) -> dict[str, Column]:
+def _cells(label: Column, predicted: Column, weight: Column | None = None) -> dict[str, Column]:
     pairs = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
-    return {
-        name: F.count_if((label == actual) & (predicted == guess)).alias(name)
-        for name, (actual, guess) in pairs.items()
-    }
+    cells = {}
+    for name, (actual, guess) in pairs.items():
+        hit = (label == actual) & (predicted == guess)
+        if weight is None:
+            count = F.count_if(hit)
+        else:
+            count = F.coalesce(F.sum(F.when(hit, weight)), F.lit(0))
+        cells[name] = count.alias(name)
+    return cells
 
 
 def confusion(df: DataFrame, predicted: str = "prediction", label: str = "label") -> DataFrame:
@@ -65,40 +72,39 @@ def with_ratios(counts: DataFrame) -> DataFrame:
 def curve_areas(df: DataFrame, score: str = "prediction", label: str = "label") -> DataFrame:
     """One row (areaUnderROC, areaUnderPR), exact, with tied scores as one point.
 
-    Scores are reduced to one row per distinct value before anything is ordered,
-    so a score shared by a third of all rows costs one row. The running totals
-    are taken within score ranges of bounded size and started from the totals
-    of the ranges above; those are at most 4096 rows. ``df`` is read twice: keep
-    an expensive one in storage first.
+    ``df`` is read once and reduced to a row per distinct score before anything is
+    ordered, so a score shared by a third of all rows costs one row. The running
+    totals are taken within score ranges of bounded size and started from the
+    totals of the ranges above; those are at most 4096 rows.
     """
-    pairs = df.select(
-        F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("label")
-    ).where(F.col("score").isNotNull() & F.col("label").isin(0, 1))
-    points = _ranged(pairs).groupBy("bucket", "score").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
+    tallies = df.groupBy(
+        F.col(score).cast("double").alias("score"), F.col(label).cast("double").alias("label")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    return _areas(_ranged(cut_lineage(_points(tallies))))
+
+
+def _points(tallies: DataFrame) -> DataFrame:
+    """(score, pos, neg) of the rows that have a score and a label."""
+    valid = tallies.where(F.col("score").isNotNull() & F.col("label").isin(0, 1))
+    return valid.groupBy("score").agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("label") == value, F.col("n"))), F.lit(0)).alias(name)
+            for name, value in (("pos", 1), ("neg", 0))
+        ]
     )
-    return _areas(points)
 
 
-def _ranged(pairs: DataFrame) -> DataFrame:
+def _ranged(points: DataFrame) -> DataFrame:
     """Add ``bucket``, increasing with the score, by quantiles of the scores."""
-    n = pairs.count()
-    buckets = min(_MAX_BUCKETS, math.ceil(n / _ROWS_PER_BUCKET))
+    buckets = min(_MAX_BUCKETS, math.ceil(points.count() / _ROWS_PER_BUCKET))
     if buckets <= 1:
-        return pairs.withColumn("bucket", F.lit(0))
-    return bucket_by_quantile(pairs, buckets)
-
-
-def bucket_by_quantile(pairs: DataFrame, buckets: int) -> DataFrame:
+        return points.withColumn("bucket", F.lit(0))
     shares = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(pairs.approxQuantile("score", shares, 0.2 / buckets)))
-    splits = [-float("inf"), *edges, float("inf")]
-    if len(splits) < 3:
-        return pairs.withColumn("bucket", F.lit(0))
+    edges = sorted(set(points.approxQuantile("score", shares, 0.2 / buckets)))
+    splits = [-float("inf"), *[e for e in edges if abs(e) < float("inf")], float("inf")]
     # NaN sorts above every number, and "keep" gives it the bucket above all others
-    ranger = Bucketizer(splits=splits, inputCol="score", outputCol="_b", handleInvalid="keep")
-    ranged = ranger.transform(pairs)
-    return ranged.withColumn("bucket", F.col("_b").cast("int")).drop("_b")
+    ranger = Bucketizer(splits=splits, inputCol="score", outputCol="bucket", handleInvalid="keep")
+    return ranger.transform(points)
 
 
 def _areas(points: DataFrame) -> DataFrame:
@@ -144,10 +150,20 @@ def evaluation(
 ) -> DataFrame:
     """Counts, ratios and areas of a prediction table as one row.
 
-    The curve score defaults to the hard prediction.
+    The curve score defaults to the hard prediction. ``df`` is read once and
+    reduced to a row per distinct (prediction, label, score).
     """
-    ratios = with_ratios(confusion(df, predicted, label))
-    areas = curve_areas(df, score or predicted, label)
+    tallies = cut_lineage(
+        df.groupBy(
+            F.col(predicted).alias("predicted"),
+            F.col(label).cast("double").alias("label"),
+            F.col(score or predicted).cast("double").alias("score"),
+        ).agg(F.count(F.lit(1)).alias("n"))
+    )
+    ratios = with_ratios(
+        tallies.agg(*_cells(F.col("label"), F.col("predicted"), F.col("n")).values())
+    )
+    areas = _areas(_ranged(_points(tallies)))
     row = areas.select(F.struct(*areas.columns)).scalar()
     return ratios.withColumn("_areas", row).select(*ratios.columns, "_areas.*")
 

@@ -14,8 +14,7 @@ from raremill.sources.delimited import read_predictions
 
 def evaluate_predictions(predictions: DataFrame) -> DataFrame:
     """One row of metrics in log order, and the false-positive rate."""
-    needed = cut_lineage(predictions.select("predictedLabel", "label", "prediction"))
-    row = evaluation(needed, "predictedLabel", "label", "prediction")
+    row = evaluation(predictions, "predictedLabel", "label", "prediction")
     return row.select(*[F.col(n).cast("double").alias(n) for n in [*METRIC_NAMES, "fpr"]])
 
 

@@ -5,7 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from raremill.functions.codec import avro_schema, decode, decode_batch, encode, encode_batch
+from raremill.functions.codec import (
+    avro_schema, decode, decode_batch, encode, encode_batch, register_decoder,
+)
 from raremill.schema import AMOUNT, COMPONENTS, LABEL, SECONDS, message_schema
 
 DOUBLES = [*COMPONENTS, AMOUNT]
@@ -103,6 +105,9 @@ def test_in_a_query(spark):
     back = sent.select(decode(F.col("value"), True).alias("r")).select("r.*")
     assert back.columns == schema.names
     assert sorted(back.collect()) == sorted(df.collect())
+    register_decoder(spark, "deserialize", with_seconds=True)
+    named = sent.selectExpr("deserialize(value) AS rows").select("rows.*")
+    assert sorted(named.collect()) == sorted(df.collect())
 
 
 def test_schema_names():

@@ -23,7 +23,7 @@ def spark_area(df, metric, score):
 
 
 @pytest.mark.parametrize("levels", [2, 10, 100000])
-@pytest.mark.parametrize("rows_per_bucket", [1 << 20, 40])
+@pytest.mark.parametrize("rows_per_bucket", [1 << 20, 40, 1])
 def test_areas_equal_the_library_evaluators(spark, monkeypatch, levels, rows_per_bucket):
     monkeypatch.setattr(metrics, "_ROWS_PER_BUCKET", rows_per_bucket)
     df = graded(spark, 1000, levels)
@@ -39,10 +39,10 @@ def test_areas_leave_out_rows_without_label_or_score(spark):
 
 
 def test_nan_is_the_highest_score(spark, monkeypatch):
-    rows = [(1.0, float("nan")), (0.0, 2.0), (1.0, 1.0), (0.0, 0.5)] * 5
+    rows = [(1.0, float("nan")), (0.0, float("inf")), (1.0, 1.0), (0.0, 0.5), (1.0, -float("inf"))] * 5
     df = spark.createDataFrame(rows, "label double, score double")
     whole = metrics.curve_areas(df, "score").first()
-    monkeypatch.setattr(metrics, "_ROWS_PER_BUCKET", 3)
+    monkeypatch.setattr(metrics, "_ROWS_PER_BUCKET", 1)
     assert tuple(metrics.curve_areas(df, "score").first()) == pytest.approx(tuple(whole))
 
 
