@@ -1,4 +1,4 @@
-"""Array-valued vector expressions that stay inside generated code."""
+"""Vector expressions that stay inside generated code where rows are many."""
 
 from __future__ import annotations
 
@@ -13,23 +13,23 @@ def feature_array(names: list[str], first: int | None = None) -> Column:
     return F.array(*[F.col(n).cast("double") for n in names[:first]])
 
 
-def euclidean(left: list[Column], right: list[Column]) -> Column:
-    """Distance between two rows of scalar columns, terms added left to right."""
-    terms = [(a - b) * (a - b) for a, b in zip(left, right, strict=True)]
-    return F.sqrt(reduce(lambda total, term: total + term, terms))
-
-
 def is_finite(features: Column) -> Column:
     """True where the array exists and holds neither nulls, NaNs nor infinities."""
     finite = F.forall(features, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
     return F.coalesce(finite, F.lit(False))
 
 
+def all_finite(names: list[str]) -> Column:
+    """The same for scalar columns: plain comparisons, compiled with the scan."""
+    return reduce(
+        lambda both, one: both & one,
+        [F.abs(F.col(n).cast("double")) < float("inf") for n in names],
+    )
+
+
 def move_along(start: Column, end: Column, step: Column) -> Column:
-    """``start + (end - start) * step``, element by element."""
-    return F.zip_with(start, end, lambda x, y: x + (y - x) * step)
+    return start + (end - start) * step
 
 
 def move_away(start: Column, end: Column, step: Column) -> Column:
-    """``start + (start - end) * step``, element by element."""
-    return F.zip_with(start, end, lambda x, y: x + (x - y) * step)
+    return start + (start - end) * step

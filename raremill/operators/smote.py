@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raremill.functions.hashing import hash_bits, hash_uniform
-from raremill.functions.vectors import feature_array, is_finite, move_along, move_away
+from raremill.functions.vectors import all_finite, feature_array, move_along, move_away
 from raremill.operators.knn import BLOCK_ROWS, MAX_PIVOTS, neighbour_lists
 from raremill.operators.sampling import extra_copy, with_copies
 from raremill.session import cut_lineage
@@ -23,16 +23,11 @@ def pick_neighbours(lists: DataFrame, key: str, seed: int = 1) -> DataFrame:
     """
     found = lists.where(F.size("neighbours") > 0)
     rank = (hash_bits("nn", seed, F.col(key), F.col("copy")) % F.size("neighbours") + 1).cast("int")
-    return (
-        found.withColumn("rank", rank)
-        .withColumn("_nn", F.element_at("neighbours", F.col("rank")))
-        .select(
-            *[c for c in found.columns if c != "neighbours"],
-            "rank",
-            F.col("_nn.id").alias("nn_id"),
-            F.col("_nn.dist").alias("dist"),
-            F.col("_nn.copy").alias("same"),
-        )
+    chosen = F.inline(F.array(F.element_at("neighbours", F.col("rank"))))
+    return found.withColumn("rank", rank).select(
+        *[c for c in found.columns if c != "neighbours"],
+        "rank",
+        chosen.alias("dist", "nn_id", "same"),
     )
 
 
@@ -60,11 +55,11 @@ def synthetic_rows(
     """
     if mode not in _MOVES:
         raise ValueError(f"mode must be one of {sorted(_MOVES)}")
-    rare = df.where(F.col(label) == minority).select(
+    rare = df.where((F.col(label) == minority) & all_finite(features)).select(
         F.col(key).cast("long").alias("id"), feature_array(features).alias("features")
     )
     # a wide scan leaves a few rare rows in each of very many partitions: gather them
-    rare = cut_lineage(rare.where(is_finite(F.col("features"))).hint("rebalance", "id"))
+    rare = cut_lineage(rare.hint("rebalance", "id"))
     whole, extra = int(rate), extra_copy(rare, rate, "id", seed)
     lists = neighbour_lists(
         rare, k, seed=None if whole else extra, block_rows=block_rows, max_pivots=max_pivots
@@ -72,12 +67,15 @@ def synthetic_rows(
     # kept: two readers follow, and the search is the costly part
     copies = with_copies(cut_lineage(lists), whole, extra)
     picked = pick_neighbours(copies, "id", seed)
-    moved = _interpolate(picked, rare, _MOVES[mode], seed)
+    ends = _with_ends(picked, rare, seed)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     values = [
-        _as(F.col("point")[i], kinds[name]).alias(name) for i, name in enumerate(features)
+        _as(
+            _MOVES[mode](F.col("features")[i], F.col("nn_features")[i], F.col("gap")), kinds[name]
+        ).alias(name)
+        for i, name in enumerate(features)
     ]
-    return moved.select(
+    return ends.select(
         F.col("id").alias("seed_id"),
         "copy",
         "nn_id",
@@ -86,20 +84,21 @@ def synthetic_rows(
     )
 
 
-def _interpolate(picked: DataFrame, rare: DataFrame, move, seed: int) -> DataFrame:
-    """Fetch the picked neighbour's features by key and move the seed.
+def _with_ends(picked: DataFrame, rare: DataFrame, seed: int) -> DataFrame:
+    """Fetch the picked neighbour's features by key and draw the gap.
 
     The neighbour of an exact copy is the seed itself, whatever the gap, so those
     rows need no fetch; this keeps a hot group of copies, all of which point to
     the same few ids, out of the join.
     """
-    gap = hash_uniform("gap", seed, F.col("id"), F.col("copy"))
+    columns = ["id", "copy", "nn_id", "features"]
     ends = rare.select(F.col("id").alias("nn_id"), F.col("features").alias("nn_features"))
-    apart = picked.where(~F.col("same")).join(ends, "nn_id")
-    point = move(F.col("features"), F.col("nn_features"), gap)
-    columns = ["id", "copy", "nn_id"]
-    still = picked.where("same").select(*columns, F.col("features").alias("point"))
-    return apart.select(*columns, point.alias("point")).unionByName(still)
+    gap = hash_uniform("gap", seed, F.col("id"), F.col("copy")).alias("gap")
+    apart = picked.where(~F.col("same")).select(*columns, gap).join(ends, "nn_id")
+    still = picked.where("same").select(
+        *columns, F.lit(0.0).alias("gap"), F.col("features").alias("nn_features")
+    )
+    return apart.unionByName(still)
 
 
 def _as(value: Column, kind: T.DataType) -> Column:

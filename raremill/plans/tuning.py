@@ -112,9 +112,11 @@ def cross_validate(
     seed: int = 11,
     score: str = "prediction",
     max_memory_mb: int | None = None,
+    fold_col: str = "",
 ) -> CrossValidatorModel:
     """Best forest of the grid by area under the PR curve. ``score`` is the hard
-    prediction by default; ``rawPrediction`` uses the whole curve."""
+    prediction by default; ``rawPrediction`` uses the whole curve. Folds are drawn
+    with the seed, or taken from ``fold_col``."""
     stages, forest = forest_stages(train, label, seed, max_memory_mb)
     evaluator = BinaryClassificationEvaluator(
         metricName="areaUnderPR", labelCol="label", rawPredictionCol=score, numBins=0
@@ -124,6 +126,7 @@ def cross_validate(
         estimatorParamMaps=grid.param_maps(forest),
         evaluator=evaluator,
         numFolds=folds,
+        foldCol=fold_col,
         parallelism=parallelism,
         seed=seed,
     )

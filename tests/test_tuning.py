@@ -92,3 +92,12 @@ def test_labels_survive_a_minority_made_larger(frame):
 def test_no_settings(frame):
     with pytest.raises(ValueError):
         tuning.sweep(frame, [], [], tuning.ForestGrid([1], [1]))
+
+
+def test_given_folds(frame):
+    from raremill.operators.sampling import fold_column
+
+    ready = tuning.assemble(frame.withColumn("fold", fold_column(ID, 3)))
+    grid = tuning.ForestGrid([1, 2], [2])
+    model = tuning.cross_validate(ready, grid, folds=3, fold_col="fold")
+    assert len(model.avgMetrics) == 2 and tuning.best_forest_params(model)["maxDepth"] == 2
