@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def feature_array(names: list[str], first: int | None = None) -> Column:
     """The first ``first`` of the named columns as one array of doubles."""
-    return F.array(*[F.col(n).cast("double") for n in names[:first]])
+    return F.expr("array(" + ", ".join(f"cast(`{n}` as double)" for n in names[:first]) + ")")
 
 
 def is_finite(features: Column) -> Column:
@@ -21,15 +19,4 @@ def is_finite(features: Column) -> Column:
 
 def all_finite(names: list[str]) -> Column:
     """The same for scalar columns: plain comparisons, compiled with the scan."""
-    return reduce(
-        lambda both, one: both & one,
-        [F.abs(F.col(n).cast("double")) < float("inf") for n in names],
-    )
-
-
-def move_along(start: Column, end: Column, step: Column) -> Column:
-    return start + (end - start) * step
-
-
-def move_away(start: Column, end: Column, step: Column) -> Column:
-    return start + (start - end) * step
+    return F.expr(" and ".join(f"abs(cast(`{n}` as double)) < double('infinity')" for n in names))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raremill.functions.hashing import hash_bits, hash_uniform
-from raremill.functions.vectors import all_finite, feature_array, move_along, move_away
+from raremill.functions.vectors import all_finite, feature_array
 from raremill.operators.knn import BLOCK_ROWS, MAX_PIVOTS, neighbour_lists
 from raremill.operators.sampling import extra_copy, with_copies
 from raremill.session import cut_lineage
 
-_MOVES = {"interpolate": move_along, "extrapolate": move_away}
+_MOVES = {"interpolate": "{x} + ({y} - {x}) * gap", "extrapolate": "{x} + ({x} - {y}) * gap"}
 
 
 def pick_neighbours(lists: DataFrame, key: str, seed: int = 1) -> DataFrame:
@@ -69,18 +69,12 @@ def synthetic_rows(
     picked = pick_neighbours(copies, "id", seed)
     ends = _with_ends(picked, rare, seed)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    values = [
-        _as(
-            _MOVES[mode](F.col("features")[i], F.col("nn_features")[i], F.col("gap")), kinds[name]
-        ).alias(name)
-        for i, name in enumerate(features)
-    ]
-    return ends.select(
-        F.col("id").alias("seed_id"),
+    return ends.selectExpr(
+        "id as seed_id",
         "copy",
         "nn_id",
-        F.lit(minority).cast(kinds[label]).alias(label),
-        *values,
+        f"cast({minority} as {kinds[label].simpleString()}) as `{label}`",
+        *[_moved(i, kinds[name], mode) + f" as `{name}`" for i, name in enumerate(features)],
     )
 
 
@@ -101,11 +95,12 @@ def _with_ends(picked: DataFrame, rare: DataFrame, seed: int) -> DataFrame:
     return apart.unionByName(still)
 
 
-def _as(value: Column, kind: T.DataType) -> Column:
-    """Whole-number features stay whole."""
+def _moved(i: int, kind: T.DataType, mode: str) -> str:
+    """The i-th feature of the new row. Whole-number features stay whole."""
+    value = _MOVES[mode].format(x=f"features[{i}]", y=f"nn_features[{i}]")
     if isinstance(kind, T.IntegralType):
-        return F.round(value).cast(kind)
-    return value.cast(kind)
+        value = f"round({value})"
+    return f"cast({value} as {kind.simpleString()})"
 
 
 def smote(

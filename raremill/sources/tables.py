@@ -32,15 +32,14 @@ def transactions(spark: SparkSession, folder: str, extra: tuple[str, ...] = ())
         "vid", F.col("event_id") % n_vectors
     )
     joined = keyed.join(vectors.select("vec_id", "embedding"), keyed.vid == vectors.vec_id)
-    is_error = F.col("event_type") == "error"
-    shift = F.when(is_error, F.lit(1.0)).otherwise(F.lit(0.0))
-    parts = [F.col("embedding")[i].cast("double") for i in range(len(COMPONENTS))]
-    parts[0] = parts[0] + shift
+    shift = "if(event_type = 'error', 1.0D, 0.0D)"
+    parts = [f"cast(embedding[{i}] as double)" for i in range(len(COMPONENTS))]
+    parts[0] += f" + {shift}"
     return joined.select(
         F.col("event_id").alias(ID),
         second_of_day(F.col("ts")).alias(SECONDS),
-        *[p.alias(n) for p, n in zip(parts, COMPONENTS, strict=True)],
+        *[F.expr(f"{part} as {name}") for part, name in zip(parts, COMPONENTS, strict=True)],
         F.col("value").alias(AMOUNT),
-        (is_error & (F.col("value") > 150)).cast("int").alias(LABEL),
+        F.expr(f"cast(event_type = 'error' and value > 150 as int) as {LABEL}"),
         *[F.col(c) for c in dict.fromkeys(extra)],
     )
