@@ -48,7 +48,7 @@ def synthetic_rows(
     (seed_id, copy, nn_id, label, features).
 
     Each minority row is used ``floor(rate)`` times and a hash-ranked share once
-    more. ``interpolate`` places the new row between seed and neighbour,
+    more. ``key`` must be a unique bigint without nulls. ``interpolate`` places the new row between seed and neighbour,
     ``extrapolate`` on the far side of the seed. The minority rows are read from
     the input once and kept in the shared folder; everything after that works
     on them alone.

@@ -44,7 +44,7 @@ def test_quoted_fields(spark, tmp_path):
 
 @pytest.mark.parametrize("with_seconds", [False, True])
 def test_lenient_scan(spark, tmp_path, with_seconds):
-    header = " ID ,rest"
+    header = ' "any", header'
     odd = "x" + line(3, with_seconds)[1:].replace("3.29", " 3.29 ").replace("3.7", "seven")
     lines = [header, line(1, with_seconds), odd, "5, 6"]
     path = write(tmp_path / "t.csv", lines)
@@ -57,6 +57,14 @@ def test_lenient_scan(spark, tmp_path, with_seconds):
     assert len(delimited.read_transactions_leniently(spark, path, with_seconds, header=False).collect()) == 4
 
 
+def test_the_first_line_of_every_file_is_skipped(spark, tmp_path):
+    for name in "ab":
+        write(tmp_path / f"{name}.csv", ["7,7", *(line(i) for i in range(5))])
+    df = delimited.read_transactions_leniently(spark, str(tmp_path))
+    assert sorted(r.ID for r in df.collect()) == sorted([*range(5)] * 2)
+    assert df.count() == 10 == df.select("ID").count()
+
+
 def test_lenient_whole_numbers(spark):
     df = spark.createDataFrame([("1.5," + line(1)[2:],), (line(2)[:-1] + "1.5",)], "value string")
     rows = delimited.lenient_rows(df).orderBy("V1").collect()
