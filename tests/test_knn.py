@@ -90,3 +90,19 @@ def test_signed_zeros_are_the_same_value(spark):
     rows = [(3, [0.0, 1.0]), (1, [-0.0, 1.0]), (2, [0.0, 1.0]), (4, [0.0, -0.0]), (5, [-0.0, 0.0])]
     assert run(spark, rows, 2) == brute(rows, 2)
     assert run(spark, rows, 2, block_rows=1) == brute(rows, 2)
+
+
+def test_distances_that_overflow(spark):
+    rows = [(i, [float(i), 0.0]) for i in range(8)] + [(8, [1e200, 0.0]), (9, [-1e200, 1.0]), (10, [1e200, 5.0])]
+    for size in (4096, 2):
+        assert run(spark, rows, 3, block_rows=size) == brute(rows, 3)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_shapes(spark, seed):
+    rng = np.random.default_rng(seed)
+    n, d, k = int(rng.integers(20, 120)), int(rng.integers(1, 8)), int(rng.integers(1, 12))
+    data = rng.integers(0, 4, (n, d)) * rng.choice([1.0, 1e-3, 1e3])
+    rows = [(int(i), [float(v) for v in x]) for i, x in zip(rng.permutation(n), data)]
+    got = run(spark, rows, k, block_rows=int(rng.integers(1, 30)), max_pivots=int(rng.integers(1, 20)))
+    assert got == brute(rows, k)
