@@ -16,7 +16,7 @@ from raremill.operators.throughput import throughput
 from raremill.plans import oracle, tuning
 from raremill.schema import AMOUNT, ID, LABEL, feature_cols, txn_schema
 from raremill.session import cut_lineage, shared_folder
-from raremill.sinks import publish
+from raremill.sinks import files, publish
 from raremill.sources import delimited, messages
 from raremill.sources.tables import stream_table, table, transactions
 from raremill.streaming import scoring, windows
@@ -139,6 +139,54 @@ def prediction_projection(spark, folder):
     )
 
 
+def _run_folder(spark: SparkSession) -> str:
+    """A new folder in shared storage for what one run writes."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4()}"
+
+
+@query(oracle.txn("select * from txn"))
+def stored_transactions(spark, folder):
+    """The transactions written as CSV with a header and scanned again."""
+    path = f"{_run_folder(spark)}/transactions"
+    files.write_table(transactions(spark, folder), path, "csv", header=True)
+    return delimited.read_transactions(spark, path, with_seconds=True)
+
+
+@query(oracle.txn(f'select "Class", "NumericSecondDay", {oracle.FEATURES} from txn'))
+def stored_oversampled(spark, folder):
+    path = f"{_run_folder(spark)}/oversampled"
+    rows = projection.label_first(transactions(spark, folder), with_seconds=True)
+    files.write_table(rows, path, "csv")
+    return delimited.read_oversampled(spark, path, with_seconds=True)
+
+
+@query(oracle.PREDICTIONS)
+def stored_predictions(spark, folder):
+    path = f"{_run_folder(spark)}/predictions"
+    rows = prediction_projection(spark, folder)
+    rows = rows.withColumn("prediction_time", F.col("prediction_time").cast("timestamp"))
+    files.write_table(rows, path, "csv", mode="append")
+    back = delimited.read_predictions(spark, path)
+    return back.withColumn("prediction_time", F.col("prediction_time").cast("timestamp_ntz"))
+
+
+@query(oracle.SUBMODELS)
+def stored_submodels(spark, folder):
+    """Result lines whose parameter list holds commas, one per event, read back as a log."""
+    path = f"{_run_folder(spark)}/submodels"
+    line = F.concat_ws(
+        ",",
+        run_stamp(F.col("ts")),
+        F.lit("0.5"),
+        F.col("user_id").cast("string"),
+        F.lit("maxDepth:5"),
+        F.concat(F.lit("kind:"), "event_type"),
+        F.col("value").cast("string"),
+    )
+    table(spark, folder, "events").select(line.alias("value")).write.text(path)
+    return delimited.read_submodel_log(spark, path)
+
+
 @query(oracle.RUN_LOG_FORMAT)
 def run_log_format(spark, folder):
     events = table(spark, folder, "events")
@@ -346,11 +394,6 @@ def throughput_5s(spark, folder):
 # --- messages and streams -----------------------------------------------------
 
 
-def _run_folder(spark: SparkSession) -> str:
-    """A new folder in shared storage for what one run of a stream writes."""
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
-
-
 @query(oracle.publish(2))
 def keyed_publish_rows(spark, folder):
     sends = publish.keyed_sends(transactions(spark, folder), cycles=2)

@@ -101,6 +101,11 @@ RUN_LOG_FORMAT = (
     f"concat_ws(',', {_STAMP}, user_id, event_type) as line from events"
 )
 
+SUBMODELS = (
+    f"""select {_STAMP} as "executionTime", 0.5::double as undersampling, user_id as oversampling,
+    'maxDepth:5,kind:' || event_type as params, value as metric from events where value is not null"""
+)
+
 LABEL_INDEX = (
     "select event_type, (dense_rank() over (order by event_type) - 1)::double as label, count(*) as n "
     "from events group by event_type"

@@ -13,12 +13,16 @@ from pyspark.sql import types as T
 from raremill.sources import delimited
 
 
+# the default format keeps milliseconds only
+CSV_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", header: bool = False
 ) -> None:
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer = writer.option("header", header)
+        writer = writer.options(header=header, **CSV_OPTIONS)
     writer.format(fmt).save(path)
 
 

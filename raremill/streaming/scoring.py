@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from raremill.functions.codec import decode
 from raremill.operators.projection import predictions_only, stamped
 from raremill.schema import feature_cols
+from raremill.sinks.files import CSV_OPTIONS, write_table
 
 
 def load_model(path: str) -> CrossValidatorModel:
@@ -71,6 +72,7 @@ def score_stream(
     writer = (
         score(transactions, model, with_seconds)
         .writeStream.format(fmt)
+        .options(**(CSV_OPTIONS if fmt == "csv" else {}))
         .option("checkpointLocation", checkpoint)
         .option("path", path)
     )
@@ -93,8 +95,7 @@ def score_batches(
     def store(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        rows = score(batch, model, with_seconds)
-        rows.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
+        write_table(score(batch, model, with_seconds), f"{path}/batch_id={batch_id}", fmt)
 
     writer = transactions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     return _start(writer, every, available_now)
