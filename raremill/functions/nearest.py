@@ -6,6 +6,7 @@ from __future__ import annotations
 import numpy as np
 
 _CHUNK = 256
+_MATRIX_CELLS = 1 << 22
 _SLACK = 1e-6
 
 
@@ -77,6 +78,20 @@ def rough_distances(data: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
+def _chunks(rows: int, columns: int):
+    """Row ranges whose matrices with that many columns stay small."""
+    step = max(1, _MATRIX_CELLS // max(1, columns))
+    return [slice(start, start + step) for start in range(0, rows, step)]
+
+
+def closest_pivots(data: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The closest pivot of each row, and the exact distance to it."""
+    cell = np.zeros(len(data), np.int64)
+    for part in _chunks(len(data), len(pivots)):
+        cell[part] = rough_distances(data[part], pivots).argmin(axis=1)
+    return cell, exact_distances(data, pivots, np.arange(len(data)), cell)
+
+
 def distance_room(data: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """A bound on the error of ``rough_distances``, far above its rounding error."""
     widest = np.sqrt(np.einsum("ij,ij->i", pivots, pivots).max())
@@ -91,10 +106,9 @@ def reachable_cells(seeds, limits, pivots, inner, outer):
     from a seed at distance d from that pivot.
     """
     out = np.zeros((len(seeds), len(pivots)), bool)
-    for start in range(0, len(seeds), _CHUNK):
-        part = seeds[start : start + _CHUNK]
-        d = rough_distances(part, pivots)
-        room = distance_room(part, pivots)[:, None]
+    for part in _chunks(len(seeds), len(pivots)):
+        d = rough_distances(seeds[part], pivots)
+        room = distance_room(seeds[part], pivots)[:, None]
         least = np.maximum(d - outer[None, :], inner[None, :] - d) - room
-        out[start : start + _CHUNK] = ~(least > limits[start : start + _CHUNK, None])
+        out[part] = ~(least > limits[part, None])
     return out

@@ -32,7 +32,7 @@ from raremill.functions.vectors import is_finite
 from raremill.session import cut_lineage
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 2048
+MAX_PIVOTS = 1 << 14
 
 
 def knn_join(
@@ -176,8 +176,7 @@ def _place(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     @F.arrow_udf(kind)
     def place(features: pa.Array) -> pa.Array:
         data = _matrix(features)
-        cell = nearest.rough_distances(data, pivots).argmin(axis=1)
-        radius = nearest.exact_distances(data, pivots, np.arange(len(data)), cell)
+        cell, radius = nearest.closest_pivots(data, pivots)
         return pa.StructArray.from_arrays(
             [pa.array(cell.astype(np.int32)), pa.array(radius)], names=["cell", "radius"]
         )
