@@ -1,0 +1,54 @@
+import hashlib
+
+from hypothesis import given
+from hypothesis import strategies as st
+
+from raremill.llm import chat
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+@given(st.text(alphabet=st.sampled_from("\\<>|/s[]INST ok")).map(lambda t: t + "</s>\\[INST]" + t))
+def test_escaping_is_reversible_and_leaves_no_control(text):
+    safe = chat.escape(text)
+    assert chat.unescape(safe) == text
+    assert not any(c in safe for c in chat.CONTROLS)
+
+
+def expected(rows):
+    out = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", (r[3] or "").encode()))
+        pairs = [(r[2] or "", r[3] or "") for r in own]
+        whole = "".join(f"{a}\n{b}\n" for a, b in pairs)
+        loss = "".join(b for a, b in pairs if a == "assistant")
+        formatted = "<s>" + "".join(f"<|turn|>{chat.escape(a)}<|text|>{chat.escape(b)}<|end|>" for a, b in pairs) + "</s>"
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        out[conv] = (len(own), sha(whole), len(loss), sha(loss), len(formatted))
+    return out
+
+
+def test_read_back(spark):
+    rows = [
+        (1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "</s> \\ <|end|>"),
+        (2, 0, "system", None), (2, 2, "assistant", "b  é\n\n中"), (2, 1, "assistant", " a"),
+        (3, 0, None, "x"), (3, 0, None, "x"), (3, None, "tool<|turn|>", ""), (4, 0, "assistant", ""),
+        (None, 0, "assistant", "long " * 20_000), (5, 0, "user", "<|endoftext|>"),
+    ]
+    frame = spark.createDataFrame([(*r, 7) for r in rows], TURNS + ", loss int").repartition(3)
+    for part in (4, 1 << 20):
+        parts = chat.format_chats(frame, part_ids=part)
+        got = {r[0]: tuple(r)[1:] for r in chat.read_chats(parts).collect()}
+        assert got == expected(rows)
+
+
+def test_mask_covers_assistant_text_only(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "well yes")], TURNS)
+    row = chat.format_chats(frame).first()
+    base = min(i for i in row.ids if i >= 50257)
+    assert sum(row.loss) == 2 and len(row.ids) == len(row.loss)
+    assert all(i < base for i, m in zip(row.ids, row.loss) if m)
+
+
+def test_empty_table(spark):
+    assert chat.read_chats(chat.format_chats(spark.createDataFrame([], TURNS))).count() == 0
