@@ -1,19 +1,45 @@
 """Byte-level BPE encoding of many texts by the tokenizers library.
 
-Words repeat, so a task encodes each distinct word chunk once and looks the rest up.
-The vocabulary's pattern never joins a word to the white space that follows it, so a
-text may be cut where white space begins. Only texts whose words are separated by
-single spaces or line feeds take this way; all others are encoded whole.
+Words repeat, so a task encodes each distinct piece once and looks the rest up. The
+vocabulary's pattern never joins a word to the white space after it, nor a letter or digit
+to punctuation after it, so a text may be cut there. Texts where that is not plain (white
+space in a row, other alphabets, added tokens) are cut at white space only or not at all.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-#: Distinct chunks a task remembers before it starts anew.
-REMEMBERED = 300_000
+#: Distinct chunks a Python worker remembers before it starts anew.
+REMEMBERED = 600_000
+_SPACE_RUN = re.compile(r"\s[ \n]")
+#: Latin-1 bytes by kind: letter or digit, plain space, other space, point or comma, the rest.
+_KINDS = bytes(
+    ord("a") if c.isalnum() else ord(" ") if c in " \n" else ord("w") if c.isspace() or c in "\x1c\x1d\x1e\x1f"
+    else ord(".") if c in ".," else ord("p")
+    for c in map(chr, range(256))
+)
+_UNCLEAR = (b"  ", b"w ", b" .", b"w.", b"p.", b"..")
+
+
+def _plain(text: str) -> bool:
+    """Whether single spaces, points and commas all follow a word."""
+    try:
+        kinds = text.encode("latin-1").translate(_KINDS)
+    except UnicodeEncodeError:
+        return False
+    return not any(pair in kinds for pair in _UNCLEAR)
+
+
+def _known(key: tuple) -> dict:
+    """What this process keeps for ``key``; tasks get this module by value, so its own
+    globals do not outlive a task."""
+    import tokenizers
+
+    return tokenizers.__dict__.setdefault("_known_pieces", {}).setdefault(key, {})
 
 
 class _Chunks(dict):
@@ -49,41 +75,41 @@ class Encoder:
         self._tokenizer = load(path or default_vocabulary(), special_as_text)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._as_text = special_as_text
-        self._forget()
+        self._kept = _known((path, special_as_text))
+        if not self._kept or self._kept["chunks"].fresh:
+            self._forget()
 
     def _forget(self) -> None:
-        self._chunks = _Chunks()
-        self._ids = np.empty(0, np.int32)
-        self._ends = np.zeros(1, np.int64)
+        self._kept |= {"chunks": _Chunks(), "ids": np.empty(0, np.int32), "ends": np.zeros(1, np.int64)}
 
     def _cut(self, text: str) -> list[str] | None:
-        """Chunks of a text, the first marked by a zero character; None: encode it whole."""
+        """Chunks that can be encoded one by one; None: encode the text whole."""
         if "\0" in text or not text:
             return None
         if not self._as_text and any(s in text for s in self._special):
             return None
-        if text.replace("\n", " ").split(" ") != text.split():
+        if _plain(text):
+            text = text.replace(".", "\0.").replace(",", "\0,")
+        elif _SPACE_RUN.search(text):
             return None
-        parts = text.replace("\n", " \n").split(" ")
-        parts[0] = "\0" + parts[0]
-        return parts
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
     def _learn(self) -> None:
-        fresh, self._chunks.fresh = self._chunks.fresh, []
-        if not fresh:
-            return
-        plain = [c[1:] if c[:1] == "\0" else c if c[:1] == "\n" else " " + c for c in fresh]
-        ids = [e.ids for e in self._tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.int32, int(lengths.sum()))
-        self._ids = np.concatenate([self._ids, flat])
-        self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(lengths)])
+        chunks = self._kept["chunks"]
+        fresh, chunks.fresh = chunks.fresh, []
+        groups = [fresh[at : at + 1000] for at in range(0, len(fresh), 1000)]
+        found = self._tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)
+        lengths = [np.bincount(np.array(e.word_ids, np.int64), minlength=len(g)) for e, g in zip(found, groups, strict=True)]
+        ids = [np.array(e.ids, np.int32) for e in found]
+        kept = self._kept
+        kept["ids"] = np.concatenate([kept["ids"], *ids])
+        kept["ends"] = np.concatenate([kept["ends"], kept["ends"][-1] + np.cumsum(np.concatenate([[], *lengths]))]).astype(np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids of each text."""
-        if len(self._chunks) > REMEMBERED:
+        if len(self._kept["chunks"]) > REMEMBERED:
             self._forget()
-        look = self._chunks.__getitem__
+        look = self._kept["chunks"].__getitem__
         codes, sizes, whole = [], np.zeros(len(texts), np.int64), []
         for k, text in enumerate(texts):
             parts = self._cut(text)
@@ -94,9 +120,10 @@ class Encoder:
                 sizes[k] = len(parts)
         self._learn()
         codes = np.array(codes, np.int64)
-        starts, lengths = self._ends[codes], self._ends[codes + 1] - self._ends[codes]
+        known = self._kept["ends"]
+        starts, lengths = known[codes], known[codes + 1] - known[codes]
         ends = np.cumsum(lengths)
-        flat = self._ids[np.repeat(starts - ends + lengths, lengths) + np.arange(lengths.sum())]
+        flat = self._kept["ids"][np.repeat(starts - ends + lengths, lengths) + np.arange(lengths.sum())]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
         counts = np.diff(bounds)
         if not whole:

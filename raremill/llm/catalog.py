@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raremill.llm import chat, token_files
+from raremill.llm import chat, decontaminate, line_rules, token_files
 from raremill.llm.tasks import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,17 @@ def op10_chat_tokens(spark, folder):
     )
     turns = spark.read.parquet(f"{folder}/conversations.parquet").select(*extra.columns)
     return chat.read_chats(stored(chat.format_chats(turns.unionByName(extra)), "chats"))
+
+
+@query()
+def op3_line_quality(spark, folder):
+    """Word counts, base rules and the line rules' verdict for all documents."""
+    judged = line_rules.line_quality(documents(spark, folder))
+    return judged.drop("cleaned")
+
+
+@query()
+def op5_benchmark_leaks(spark, folder):
+    """Every place in all documents that holds a benchmark item within a fifth of its words."""
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return decontaminate.leaks(documents(spark, folder), benchmark)
