@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raremill.llm import chat, decontaminate, line_rules, token_files
+from raremill.llm import chat, decontaminate, line_rules, secrets, token_files, toxicity
 from raremill.llm.tasks import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,28 @@ def op5_benchmark_leaks(spark, folder):
     """Every place in all documents that holds a benchmark item within a fifth of its words."""
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
     return decontaminate.leaks(documents(spark, folder), benchmark)
+
+
+def held_out(doc_id):
+    """Rows that no label may be learned from."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def toxicity_model(docs, labels):
+    return toxicity.train(docs, labels.where(~held_out(F.col("doc_id"))))
+
+
+@query()
+def op7_toxicity(spark, folder):
+    """Toxicity of all documents by their nearest labelled examples."""
+    docs = documents(spark, folder)
+    model = toxicity_model(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op8_secrets(spark, folder):
+    """Secrets of all documents: base patterns and the network's additions."""
+    docs = documents(spark, folder)
+    return secrets.scan(docs, secrets.train(docs)).drop("model_scores")
