@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Distinct chunks a Python worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 _SPACE_RUN = re.compile(r"\s[ \n]")
 #: Latin-1 bytes by kind: letter or digit, plain space, other space, point or comma, the rest.
 _KINDS = bytes(
@@ -80,7 +80,23 @@ class Encoder:
             self._forget()
 
     def _forget(self) -> None:
-        self._kept |= {"chunks": _Chunks(), "ids": np.empty(0, np.int32), "ends": np.zeros(1, np.int64)}
+        """Keep only the chunks that were met again since the last time."""
+        old, ids, ends = _Chunks(), np.empty(0, np.int32), np.zeros(1, np.int64)
+        if self._kept and not self._kept["chunks"].fresh:
+            again = np.flatnonzero(self._kept["uses"] > 1)
+            if len(again) < REMEMBERED // 2:
+                known = list(self._kept["chunks"])
+                old.update((known[k], at) for at, k in enumerate(again.tolist()))
+                ids, counts = self._gather(again)
+                ends = np.concatenate([[0], np.cumsum(counts)])
+        self._kept |= {"chunks": old, "ids": ids, "ends": ends, "uses": np.zeros(len(old), np.int64)}
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks ``codes`` and their numbers."""
+        ends = self._kept["ends"]
+        starts, lengths = ends[codes], ends[codes + 1] - ends[codes]
+        shift = starts - np.cumsum(lengths) + lengths
+        return self._kept["ids"][np.repeat(shift, lengths) + np.arange(lengths.sum())], lengths
 
     def _cut(self, text: str) -> list[str] | None:
         """Chunks that can be encoded one by one; None: encode the text whole."""
@@ -95,36 +111,55 @@ class Encoder:
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
     def _learn(self) -> None:
-        chunks = self._kept["chunks"]
+        """Encode the chunks met for the first time, a thousand at once. Chunks of a space
+        and letters are one piece each, so they can be encoded as one text."""
+        kept, chunks = self._kept, self._kept["chunks"]
         fresh, chunks.fresh = chunks.fresh, []
-        groups = [fresh[at : at + 1000] for at in range(0, len(fresh), 1000)]
-        found = self._tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)
-        lengths = [np.bincount(np.array(e.word_ids, np.int64), minlength=len(g)) for e, g in zip(found, groups, strict=True)]
-        ids = [np.array(e.ids, np.int32) for e in found]
-        kept = self._kept
-        kept["ids"] = np.concatenate([kept["ids"], *ids])
-        kept["ends"] = np.concatenate([kept["ends"], kept["ends"][-1] + np.cumsum(np.concatenate([[], *lengths]))]).astype(np.int64)
+        plain = [c[:1] == " " and c[1:].isalpha() for c in fresh]
+        ids, counts = [], []
+        for wanted in (True, False):
+            own = [c for c, p in zip(fresh, plain, strict=True) if p == wanted]
+            groups = [own[at : at + 1000] for at in range(0, len(own), 1000)]
+            texts = ["".join(g) for g in groups] if wanted else groups
+            found = self._tokenizer.encode_batch(texts, is_pretokenized=not wanted, add_special_tokens=False)
+            ids += [np.array(e.ids, np.int32) for e in found]
+            counts += [
+                np.bincount(np.array(e.word_ids, np.int64), minlength=len(g)) for e, g in zip(found, groups, strict=True)
+            ]
+        # back from the order of encoding to that of the chunks
+        order = np.argsort(~np.array(plain, bool), kind="stable")
+        lengths = np.concatenate([np.empty(0, np.int64), *counts])
+        starts = np.empty(len(fresh), np.int64)
+        starts[order] = len(kept["ids"]) + np.cumsum(lengths) - lengths
+        sizes = np.empty(len(fresh), np.int64)
+        sizes[order] = lengths
+        flat = np.concatenate([kept["ids"], *ids])
+        shift = starts - np.cumsum(sizes) + sizes
+        new = flat[np.repeat(shift, sizes) + np.arange(sizes.sum())]
+        kept["ids"] = np.concatenate([kept["ids"], new])
+        kept["ends"] = np.concatenate([kept["ends"], kept["ends"][-1] + np.cumsum(sizes)])
+        kept["uses"] = np.concatenate([kept["uses"], np.zeros(len(fresh), np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids of each text."""
         if len(self._kept["chunks"]) > REMEMBERED:
             self._forget()
         look = self._kept["chunks"].__getitem__
-        codes, sizes, whole = [], np.zeros(len(texts), np.int64), []
+        codes, sizes, whole = [np.empty(0, np.int64)], np.zeros(len(texts), np.int64), []
         for k, text in enumerate(texts):
             parts = self._cut(text)
             if parts is None:
                 whole.append(k)
             else:
-                codes.extend(map(look, parts))
+                codes.append(np.fromiter(map(look, parts), np.int64, len(parts)))
                 sizes[k] = len(parts)
-        self._learn()
-        codes = np.array(codes, np.int64)
-        known = self._kept["ends"]
-        starts, lengths = known[codes], known[codes + 1] - known[codes]
-        ends = np.cumsum(lengths)
-        flat = self._kept["ids"][np.repeat(starts - ends + lengths, lengths) + np.arange(lengths.sum())]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        if self._kept["chunks"].fresh:
+            self._learn()
+        codes = np.concatenate(codes)
+        self._kept["uses"] += np.bincount(codes, minlength=len(self._kept["uses"]))
+        flat, lengths = self._gather(codes)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        bounds = ends[np.concatenate([[0], np.cumsum(sizes)])]
         counts = np.diff(bounds)
         if not whole:
             return flat, counts

@@ -64,3 +64,16 @@ def test_empty_table(spark, docs, tmp_path):
     path = str(tmp_path / "t")
     token_files.write_tokens(docs([]), path)
     assert token_files.read_digests(spark, path).count() == 0
+
+
+def test_remembering_is_bounded_and_harmless(plain, monkeypatch):
+    from raremill.llm import bpe
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    own = Encoder()
+    for k in range(60):
+        texts = [f"common words and number{j} new{k}x{j}, end." for j in range(5)]
+        flat, counts = own.encode(texts)
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+        assert len(own._kept["chunks"]) < 40 + 60
