@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raremill.llm import chat, decontaminate, line_rules, secrets, token_files, toxicity
+from raremill.llm import chat, decontaminate, line_rules, near_dedup, secrets, token_files, toxicity
 from raremill.llm.tasks import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,35 @@ def op8_secrets(spark, folder):
     """Secrets of all documents: base patterns and the network's additions."""
     docs = documents(spark, folder)
     return secrets.scan(docs, secrets.train(docs)).drop("model_scores")
+
+
+NEAR_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), sets as (
+  select doc_id, case when w is null or len(w) = 0 then []
+    when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s
+  from words
+), items as (select doc_id, len(s) as n, unnest(s) as g from sets),
+common as (
+  select a.doc_id as u, b.doc_id as v, a.n as nu, b.n as nv, count(*) as k
+  from items a join items b on a.g = b.g and a.doc_id < b.doc_id group by all
+), links as (
+  select u, v from common where 100 * k >= 85 * (nu + nv - k)
+  union all select v, u from common where 100 * k >= 85 * (nu + nv - k)
+), reach as (
+  select doc_id, doc_id as low from documents
+  union select v, low from reach join links on u = doc_id
+), lowest as (select doc_id, min(low) as component_id from reach group by doc_id)
+select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from sets join lowest using (doc_id)
+"""
+
+
+@query(NEAR_SQL)
+def op6_near_duplicates(spark, folder):
+    """Components of near-duplicates over all documents."""
+    return near_dedup.near_duplicates(documents(spark, folder))
