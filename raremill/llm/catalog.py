@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raremill.llm import chat, decontaminate, line_rules, near_dedup, secrets, token_files, toxicity
+from raremill.llm import chat, decontaminate, line_rules, mixing, near_dedup, secrets, token_files, toxicity
 from raremill.llm.tasks import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,61 @@ from sets join lowest using (doc_id)
 def op6_near_duplicates(spark, folder):
     """Components of near-duplicates over all documents."""
     return near_dedup.near_duplicates(documents(spark, folder))
+
+
+MIX_TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+MIX_RATE = 0.7
+
+MIX_SQL = r"""
+with recursive counted as (
+  select *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as n_tokens from documents
+), docs as (
+  select doc_id, text, n_tokens, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang,
+    case when n_tokens = 0 then 'empty' when contains(text, 'icens') then 'licence'
+      when contains(text, ' | ') then 'table' when contains(text, '@') then 'contact'
+      when contains(text, '=') then 'assignment' when n_tokens < 100 then 'short'
+      when n_tokens < 1000 then 'medium' else 'long' end as topic
+  from counted
+), cells as (
+  select source, lang, topic, sum(n_tokens)::double as t from docs group by all
+), s as (select source, pow(sum(t), 0.5) as w from cells group by 1 having sum(t) > 0),
+l as (select lang, pow(sum(t), 0.7) as w from cells group by 1 having sum(t) > 0),
+p as (select topic, pow(sum(t), 0.8) as w from cells group by 1 having sum(t) > 0),
+rounds as (
+  select 0 as k, c.*, c.t as w, coalesce(s.w / (select sum(w) from s), 0) as gs,
+    coalesce(l.w / (select sum(w) from l), 0) as gl, coalesce(p.w / (select sum(w) from p), 0) as gp
+  from cells c left join s using (source) left join l using (lang) left join p using (topic)
+  union all
+  select k + 1, source, lang, topic, t,
+    case when w > 0 then w * gp / sum(w) over (partition by topic) else 0 end, gs, gl, gp
+  from (select k, source, lang, topic, t,
+      case when w > 0 then w * gl / sum(w) over (partition by lang) else 0 end as w, gs, gl, gp
+    from (select k, source, lang, topic, t,
+        case when w > 0 then w * gs / sum(w) over (partition by source) else 0 end as w, gs, gl, gp
+      from rounds where k < 200))
+), raked as (select *, case when t > 0 then w / t else 0 end as r from rounds where k = 200),
+ordered as (
+  select *, coalesce(sum(t) over (order by r desc, source, lang, topic rows between unbounded preceding and 1 preceding), 0) as held,
+    sum(w) over (order by r desc, source, lang, topic rows between current row and unbounded following) as free
+  from raked
+), scale as (
+  select coalesce(max(case when (0.7 * (select sum(t) from raked) - held) / free * r < 1
+    then (0.7 * (select sum(t) from raked) - held) / free end), 1e300) as x
+  from ordered where r > 0
+), chances as (
+  select source, lang, topic, case when t = 0 then 1.0 else least(1.0, r * x) end as pr from raked, scale
+)
+select doc_id, source, lang, topic, n_tokens, round(pr, 4) as probability,
+  ('0x' || substr(md5('mixing:7:' || doc_id), 1, 8))::bigint / 4294967296.0 < pr as kept
+from docs join chances using (source, lang, topic)
+"""
+
+
+@query(MIX_SQL)
+def op1_mixture(spark, folder):
+    """All documents with their chance in the mixture and whether they are drawn."""
+    found = mixing.drawn(documents(spark, folder), MIX_TARGETS, MIX_RATE)
+    return found.select(
+        "doc_id", "_mix.source", "_mix.lang", "_mix.topic", F.col("_mix.tokens").alias("n_tokens"),
+        F.round("_mix.probability", 4).alias("probability"), "_mix.kept",
+    )
