@@ -38,6 +38,8 @@ SKETCH = 64
 RETAINED = 32
 LIST = 64
 LEAST_SHARED = 13
+#: Lists that must propose a pair; it is met in about 27, and in four parts of each long one.
+LEAST_LISTS = 4
 #: Share of the union sketch below which a pair is not verified: at a similarity of 0.85,
 #: 64 values fall short of it by more than six standard deviations.
 LEAST_ESTIMATE = 0.55
@@ -81,7 +83,7 @@ def _sets(docs: DataFrame, whole: bool) -> DataFrame:
 
 
 def _node() -> Column:
-    return F.struct("doc_id", "digest")
+    return F.struct("doc_id", "digest", "n")
 
 
 def _shared(classes: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def _shared(classes: DataFrame) -> DataFrame:
         entries.groupBy("value")
         .agg(
             F.count(F.lit(1)).alias("length"), F.min("node").alias("first"),
-            F.min(F.struct(F.xxhash64("node", "value"), F.col("node"))).alias("second"),
+            F.min(F.struct(F.xxhash64("node.digest"), F.col("node"))).alias("second"),
         )
         .where("length > 1")
         .select("value", "length", "first", F.col("second.node").alias("second")),
@@ -102,12 +104,21 @@ def _shared(classes: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("value", "length", "first", "second"))).alias("lists")
     )
     # a set smaller than the sketch may share all it has and still be below the number
-    size = classes.select("node", F.least(F.lit(LEAST_SHARED), F.ceil(F.col("n") * 0.4)).alias("least"))
-    return stored(met.join(size, "node").where(F.size("lists") >= F.col("least")).drop("least"), "shared")
+    least = F.least(F.lit(LEAST_SHARED), F.ceil(F.col("node.n") * 0.4))
+    return stored(met.where(F.size("lists") >= least), "shared")
+
+
+def _often(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) whose sizes allow a link, met in ``LEAST_LISTS`` lists or more.
+    ``pairs`` has one row for each list."""
+    sized = pairs.where("u != v and 100 * least(u.n, v.n) >= 85 * greatest(u.n, v.n)")
+    least = F.least(F.lit(LEAST_LISTS), F.ceil(F.least("u.n", "v.n") * 0.4))
+    counted = sized.groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists"))
+    return counted.where(F.col("lists") >= least).select("u", "v")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose sizes and sketches allow a link."""
+    """Pairs (u, v) whose sketches allow a link."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -124,12 +135,10 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
         return step
 
-    own = classes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("values").alias("xu"))
-    other = classes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("values").alias("xv"))
-    sized = (
-        stored(pairs.distinct(), "pairs").join(own, "u").join(other, "v")
-        .where("100 * least(nu, nv) >= 85 * greatest(nu, nv)").select("u", "v", "xu", "xv")
-    )
+    pairs = stored(pairs, "pairs")
+    own = classes.select(F.col("node").alias("u"), F.col("values").alias("xu"))
+    other = classes.select(F.col("node").alias("v"), F.col("values").alias("xv"))
+    sized = pairs.join(own, "u").join(other, "v").select("u", "v", "xu", "xv")
     kind = dict(pairs.dtypes)["u"]
     return stored(map_rows(sized, make, f"u {kind}, v {kind}"), "estimated")
 
@@ -163,9 +172,9 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _first_round(shared: DataFrame) -> DataFrame:
     """Each class with the leaders of its lists."""
-    leaders = F.array_distinct(F.flatten(F.transform("lists", lambda x: F.array(x["first"], x["second"]))))
-    pairs = shared.select(F.col("node").alias("a"), F.explode(leaders).alias("b")).where("a != b")
-    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    leaders = F.flatten(F.transform("lists", lambda x: F.array(x["first"], x["second"])))
+    pairs = shared.select(F.col("node").alias("a"), F.explode(leaders).alias("b"))
+    return _often(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
 
 
 def _second_round(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,11 +202,10 @@ def _second_round(shared: DataFrame, labels: DataFrame) -> DataFrame:
         entries.groupBy("key")
         .agg(
             F.count(F.lit(1)).alias("length"), F.min("label").alias("low"), F.max("label").alias("high"),
-            F.min(F.struct(F.xxhash64("node", "key"), F.col("node"))).alias("one"),
-            F.max(F.struct(F.xxhash64("node", "key"), F.col("node"))).alias("two"),
+            F.min("node").alias("one"), F.max("node").alias("two"),
         )
         .where("low != high")
-        .select("key", "length", F.col("one.node").alias("one"), F.col("two.node").alias("two")),
+        .select("key", "length", "one", "two"),
         "mixed",
     )
     met = stored(entries.join(mixed, "key"), "met")
@@ -209,8 +217,8 @@ def _second_round(shared: DataFrame, labels: DataFrame) -> DataFrame:
         "a", F.explode(F.slice("m", F.col("k") + 2, LIST)).alias("b")
     ).where("a.label != b.label").select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     led = met.where(F.col("length") > LIST).select("node", F.explode(F.array("one", "two")).alias("b"))
-    led = led.where("node != b").select(F.least("node", "b").alias("u"), F.greatest("node", "b").alias("v"))
-    return crossed.unionByName(led)
+    led = led.select(F.least("node", "b").alias("u"), F.greatest("node", "b").alias("v"))
+    return _often(crossed.unionByName(led))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal sets have equal sketches: the class is named by its least id
     classes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "values")).alias("r"))
     classes = stored(
-        classes.select("digest", "r.*").select(_node().alias("node"), "n", "values"), "classes"
+        classes.select("digest", "r.*").select(_node().alias("node"), "values"), "classes"
     )
     shared = _shared(classes)
     edges = stored(_verified(_estimated(_first_round(shared), classes), rows), "links")
