@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raremill.llm import chat, decontaminate, line_rules, mixing, near_dedup, secrets, token_files, toxicity
+from raremill.llm import chat, decontaminate, line_rules, mixing, near_dedup, pii, secrets, token_files, toxicity
 from raremill.llm.tasks import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,9 @@ def op1_mixture(spark, folder):
         "doc_id", "_mix.source", "_mix.lang", "_mix.topic", F.col("_mix.tokens").alias("n_tokens"),
         F.round("_mix.probability", 4).alias("probability"), "_mix.kept",
     )
+
+
+@query()
+def op9_disclosures(spark, folder):
+    """Personal data of all documents and the terms that reveal it."""
+    return pii.digests(pii.disclosures(documents(spark, folder)))
