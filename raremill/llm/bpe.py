@@ -12,9 +12,12 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct chunks a Python worker remembers before it starts anew.
 REMEMBERED = 500_000
+_FINE, _COARSE = (".", ",", " ", "\n"), (" ", "\n")
 _SPACE_RUN = re.compile(r"\s[ \n]")
 #: Latin-1 bytes by kind: letter or digit, plain space, other space, point or comma, the rest.
 _KINDS = bytes(
@@ -98,17 +101,15 @@ class Encoder:
         shift = starts - np.cumsum(lengths) + lengths
         return self._kept["ids"][np.repeat(shift, lengths) + np.arange(lengths.sum())], lengths
 
-    def _cut(self, text: str) -> list[str] | None:
-        """Chunks that can be encoded one by one; None: encode the text whole."""
-        if "\0" in text or not text:
+    def _cuts(self, text: str) -> tuple[str, ...] | None:
+        """Marks before which the text may be cut; None: it must be encoded whole."""
+        if not text or "\0" in text:
             return None
         if not self._as_text and any(s in text for s in self._special):
             return None
         if _plain(text):
-            text = text.replace(".", "\0.").replace(",", "\0,")
-        elif _SPACE_RUN.search(text):
-            return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            return _FINE
+        return None if _SPACE_RUN.search(text) else _COARSE
 
     def _learn(self) -> None:
         """Encode the chunks met for the first time, a thousand at once. Chunks of a space
@@ -144,28 +145,34 @@ class Encoder:
         """All ids, one text after the other, and the number of ids of each text."""
         if len(self._kept["chunks"]) > REMEMBERED:
             self._forget()
+        kinds = [self._cuts(t) for t in texts]
+        order, pieces, sizes = [], [], []
+        for marks in (_FINE, _COARSE):
+            own = [k for k, kind in enumerate(kinds) if kind is marks]
+            cut = pa.array([texts[k] for k in own], pa.large_string())
+            for mark in marks:
+                cut = pc.replace_substring(cut, mark, f"\0{mark}")
+            cut = pc.split_pattern(cut, "\0")
+            order += own
+            pieces.append(cut.values)
+            sizes.append(np.diff(cut.offsets.to_numpy()))
+        # each distinct piece of the batch is looked up once
+        coded = pa.chunked_array(pieces).combine_chunks().dictionary_encode()
         look = self._kept["chunks"].__getitem__
-        codes, sizes, whole = [np.empty(0, np.int64)], np.zeros(len(texts), np.int64), []
-        for k, text in enumerate(texts):
-            parts = self._cut(text)
-            if parts is None:
-                whole.append(k)
-            else:
-                codes.append(np.fromiter(map(look, parts), np.int64, len(parts)))
-                sizes[k] = len(parts)
+        codes = np.fromiter(map(look, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         if self._kept["chunks"].fresh:
             self._learn()
-        codes = np.concatenate(codes)
+        codes = codes[coded.indices.to_numpy()]
         self._kept["uses"] += np.bincount(codes, minlength=len(self._kept["uses"]))
         flat, lengths = self._gather(codes)
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        bounds = ends[np.concatenate([[0], np.cumsum(sizes)])]
-        counts = np.diff(bounds)
-        if not whole:
-            return flat, counts
-        pieces = [flat[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
+        bounds = ends[np.concatenate([[0], np.cumsum(np.concatenate(sizes))])]
+        if len(order) == len(texts) == len(sizes[0]):
+            return flat, np.diff(bounds)
+        found = {k: flat[a:b] for k, a, b in zip(order, bounds, bounds[1:])}
+        whole = [k for k, kind in enumerate(kinds) if kind is None]
         slow = self._tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)
-        for k, one in zip(whole, slow, strict=True):
-            pieces[k] = np.array(one.ids, np.int32)
-            counts[k] = len(pieces[k])
-        return np.concatenate(pieces) if pieces else flat, counts
+        found |= {k: np.array(one.ids, np.int32) for k, one in zip(whole, slow, strict=True)}
+        parts = [found[k] for k in range(len(texts))]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.concatenate([np.empty(0, np.int32), *parts]), counts

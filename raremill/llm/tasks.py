@@ -14,15 +14,15 @@ from raremill.session import shared_folder
 ROWS = 256
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, rows: int = ROWS) -> DataFrame:
     """Run ``make()`` once per task and the function it returns on each slice of at
-    most ``ROWS`` rows; the function maps a RecordBatch to a RecordBatch or None."""
+    most ``rows`` rows; the function maps a RecordBatch to a RecordBatch or None."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                out = step(batch.slice(at, ROWS))
+            for at in range(0, batch.num_rows, rows):
+                out = step(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
 
