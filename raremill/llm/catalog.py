@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raremill.llm import chat, decontaminate, line_rules, mixing, near_dedup, pii, secrets, token_files, toxicity
+from raremill.llm import chat, decontaminate, line_rules, mixing, near_dedup, passages, pii, secrets, token_files, toxicity
 from raremill.llm.tasks import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,9 @@ def op1_mixture(spark, folder):
 def op9_disclosures(spark, folder):
     """Personal data of all documents and the terms that reveal it."""
     return pii.digests(pii.disclosures(documents(spark, folder)))
+
+
+@query()
+def op4_passages(spark, folder):
+    """Passages of 50 words or more that documents share, exactly or nearly."""
+    return passages.passages(documents(spark, folder))

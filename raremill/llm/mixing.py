@@ -64,8 +64,8 @@ def _target(cells: DataFrame, dim: str, target: float | DataFrame) -> DataFrame:
         own = own.join(target.select(F.col("value").alias(dim), "weight"), dim).groupBy(dim).agg(F.max("weight").alias("w"))
     else:
         own = own.select(dim, F.pow("t", F.lit(float(target))).alias("w"))
-    total = own.agg(F.sum("w").alias("all"))
-    return own.join(F.broadcast(total)).select(dim, (F.col("w") / F.col("all")).alias("goal"))  # one row
+    total = own.agg(F.sum("w")).first()[0] or 1.0
+    return own.select(dim, (F.col("w") / F.lit(total)).alias("goal"))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, float | DataFrame], tolerance: float = 1e-8, rounds: int = 200) -> DataFrame:
