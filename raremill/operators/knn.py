@@ -10,8 +10,10 @@ The join never pairs everything with everything and keeps every task bounded:
 3. Each block bounds its seeds' k-th distance from inside the block, then the
    triangle inequality against the pivots tells which cells can still hold a
    closer vector. Seeds are sent only there.
-4. Blocks meet by an equi-join on (cell, slice); a numpy kernel keeps at most k
-   rows per seed and block, and a top-k window (limited map-side) merges them.
+4. Seeds and blocks meet by an equi-join on groups of cells and of senders, the
+   square root of the number of blocks of each, so that no vector travels more often
+   than that. A numpy kernel keeps at most k rows per seed and block, and a top-k
+   window (limited map-side) merges them.
 
 Pivot choice and block size change the work, never the result. At most
 ``max_pivots`` vectors and cell statistics reach the driver.
@@ -77,7 +79,7 @@ def neighbour_lists(
         raise ValueError("k must be at least 1")
     rows = points.select(
         F.col(id_col).cast("long").alias("id"),
-        F.col(features_col).alias("features"),
+        F.col(features_col).cast("array<double>").alias("features"),
         (F.lit(True) if seed is None else F.coalesce(seed, F.lit(False))).alias("is_seed"),
     ).where(is_finite(F.col("features")))
     # the hash leads every sort and join on vectors: comparing arrays is slow
@@ -132,32 +134,38 @@ def _vector_neighbours(
     """Per seed vector the k nearest rows that belong to other vectors:
     (vid, others: array<struct<dist, id>>)."""
     n = vectors.count()
-    if n <= block_rows:
-        block = _pack(vectors.withColumn("cell", F.lit(0)).withColumn("slice", F.lit(0)))
-        seeds = F.transform(
-            F.filter("rows", lambda r: r["is_seed"]),
-            lambda r: F.struct(
-                r["vid"].alias("vid"),
-                r["features"].alias("features"),
-                F.lit(float("inf")).alias("limit"),
-            ),
-        )
-        meetings = block.select(seeds.alias("seeds"), "rows")
-    else:
-        # cells smaller than a block prune better; only crowded ones are sliced
-        cells = min(max_pivots, math.ceil(4 * n / block_rows))
-        pivots = _choose_pivots(vectors, n, cells)
-        placed = _place(vectors, pivots)
-        summary = _cell_summary(placed, block_rows)
-        slices = F.broadcast(summary.select("cell", "slices"))
-        own = F.pmod(F.xxhash64("vid"), F.col("slices")).cast("int")
-        blocks = cut_lineage(_pack(placed.join(slices, "cell", "left").withColumn("slice", own)))
-        requests = _requests(blocks, pivots, summary, k)
-        # requests can outgrow any estimate made before they exist: never broadcast them
-        meetings = requests.hint("merge").join(blocks, ["cell", "slice"]).select("seeds", "rows")
+    # cells smaller than a block prune better; only crowded ones are sliced
+    cells = min(max_pivots, math.ceil(4 * n / block_rows))
+    groups = max(1, math.isqrt(max(0, n - 1) // block_rows + 1))
+    pivots = _choose_pivots(vectors, n, cells)
+    placed = _place(vectors, pivots)
+    summary = _cell_summary(placed, block_rows)
+    slices = F.broadcast(summary.select("cell", "slices"))
+    own = F.pmod(F.xxhash64("vid"), F.col("slices")).cast("int")
+    blocks = cut_lineage(_pack(placed.join(slices, "cell", "left").withColumn("slice", own)))
+    requests = _requests(blocks, pivots, summary, k, groups)
+    meetings = _meet(requests, blocks, groups).select("seeds", "rows")
     return _merge(_probe(meetings, k), k)
 
 
+def _meet(requests: DataFrame, blocks: DataFrame, groups: int) -> DataFrame:
+    """Requests beside the blocks of the cells they ask for.
+
+    Cells and senders both fall into ``groups`` groups. A seed travels once to each group
+    of cells that it needs, a block once to each group of senders, so that the shuffle
+    grows with ``groups`` and not with the number of blocks."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    held = blocks.select("*", _cell_group(groups).alias("group"), every.alias("senders"))
+    # requests can outgrow any estimate made before they exist: never broadcast them
+    joined = requests.hint("merge").join(held, ["group", "senders"])
+    asking = F.filter("asked", lambda x: F.array_contains(x["cells"], F.col("cell")))
+    return joined.select(asking.alias("seeds"), "rows").where(F.size("seeds") > 0)
+
+
+def _cell_group(groups: int) -> Column:
+    return (F.col("cell") % groups).cast("int")
+
+
 def _choose_pivots(vectors: DataFrame, n: int, cells: int) -> np.ndarray:
     """A fixed-size hash sample; the only vectors that reach the driver. Rows that
     cannot be among the smallest hashes are filtered out where they are read."""
@@ -203,51 +211,68 @@ def _pack(placed: DataFrame) -> DataFrame:
     return placed.groupBy("cell", "slice").agg(F.collect_list(member).alias("rows"))
 
 
-def _requests(blocks: DataFrame, pivots: np.ndarray, summary: DataFrame, k: int) -> DataFrame:
-    """The seeds each block sends to each cell that may hold a closer vector."""
+def _requests(
+    blocks: DataFrame, pivots: np.ndarray, summary: DataFrame, k: int, groups: int
+) -> DataFrame:
+    """The seeds each block sends to each group of cells, each with the cells of the group
+    that may hold a closer vector."""
     cells = len(pivots)
     inner, outer = np.full(cells, np.inf), np.full(cells, -np.inf)
-    slices = np.zeros(cells, dtype=np.int32)
     for row in summary.collect():
-        inner[row.cell], outer[row.cell], slices[row.cell] = row.inner, row.outer, row.slices
+        inner[row.cell], outer[row.cell] = row.inner, row.outer
 
     def send(batches):
         for batch in batches:
-            for members in batch.column("rows"):
+            for cell, part, members in zip(
+                batch.column("cell"), batch.column("slice"), batch.column("rows"), strict=True
+            ):
                 members = members.values
-                is_seed = members.field("is_seed")
-                seeds = members.filter(is_seed)
+                seeds = members.filter(members.field("is_seed"))
                 if len(seeds) == 0:
                     continue
                 limit = _limits(seeds, members, k)
                 wanted = nearest.reachable_cells(
                     _matrix(seeds.field("features")), limit, pivots, inner, outer
                 )
-                for cell in np.flatnonzero(wanted.any(axis=0) & (slices > 0)):
-                    take = pa.array(np.flatnonzero(wanted[:, cell]))
+                wanted &= np.isfinite(inner)
+                for group in range(groups):
+                    own = wanted[:, group::groups]
+                    take = np.flatnonzero(own.any(axis=1))
+                    if not len(take):
+                        continue
+                    counts = own[take].sum(axis=1)
+                    asked = np.nonzero(own[take])[1] * groups + group
                     sent = pa.StructArray.from_arrays(
                         [
-                            seeds.field("vid").take(take),
-                            seeds.field("features").take(take),
-                            pa.array(limit).take(take),
+                            seeds.field("vid").take(pa.array(take)),
+                            seeds.field("features").take(pa.array(take)),
+                            pa.array(limit[take]),
+                            _lists(asked.astype(np.int32), counts),
                         ],
-                        names=["vid", "features", "limit"],
+                        names=["vid", "features", "limit", "cells"],
                     )
+                    sender = (cell.as_py() + part.as_py()) // groups % groups
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([cell], pa.int32()),
-                            pa.array([slices[cell]], pa.int32()),
-                            pa.ListArray.from_arrays(pa.array([0, len(sent)], pa.int32()), sent),
+                            pa.array([group], pa.int32()),
+                            pa.array([sender], pa.int32()),
+                            _lists(sent, [len(sent)]),
                         ],
-                        names=["cell", "slices", "seeds"],
+                        names=["group", "senders", "asked"],
                     )
 
-    sent = blocks.select("rows").mapInArrow(
+    return blocks.select("cell", "slice", "rows").mapInArrow(
         send,
-        "cell int, slices int, seeds array<struct<vid:bigint,features:array<double>,limit:double>>",
+        "group int, senders int, "
+        "asked array<struct<vid:bigint,features:array<double>,limit:double,cells:array<int>>>",
+    )
+
+
+def _lists(values, counts) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values)
     )
-    every_slice = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    return sent.select("cell", every_slice.alias("slice"), "seeds")
 
 
 def _limits(seeds: pa.StructArray, members: pa.StructArray, k: int) -> np.ndarray:
