@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct chunks a Python worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Distinct chunks a task remembers before it starts anew.
+REMEMBERED = 300_000
 _FINE, _COARSE = (".", ",", " ", "\n"), (" ", "\n")
 _SPACE_RUN = re.compile(r"\s[ \n]")
 #: Latin-1 bytes by kind: letter or digit, plain space, other space, point or comma, the rest.
@@ -37,14 +37,6 @@ def _plain(text: str) -> bool:
     return not any(pair in kinds for pair in _UNCLEAR)
 
 
-def _known(key: tuple) -> dict:
-    """What this process keeps for ``key``; tasks get this module by value, so its own
-    globals do not outlive a task."""
-    import tokenizers
-
-    return tokenizers.__dict__.setdefault("_known_pieces", {}).setdefault(key, {})
-
-
 class _Chunks(dict):
     def __init__(self):
         super().__init__()
@@ -78,14 +70,13 @@ class Encoder:
         self._tokenizer = load(path or default_vocabulary(), special_as_text)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._as_text = special_as_text
-        self._kept = _known((path, special_as_text))
-        if not self._kept or self._kept["chunks"].fresh:
-            self._forget()
+        self._kept: dict = {}
+        self._forget()
 
     def _forget(self) -> None:
         """Keep only the chunks that were met again since the last time."""
         old, ids, ends = _Chunks(), np.empty(0, np.int32), np.zeros(1, np.int64)
-        if self._kept and not self._kept["chunks"].fresh:
+        if self._kept:
             again = np.flatnonzero(self._kept["uses"] > 1)
             if len(again) < REMEMBERED // 2:
                 known = list(self._kept["chunks"])

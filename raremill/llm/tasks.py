@@ -12,6 +12,9 @@ from raremill.session import shared_folder
 
 #: Rows handed to a function at once inside a task.
 ROWS = 256
+#: Rows that Spark sends to a task's Python side at once; texts and sets are long rows.
+_SENT = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_MOST_SENT = 1024
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, rows: int = ROWS) -> DataFrame:
@@ -25,7 +28,11 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, rows: int
                 out = step(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()
 
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_SENT)) <= _MOST_SENT:
+        conf.set(_SENT, str(_MOST_SENT))
     return df.mapInArrow(task, schema)
 
 

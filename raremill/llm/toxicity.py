@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from raremill.llm.tasks import map_rows, stored
 
 _WORD = re.compile(r"\w+")
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 _BLOCK = 64
 
 
