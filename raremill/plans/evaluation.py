@@ -18,9 +18,12 @@ def evaluate_predictions(predictions: DataFrame) -> DataFrame:
     return row.select(*[F.col(n).cast("double").alias(n) for n in [*METRIC_NAMES, "fpr"]])
 
 
-def evaluate_folder(spark: SparkSession, path: str, log: str | None = None) -> DataFrame:
-    """Evaluate a folder of prediction files; with ``log`` append the row there."""
-    row = evaluate_predictions(read_predictions(spark, path))
+def evaluate_folder(
+    spark: SparkSession, path: str, log: str | None = None, fmt: str = "csv"
+) -> DataFrame:
+    """Evaluate a folder of prediction files; with ``log`` append the row there.
+    Files of another format than ``fmt`` raise."""
+    row = evaluate_predictions(read_predictions(spark, path, fmt))
     if log:
         row = cut_lineage(row)
         append_log(row, log)

@@ -310,12 +310,6 @@ THROUGHPUT = (
 )
 
 
-STREAM_THROUGHPUT = (
-    f"select * from ({THROUGHPUT}) q where window_start + interval 5 seconds "
-    "<= (select date_trunc('millisecond', max(ts)) from events)"
-)
-
-
 def publish(cycles: int) -> str:
     uuid = _uuid("('send:1:' || \"ID\" || ':' || c.cycle)")
     return txn(

@@ -11,31 +11,16 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from raremill.functions.times import run_stamp
 from raremill.operators.metrics import evaluation
 from raremill.operators.projection import label_indexer, label_names
 from raremill.operators.sampling import train_test_split, undersample
 from raremill.operators.smote import smote
-from raremill.schema import ID, LABEL, METRIC_NAMES, TUNING_LOG, feature_cols
+from raremill.schema import ID, LABEL, METRIC_NAMES, REPORT, SUBMODELS, TUNING_LOG, feature_cols
 from raremill.session import cut_lineage
 from raremill.sinks.files import append_log, save_model, write_table
 
-# older logs hold the false-positive rate under the name "specificity"; reports carry
-# both, each under its proper name
-REPORT = T.StructType([*TUNING_LOG.fields, T.StructField("fpr", T.DoubleType())])
-
-SUBMODELS = T.StructType(
-    [
-        T.StructField("executionTime", T.StringType()),
-        T.StructField("undersampling", T.DoubleType()),
-        T.StructField("oversampling", T.LongType()),
-        T.StructField("params", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("metric", T.DoubleType()),
-    ]
-)
-
 
 @dataclass(frozen=True)
 class ForestGrid:
@@ -189,7 +174,7 @@ def sweep(
         )
         maps = zip(model.getEstimatorParamMaps(), model.avgMetrics)
         rows += [
-            (started, float(u), int(o), {p.name: str(v) for p, v in params.items()}, float(metric))
+            (started, float(u), float(o), {p.name: str(v) for p, v in params.items()}, float(metric))
             for params, metric in maps
         ]
         settings.append(Setting(o, u, float(max(model.avgMetrics)), model))
@@ -230,7 +215,7 @@ def _report(predictions, best, started, workers, over, under, grid, max_memory_m
         "executionTime": started,
         "numWorkerNodes": workers,
         "undersampling": float(best.under),
-        "oversampling": int(best.over),
+        "oversampling": float(best.over),
         **{
             n: params[n]
             for n in (

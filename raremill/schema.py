@@ -101,3 +101,22 @@ _TUNING_FIELDS = [
 ]
 
 TUNING_LOG = T.StructType([T.StructField(n, t) for n, t in _TUNING_FIELDS])
+
+# Our own logs. Rates may be fractions. Older logs hold the false-positive rate under the
+# name "specificity"; reports carry both, each under its proper name.
+REPORT = T.StructType(
+    [
+        *(T.StructField(f.name, T.DoubleType()) if f.name == "oversampling" else f for f in TUNING_LOG),
+        T.StructField("fpr", T.DoubleType()),
+    ]
+)
+
+SUBMODELS = T.StructType(
+    [
+        T.StructField("executionTime", T.StringType()),
+        T.StructField("undersampling", T.DoubleType()),
+        T.StructField("oversampling", T.DoubleType()),
+        T.StructField("params", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("metric", T.DoubleType()),
+    ]
+)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raremill.sources import delimited
@@ -39,12 +40,20 @@ def save_model(model: MLWritable, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def copy_run_tables(spark: SparkSession, source: str, target: str, with_id: bool = True) -> None:
+def copy_run_tables(
+    spark: SparkSession, source: str, target: str, with_id: bool = True, fmt: str = "csv", with_seconds: bool = False
+) -> None:
     """Copy a run's test partition (overwriting) and its two logs (appending), each
-    to its own target."""
-    test = delimited.read_test_partition(spark, f"{source}/test_partition.csv", with_id=with_id)
-    write_table(test, f"{target}/test_partition.csv", "csv")
-    runs = delimited.read_run_log(spark, f"{source}/tuning_log.csv")
-    append_log(runs, f"{target}/tuning_log.csv", "csv")
-    submodels = delimited.read_submodel_log(spark, f"{source}/submodel_log.csv")
-    append_log(submodels, f"{target}/submodel_log.csv", "csv")
+    to its own target, in the format they have. A sweep stores Parquet; text tables end in
+    ``.csv``."""
+    end = ".csv" if fmt == "csv" else ""
+    test = delimited.read_test_partition(spark, f"{source}/test_partition{end}", with_seconds, with_id, fmt)
+    write_table(test, f"{target}/test_partition{end}", fmt)
+    runs = delimited.read_run_log(spark, f"{source}/tuning_log{end}", fmt)
+    append_log(runs, f"{target}/tuning_log{end}", fmt)
+    submodels = delimited.read_submodel_log(spark, f"{source}/submodel_log{end}", fmt)
+    if fmt == "csv":
+        # the parameter list holds commas that must not be quoted
+        line = F.concat_ws(",", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in submodels.columns])
+        submodels, fmt = submodels.select(line.alias("value")), "text"
+    append_log(submodels, f"{target}/submodel_log{end}", fmt)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raremill.schema import (
-    ID, PREDICTIONS, SUBMODEL_LOG, TUNING_LOG, oversampled_schema, txn_schema,
+    ID, PREDICTIONS, REPORT, SUBMODEL_LOG, SUBMODELS, TUNING_LOG, oversampled_schema, txn_schema,
 )
 
 
@@ -47,6 +47,29 @@ def read_labelled_text(
     return labelled_lines(spark.read.text(path), n_features, delimiter, label)
 
 
+def not_blank(line: str = "value") -> Column:
+    """Lines with a character other than white space; blank ones are no rows in any table."""
+    return F.trim(F.regexp_replace(line, r"\s", "")) != ""
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of delimited files; files of another format raise."""
+    lines = spark.read.text(path)
+    first = lines.head(1)
+    if first and first[0].value.startswith(("PAR1", "ORC", "Obj\x01")):
+        raise ValueError(f"{path} holds no delimited text")
+    return lines.where(not_blank())
+
+
+def stored_rows(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
+    """A stored table of another format than text; a missing column raises."""
+    found = spark.read.format(fmt).load(path)
+    missing = [n for n in schema.names if n not in found.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return found.select([F.col(f.name).cast(f.dataType) for f in schema])
+
+
 def strict_rows(
     df: DataFrame,
     schema: T.StructType,
@@ -57,8 +80,9 @@ def strict_rows(
     """Typed rows of the lines that fit ``schema``; the others are dropped.
 
     An empty field is null, which only a nullable column accepts. Header lines do
-    not fit and drop out like any other.
+    not fit and drop out like any other; blank lines are no rows.
     """
+    df = df.where(not_blank(line))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     options = {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     # a generator keeps each line parsed once: a filter is not pushed through it
@@ -97,9 +121,10 @@ def read_transactions(spark: SparkSession, path: str, with_seconds: bool = False
 def read_transactions_leniently(
     spark: SparkSession, path: str, with_seconds: bool = False, header: bool = True
 ) -> DataFrame:
-    """Every line as a transaction, but for the first line of each file if it is a header."""
-    lines = _without_first_lines(spark, path) if header else spark.read.text(path)
-    return lenient_rows(lines, with_seconds)
+    """Every line that is not blank as a transaction, but for the first line of each file
+    if it is a header."""
+    lines = _without_first_lines(spark, path) if header else text_lines(spark, path)
+    return lenient_rows(lines.where(not_blank()), with_seconds)
 
 
 def _without_first_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -114,24 +139,34 @@ def read_oversampled(spark: SparkSession, path: str, with_seconds: bool = False)
     return strict_rows(spark.read.text(path), oversampled_schema(with_seconds))
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return strict_rows(spark.read.text(path), PREDICTIONS)
+def read_predictions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    if fmt != "csv":
+        return stored_rows(spark, path, PREDICTIONS, fmt)
+    return strict_rows(text_lines(spark, path), PREDICTIONS)
 
 
 def read_test_partition(
-    spark: SparkSession, path: str, with_seconds: bool = False, with_id: bool = True
+    spark: SparkSession, path: str, with_seconds: bool = False, with_id: bool = True, fmt: str = "csv"
 ) -> DataFrame:
-    return strict_rows(spark.read.text(path), txn_schema(with_seconds, with_id=with_id))
+    schema = txn_schema(with_seconds, with_id=with_id)
+    if fmt != "csv":
+        return stored_rows(spark, path, schema, fmt)
+    return strict_rows(text_lines(spark, path), schema)
 
 
-def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    return strict_rows(spark.read.text(path), TUNING_LOG)
+def read_run_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """The text form has the older log's columns, the others the report's."""
+    if fmt != "csv":
+        return stored_rows(spark, path, REPORT, fmt)
+    return strict_rows(text_lines(spark, path), TUNING_LOG)
 
 
-def read_submodel_log(spark: SparkSession, path: str) -> DataFrame:
-    """The parameter list itself contains commas: everything between the third field
-    and the last is ``params``."""
-    parts = spark.read.text(path).select(fields(F.col("value")).alias("_f"))
+def read_submodel_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """The text form's parameter list itself contains commas: everything between the third
+    field and the last is ``params``. The other forms hold it as a map."""
+    if fmt != "csv":
+        return stored_rows(spark, path, SUBMODELS, fmt)
+    parts = text_lines(spark, path).select(fields(F.col("value")).alias("_f"))
     n = F.size("_f")
     row = parts.where(n >= len(SUBMODEL_LOG)).select(
         F.col("_f")[0].alias("executionTime"),
@@ -145,4 +180,3 @@ def read_submodel_log(spark: SparkSession, path: str) -> DataFrame:
         & F.col("oversampling").isNotNull()
         & F.col("metric").isNotNull()
     )
-

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from raremill.operators.throughput import throughput
+from raremill.sinks.files import write_table
 
 
 def throughput_stream(
@@ -29,3 +31,32 @@ def throughput_stream(
     if available_now:
         return writer.trigger(availableNow=True).start()
     return writer.start()
+
+
+def throughput_updates(
+    events: DataFrame,
+    time_col: str,
+    path: str,
+    checkpoint: str,
+    seconds: int = 5,
+    lateness: str = "10 seconds",
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Store each window whenever it changes, the last open one too: one folder per
+    micro-batch, which a batch that is run again replaces. ``latest_windows`` reads them."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        write_table(batch, f"{path}/batch_id={batch_id}")
+
+    counted = throughput(events, time_col, seconds, watermark=lateness)
+    writer = counted.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(store)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def latest_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The last state of each window that ``throughput_updates`` stored."""
+    stored = spark.read.parquet(path)
+    names = [n for n in stored.columns if n not in ("batch_id", "window_start")]
+    last = F.max_by(F.struct(*names), F.col("batch_id").cast("long"))
+    return stored.groupBy("window_start").agg(last.alias("s")).select("window_start", "s.*")

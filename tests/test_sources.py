@@ -148,3 +148,39 @@ def test_topics():
     options = messages.kafka_options("h:9092", "a,b", 500)
     assert options["subscribe"] == "a,b" and options["startingOffsets"] == "earliest"
     assert options["failOnDataLoss"] == "false" and options["maxOffsetsPerTrigger"] == "500"
+
+
+def test_blank_lines_are_no_rows(spark, tmp_path):
+    line = "u,1,1.0,1.0,0.0,5,2020-01-01T00:00:00.000000Z"
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.csv").write_text(f"{line}\n\n  \n{line}\n")
+    assert delimited.read_predictions(spark, str(tmp_path / "p")).count() == 2
+    row = ",".join(["7"] + ["0.5"] * 29 + ["1"])
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.csv").write_text(f"{row}\n\n \nx\n{row}\n")
+    assert delimited.read_transactions_leniently(spark, str(tmp_path / "t"), header=False).count() == 3
+    assert delimited.read_transactions_leniently(spark, str(tmp_path / "t"), header=True).count() == 2
+
+
+def test_other_formats_are_read_or_raise(spark, tmp_path):
+    path = str(tmp_path / "pred")
+    rows = [("u", 1, 1.0, 1.0, 0.0, 5, None)]
+    spark.createDataFrame(rows, schema.PREDICTIONS).write.parquet(path)
+    assert delimited.read_predictions(spark, path, "parquet").count() == 1
+    with pytest.raises(ValueError):
+        delimited.read_predictions(spark, path).count()
+    with pytest.raises(ValueError):
+        delimited.read_run_log(spark, path, "parquet")
+
+
+def test_copied_submodel_log_reads_back(spark, tmp_path):
+    source, target = tmp_path / "s", tmp_path / "c"
+    source.mkdir()
+    log = "01.02.2020-03:04:05,0.3,2,maxDepth:5,numTrees:10,0.75"
+    (source / "submodel_log.csv").write_text(log + "\n")
+    (source / "tuning_log.csv").write_text("\n")
+    (source / "test_partition.csv").write_text("\n")
+    files.copy_run_tables(spark, str(source), str(target))
+    first = delimited.read_submodel_log(spark, str(source / "submodel_log.csv")).collect()
+    assert first[0].params == "maxDepth:5,numTrees:10"
+    assert delimited.read_submodel_log(spark, f"{target}/submodel_log.csv").collect() == first
