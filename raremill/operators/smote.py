@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +33,56 @@ def pick_neighbours(lists: DataFrame, key: str, seed: int = 1) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Rare:
+    """Minority rows kept in the shared folder: ``rows`` (id, user_id, features) with a unique
+    ``id``, whether any id differs from the user's, and their neighbour ``lists``."""
+
+    rows: DataFrame
+    renamed: bool
+    lists: DataFrame | None = None
+
+
+def rare_rows(
+    df: DataFrame, features: list[str], label: str, key: str, minority: int = 1
+) -> Rare:
+    """The minority rows of ``df``, read once. A row whose key is null or repeated gets an id
+    hashed from its key, features and number among its equals; all others keep theirs."""
+    rare = df.where((F.col(label) == minority) & all_finite(features)).select(
+        F.col(key).cast("long").alias("user_id"), feature_array(features).alias("features")
+    )
+    # a wide scan leaves a few rare rows in each of very many partitions: gather them
+    rare = cut_lineage(rare.hint("rebalance", "user_id"))
+    count = F.count(F.lit(1))
+    again = rare.groupBy("user_id").agg(count.alias("n")).where("n > 1 or user_id is null")
+    if not again.head(1):
+        return Rare(rare.select(F.col("user_id").alias("id"), "user_id", "features"), False)
+    # equal rows are counted before they meet and numbered afterwards
+    same = ["user_id", "h", "features"]
+    numbered = (
+        rare.withColumn("h", F.xxhash64("features")).groupBy(*same).agg(count.alias("n"))
+        .withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    )
+    again = cut_lineage(again.select(F.col("user_id").alias("_again")))
+    marked = numbered.join(again, F.col("user_id").eqNullSafe(F.col("_again")), "left")
+    own = F.col("_again").isNull() & F.col("user_id").isNotNull()
+    name = F.xxhash64(F.lit("row"), "user_id", "h", "number")
+    rows = cut_lineage(
+        marked.select(F.when(own, F.col("user_id")).otherwise(name).alias("id"), "user_id", "features")
+        .hint("rebalance", "id")
+    )
+    if rows.groupBy("id").agg(count.alias("n")).where("n > 1").head(1):
+        raise ValueError("two rows got the same id; give unique keys")
+    return Rare(rows, True)
+
+
+def with_lists(rare: Rare, k: int, seed: Column | None = None, **blocking: int) -> Rare:
+    """``rare`` with the neighbours of its rows, or of those for which ``seed`` holds."""
+    lists = neighbour_lists(rare.rows.select("id", "features"), k, seed=seed, **blocking)
+    # kept: several readers follow, and the search is the costly part
+    return replace(rare, lists=cut_lineage(lists))
+
+
 def synthetic_rows(
     df: DataFrame,
     features: list[str],
@@ -43,31 +95,30 @@ def synthetic_rows(
     minority: int = 1,
     block_rows: int = BLOCK_ROWS,
     max_pivots: int = MAX_PIVOTS,
+    rare: Rare | None = None,
 ) -> DataFrame:
     """``round(m * rate)`` synthetic rows for the m minority rows:
     (seed_id, copy, nn_id, label, features).
 
     Each minority row is used ``floor(rate)`` times and a hash-ranked share once
-    more. ``key`` must be a unique bigint without nulls. ``interpolate`` places the new row between seed and neighbour,
-    ``extrapolate`` on the far side of the seed. The minority rows are read from
-    the input once and kept in the shared folder; everything after that works
-    on them alone.
+    more. ``key`` is a bigint; rows that share one, or have none, are still rows of
+    their own, and are named by it in the result. ``interpolate`` places the new row between
+    seed and neighbour, ``extrapolate`` on the far side of the seed. The minority rows are
+    read from the input once and kept in the shared folder; everything after that works
+    on them alone. ``rare`` gives them, with all their lists, when several calls share them.
     """
     if mode not in _MOVES:
         raise ValueError(f"mode must be one of {sorted(_MOVES)}")
-    rare = df.where((F.col(label) == minority) & all_finite(features)).select(
-        F.col(key).cast("long").alias("id"), feature_array(features).alias("features")
-    )
-    # a wide scan leaves a few rare rows in each of very many partitions: gather them
-    rare = cut_lineage(rare.hint("rebalance", "id"))
-    whole, extra = int(rate), extra_copy(rare, rate, "id", seed)
-    lists = neighbour_lists(
-        rare, k, seed=None if whole else extra, block_rows=block_rows, max_pivots=max_pivots
-    )
-    # kept: two readers follow, and the search is the costly part
-    copies = with_copies(cut_lineage(lists), whole, extra)
+    rare = rare or rare_rows(df, features, label, key, minority)
+    whole, extra = int(rate), extra_copy(rare.rows, rate, "id", seed)
+    if rare.lists is None:
+        wanted = None if whole else extra
+        rare = with_lists(rare, k, wanted, block_rows=block_rows, max_pivots=max_pivots)
+    copies = with_copies(rare.lists, whole, extra)
     picked = pick_neighbours(copies, "id", seed)
-    ends = _with_ends(picked, rare, seed)
+    ends = _with_ends(picked, rare.rows, seed)
+    if rare.renamed:
+        ends = _with_user_ids(ends, rare.rows)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     return ends.selectExpr(
         "id as seed_id",
@@ -78,6 +129,14 @@ def synthetic_rows(
     )
 
 
+def _with_user_ids(ends: DataFrame, rows: DataFrame) -> DataFrame:
+    """The user's keys in place of the ids that were made."""
+    for column in ("id", "nn_id"):
+        named = rows.select(F.col("id").alias(column), F.col("user_id").alias("_user"))
+        ends = ends.join(named, column).drop(column).withColumnRenamed("_user", column)
+    return ends
+
+
 def _with_ends(picked: DataFrame, rare: DataFrame, seed: int) -> DataFrame:
     """Fetch the picked neighbour's features by key and draw the gap.
 

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from raremill.functions.times import run_stamp
 from raremill.operators.metrics import evaluation
 from raremill.operators.projection import label_indexer, label_names
-from raremill.operators.sampling import train_test_split, undersample
-from raremill.operators.smote import smote
+from raremill.operators.sampling import fold_column, train_test_split, undersample
+from raremill.operators.smote import Rare, rare_rows, synthetic_rows, with_lists
 from raremill.schema import ID, LABEL, METRIC_NAMES, REPORT, SUBMODELS, TUNING_LOG, feature_cols
 from raremill.session import cut_lineage
 from raremill.sinks.files import append_log, save_model, write_table
 
+FOLD = "fold"
+
 
 @dataclass(frozen=True)
 class ForestGrid:
@@ -127,10 +129,27 @@ def rebalance(
     label: str = LABEL,
     k: int = 5,
     seed: int = 11,
+    folds: int = 5,
+    rare: Rare | None = None,
 ) -> DataFrame:
-    """Undersample the majority, then oversample the minority."""
+    """Undersample the majority, then oversample the minority: (label, features, fold).
+
+    The fold is a hash of the row's key; a synthetic row has that of its seed. ``rare``
+    gives the minority's rows and neighbours, which are the same for every setting."""
+    columns = [label, *feature_cols(with_seconds)]
+    fold = fold_column(key, folds, seed)
     kept = undersample(train, under, label, key, seed)
-    return smote(kept, feature_cols(with_seconds), label, key, over, k, seed)
+    rows = kept.select(*columns, fold.alias(FOLD))
+    if over == 0:
+        return rows
+    made = synthetic_rows(kept, columns[1:], label, key, over, k, seed, rare=rare)
+    own = fold_column("seed_id", folds, seed)
+    return rows.unionByName(made.select(*columns, own.alias(FOLD)))
+
+
+def rare_of(train: DataFrame, with_seconds: bool, key: str, label: str, k: int) -> Rare:
+    """The minority and its neighbours, searched once for all settings of a sweep."""
+    return with_lists(rare_rows(train, feature_cols(with_seconds), label, key), k)
 
 
 def sweep(
@@ -163,14 +182,15 @@ def sweep(
     if not pairs:
         raise ValueError("no sampling settings")
     train, test = train_test_split(df, train_share, key, seed)
+    rare = rare_of(train, with_seconds, key, label, k) if any(o for o, _ in pairs) else None
     settings, rows = [], []
     for o, u in pairs:
-        balanced = rebalance(train, o, u, with_seconds, key, label, k, seed)
-        ready = assemble(balanced, with_seconds).select(label, "features")
+        balanced = rebalance(train, o, u, with_seconds, key, label, k, seed, folds, rare)
+        ready = assemble(balanced, with_seconds).select(label, "features", FOLD)
         # read many times while fitting: stored once, in partitions of even size
         ready = cut_lineage(ready.hint("rebalance"))
         model = cross_validate(
-            ready, grid, label, folds, parallelism, seed, score, max_memory_mb
+            ready, grid, label, folds, parallelism, seed, score, max_memory_mb, FOLD
         )
         maps = zip(model.getEstimatorParamMaps(), model.avgMetrics)
         rows += [
