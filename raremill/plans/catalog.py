@@ -265,6 +265,20 @@ def knn_all_vectors(spark, folder):
     return knn.knn_join(vectors, 5)
 
 
+@query(oracle.KNN_VECTORS)
+def knn_vectors_float(spark, folder):
+    """The embeddings as they are stored."""
+    vectors = table(spark, folder, "embeddings")
+    return knn.knn_join(vectors, 5, "vec_id", "embedding")
+
+
+@query(oracle.KNN_VECTORS)
+def knn_blocked(spark, folder):
+    """The same in small blocks, so that many of them meet."""
+    vectors = table(spark, folder, "embeddings")
+    return knn.knn_join(vectors, 5, "vec_id", "embedding", block_rows=64)
+
+
 @query(oracle.KNN_PICK)
 def knn_neighbor_pick(spark, folder):
     lists = knn.neighbour_lists(minority(spark, folder), 5)
@@ -277,6 +291,30 @@ def smote_synthetic(spark, folder):
     return oversampling.synthetic_rows(transactions(spark, folder), FEATURES, LABEL, ID, 3)
 
 
+@query(oracle.smote(3))
+def smote_blocked(spark, folder):
+    """SMOTE with a neighbour search in small blocks."""
+    txn = transactions(spark, folder)
+    return oversampling.synthetic_rows(txn, FEATURES, LABEL, ID, 3, block_rows=32)
+
+
+@query(oracle.REPEATED_IDS)
+def smote_repeated_ids(spark, folder):
+    """Synthetic rows of each key where every row is there twice and errors have no key."""
+    txn = transactions(spark, folder)
+    twice = sampling.replicate(txn, 2).withColumn(ID, F.when(F.col(ID) % 3 != 0, F.col(ID) % 1000))
+    made = oversampling.synthetic_rows(twice, FEATURES, LABEL, ID, 3)
+    return made.groupBy("seed_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(oracle.FOLD_COUNTS)
+def fold_class_counts(spark, folder):
+    """Classes in each fold of a sweep's rebalanced training rows."""
+    train, _ = sampling.train_test_split(transactions(spark, folder), 0.7, ID)
+    ready = tuning.rebalance(train, 3, 0.3)
+    return ready.groupBy(tuning.FOLD, LABEL).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(oracle.smote(2, mode="extrapolate"))
 def smote_extrapolate(spark, folder):
     txn = transactions(spark, folder)
@@ -357,23 +395,25 @@ def _rounded(areas: DataFrame) -> DataFrame:
 
 @query(oracle.sampling_grid(SAMPLING))
 def sampling_grid(spark, folder):
-    """Class sizes each (over, under) setting of a sweep would train on."""
+    """Class sizes each (over, under) setting of a sweep trains on."""
     pairs = tuning.sampling_pairs([o for o, _ in SAMPLING], [u for _, u in SAMPLING])
-    txn = transactions(spark, folder)
-    u = hash_uniform("under", 1, F.col(ID))
-    sizes = []
+    train, _ = sampling.train_test_split(transactions(spark, folder), 0.7, ID)
+    train = cut_lineage(train.select(ID, LABEL))
+    out = None
     for ordinal, (over, under) in enumerate(pairs):
-        kept = (F.col(LABEL) == 0) & (u < under)
-        sizes.append(
-            F.struct(
-                F.lit(ordinal).alias("ordinal"),
-                F.lit(over).alias("oversampling"),
-                F.lit(under).alias("undersampling"),
-                F.count_if(kept).alias("negatives"),
-                (F.count_if(F.col(LABEL) == 1) * (over + 1)).alias("positives"),
-            )
+        kept = sampling.undersample(train, under, LABEL, ID, seed=11)
+        rare = kept.where(F.col(LABEL) == 1)
+        copies = sampling.sample_copies(rare.select(ID), over, ID, seed=11)
+        classes = kept.select(LABEL).unionByName(copies.select(F.lit(1).alias(LABEL)))
+        row = classes.agg(
+            F.lit(ordinal).alias("ordinal"),
+            F.lit(over).alias("oversampling"),
+            F.lit(under).alias("undersampling"),
+            F.count_if(F.col(LABEL) == 0).alias("negatives"),
+            F.count_if(F.col(LABEL) == 1).alias("positives"),
         )
-    return txn.agg(F.array(*sizes).alias("sizes")).select(F.inline("sizes"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(oracle.best_config(THRESHOLDS))
@@ -406,10 +446,21 @@ def message_round_trip(spark, folder):
     return scoring.decode_messages(sent, with_seconds=True)
 
 
-@query()
+@query(oracle.SEND_LOG)
 def send_log(spark, folder):
+    """The send log; its times are checked for what they can be."""
     sent = publish.messages(publish.keyed_sends(transactions(spark, folder)))
-    return publish.send_log(sent)
+    log = publish.send_log(sent)
+    now = F.unix_millis(F.current_timestamp())
+    ok = F.col("time").between(now - 86_400_000, now + 86_400_000)
+    return log.select("uuid", "id", ok.alias("time_ok"))
+
+
+@query(oracle.UUID_FROM_KEY)
+def uuid_from_key(spark, folder):
+    """Messages whose uuid is taken from the key."""
+    sent = publish.messages(publish.keyed_sends(transactions(spark, folder)))
+    return scoring.decode_messages(sent, uuid_from_key=True).select("uuid", "id")
 
 
 @query(oracle.round_trip())
@@ -453,38 +504,74 @@ def _fitted(spark: SparkSession, folder: str):
     return _forest(cut_lineage(ready)), test
 
 
-@query()
+def _checked(predictions: DataFrame) -> DataFrame:
+    """Exact id and label; a forest's own output is checked for what it can be."""
+    hard = F.col("prediction").isin(0.0, 1.0)
+    return predictions.select(
+        "id", F.col("label").cast("double").alias("label"), hard.alias("prediction_ok"),
+        (F.col("predictedLabel").cast("double") == F.col("prediction")).alias("label_ok"),
+    )
+
+
+@query(oracle.HELD_OUT_CHECKED)
 def forest_scores(spark, folder):
     """Held-out transactions scored by a forest trained on the rebalanced rest."""
     model, test = _fitted(spark, folder)
     scored = model.transform(tuning.assemble(test))
-    return scored.select(F.col(ID).alias("id"), "label", "prediction", "predictedLabel")
+    return _checked(scored.select(F.col(ID).alias("id"), "label", "prediction", "predictedLabel"))
 
 
-@query()
+@query(oracle.HELD_OUT_STAMPED)
 def score_stamped(spark, folder):
-    """The same as prediction rows with their arrival and prediction times."""
+    """The same as prediction rows; arrival is not after prediction."""
     model, test = _fitted(spark, folder)
-    sends = publish.keyed_sends(test)
-    return scoring.score(sends, model)
+    scored = scoring.score(publish.keyed_sends(test), model)
+    in_time = F.col("incoming_time") <= F.unix_millis("prediction_time")
+    return _checked(scored.withColumn("in_time", in_time)).join(
+        scored.select("id", "uuid", in_time.alias("time_ok")), "id"
+    )
 
 
-@query()
-def stream_scored(spark, folder):
-    """Held-out transactions published as messages and scored as a stream."""
+def _published(spark: SparkSession, folder: str):
     run = _run_folder(spark)
     model, test = _fitted(spark, folder)
     publish.to_files(publish.messages(publish.keyed_sends(test)), f"{run}/messages")
     rows = scoring.decode_messages(messages.file_messages(spark, f"{run}/messages"))
+    return run, model, rows
+
+
+@query(oracle.HELD_OUT_CHECKED)
+def stream_scored(spark, folder):
+    """Held-out transactions published as messages and scored as a stream."""
+    run, model, rows = _published(spark, folder)
     scoring.score_stream(
         rows, model, f"{run}/predictions", f"{run}/checkpoint", available_now=True
     ).awaitTermination()
-    return delimited.read_predictions(spark, f"{run}/predictions")
+    return _checked(delimited.read_predictions(spark, f"{run}/predictions"))
+
+
+@query(oracle.HELD_OUT_CHECKED)
+def scored_batches(spark, folder):
+    """The same by micro-batches, each in a folder of its own."""
+    run, model, rows = _published(spark, folder)
+    scoring.score_batches(
+        rows, model, f"{run}/predictions", f"{run}/checkpoint", fmt="parquet", available_now=True
+    ).awaitTermination()
+    return _checked(delimited.read_predictions(spark, f"{run}/predictions", "parquet"))
 
 
-@query()
+@query(oracle.SWEEP)
 def cv_sweep(spark, folder):
-    """Report of a sweep over two sampling settings and two forests."""
+    """Grid points of a sweep over two sampling settings and two forests, from its stored log;
+    the metrics are checked to be shares."""
     grid = tuning.ForestGrid(num_trees=[5, 10], max_depth=[5], impurity=["entropy"])
-    found = tuning.sweep(transactions(spark, folder), [2, 4], [0.3, 0.1], grid, parallelism=4)
-    return found.report
+    run = _run_folder(spark)
+    tuning.sweep(
+        transactions(spark, folder), [2, 1.5], [0.3, 0.1], grid, parallelism=4, log_folder=run
+    )
+    found = delimited.read_submodel_log(spark, f"{run}/submodel_log", "parquet")
+    return found.select(
+        "oversampling", "undersampling", F.col("params")["numTrees"].alias("num_trees"),
+        F.col("params")["maxDepth"].alias("max_depth"), F.col("params")["impurity"].alias("impurity"),
+        F.col("metric").between(0, 1).alias("metric_ok"),
+    )

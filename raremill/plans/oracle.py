@@ -284,17 +284,47 @@ EVALUATION = txn(
 )
 
 
+_TRAIN = f"{_uniform("'split:11:' || \"ID\"")} < 0.7::double"
+_UNDER = _uniform("'under:11:' || \"ID\"")
+
+
 def sampling_grid(settings: list[tuple[int, float]]) -> str:
-    u = _uniform("'under:1:' || \"ID\"")
     rows = " union all ".join(
         f"select {i} as ordinal, {over} as oversampling, {under}::double as undersampling, "
-        f'count(*) filter ("Class" = 0 and {u} < {under}::double) as negatives, '
-        f'count(*) filter ("Class" = 1) * {over + 1} as positives from txn'
+        f'count(*) filter ("Class" = 0 and {_UNDER} < {under}::double) as negatives, '
+        f'count(*) filter ("Class" = 1) * {over + 1} as positives from txn where {_TRAIN}'
         for i, (over, under) in enumerate(settings)
     )
     return txn(rows)
 
 
+REPEATED_IDS = txn(
+    'select case when "ID" % 3 <> 0 then "ID" % 1000 end as seed_id, count(*) * 6 as n from txn '
+    'where "Class" = 1 group by 1'
+)
+
+FOLD_COUNTS = txn(
+    f"""select ({_bits("'fold:11:' || \"ID\"")} % 5)::int as fold, "Class",
+    (case when "Class" = 1 then 4 else 1 end * count(*))::bigint as n from txn
+    where {_TRAIN} and ("Class" = 1 or {_UNDER} < 0.3::double) group by 1, 2"""
+)
+
+_KEYED = _uuid("('send:1:' || \"ID\" || ':1')")
+SEND_LOG = txn(f'select {_KEYED} as uuid, "ID" as id, true as time_ok from txn')
+UUID_FROM_KEY = txn(f'select {_KEYED} as uuid, "ID" as id from txn')
+HELD_OUT_CHECKED = txn(
+    'select "ID" as id, "Class"::double as label, true as prediction_ok, true as label_ok from txn '
+    f"where not {_TRAIN}"
+)
+HELD_OUT_STAMPED = txn(
+    f'select "ID" as id, "Class"::double as label, true as prediction_ok, true as label_ok, '
+    f"{_KEYED} as uuid, true as time_ok from txn where not {_TRAIN}"
+)
+SWEEP = """select s.o as oversampling, s.u as undersampling, t.n as num_trees, '5' as max_depth,
+'entropy' as impurity, true as metric_ok
+from (values (2.0::double, 0.3::double), (1.5::double, 0.1::double)) s(o, u), (values ('5'), ('10')) t(n)"""
+
+
 def best_config(thresholds: list[float]) -> str:
     rows = " union all ".join(
         f"select {i} as ordinal, {t}::double as threshold, "

@@ -85,3 +85,18 @@ def test_rows_with_missing_features_are_kept_but_not_used(frame):
 def test_unknown_mode(frame):
     with pytest.raises(ValueError):
         synthetic_rows(frame, FEATURES, "Class", "id", 1, mode="sideways")
+
+
+def test_rows_of_one_key_stay_apart(spark):
+    from raremill.operators.smote import synthetic_rows
+
+    rows = [(i % 4 if i % 5 else None, float(i), float(i % 3), 1) for i in range(20)] + [(99, 0.0, 0.0, 0)]
+    rows += [rows[0]] * 3
+    got = {}
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "id long, a double, b double, y int").repartition(parts)
+        made = synthetic_rows(df, ["a", "b"], "y", "id", 3).collect()
+        assert len(made) == 3 * 23
+        got[parts] = sorted((r.seed_id is not None, r.seed_id or 0, r.a, r.b) for r in made)
+        assert {r.seed_id for r in made} <= {None, 0, 1, 2, 3}
+    assert got[1] == got[5]

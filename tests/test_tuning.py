@@ -101,3 +101,23 @@ def test_given_folds(frame):
     grid = tuning.ForestGrid([1, 2], [2])
     model = tuning.cross_validate(ready, grid, folds=3, fold_col="fold")
     assert len(model.avgMetrics) == 2 and tuning.best_forest_params(model)["maxDepth"] == 2
+
+
+def test_folds_do_not_depend_on_partitioning(frame):
+    def folds(df):
+        rows = tuning.rebalance(df, 2, 0.5).groupBy(tuning.FOLD, LABEL).count().collect()
+        return sorted(map(tuple, rows))
+
+    assert folds(frame.repartition(1)) == folds(frame.repartition(5))
+
+
+def test_one_neighbour_search_per_sweep(frame, monkeypatch):
+    from raremill.operators import smote
+
+    calls = []
+    plain = smote.neighbour_lists
+    monkeypatch.setattr(smote, "neighbour_lists", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    grid = tuning.ForestGrid(num_trees=[2], max_depth=[2])
+    found = tuning.sweep(frame, [1, 1.5], [0.5, 0.4], grid, folds=2)
+    assert len(calls) == 1
+    assert sorted({r.oversampling for r in found.submodels.collect()}) == [1.0, 1.5]
