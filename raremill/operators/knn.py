@@ -72,9 +72,11 @@ def neighbour_lists(
     seed: Column | None = None,
     block_rows: int = BLOCK_ROWS,
     max_pivots: int = MAX_PIVOTS,
+    stored: bool = False,
 ) -> DataFrame:
     """Seeds (id, features) with ``neighbours``, an array of at most k structs
-    (dist, id, copy) in rank order; ``copy`` marks an exact copy of the seed."""
+    (dist, id, copy) in rank order; ``copy`` marks an exact copy of the seed. The
+    points are kept in the shared folder, unless the caller has ``stored`` them."""
     if k < 1:
         raise ValueError("k must be at least 1")
     rows = points.select(
@@ -84,6 +86,8 @@ def neighbour_lists(
     ).where(is_finite(F.col("features")))
     # the hash leads every sort and join on vectors: comparing arrays is slow
     rows = rows.withColumn("h", F.xxhash64("features"))
+    if not stored:
+        rows = cut_lineage(rows)
     vectors = cut_lineage(_fold_copies(rows, k, every_row=seed is None))
     others = _vector_neighbours(vectors, k, block_rows, max_pivots)
 

@@ -95,7 +95,8 @@ def extra_copy(df: DataFrame, rate: float, key: str, seed: int = 1) -> Column:
 
 def sample_copies(df: DataFrame, rate: float, key: str, seed: int = 1) -> DataFrame:
     """``round(n * rate)`` rows: each row ``floor(rate)`` times, and one more copy
-    for a hash-ranked share. The copy number is in ``copy``."""
+    for a hash-ranked share. The copy number is in ``copy``. ``df`` is read up to four
+    times; cut its lineage first if that is costly."""
     return with_copies(df, int(rate), extra_copy(df, rate, key, seed))
 
 

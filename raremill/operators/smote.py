@@ -78,7 +78,7 @@ def rare_rows(
 
 def with_lists(rare: Rare, k: int, seed: Column | None = None, **blocking: int) -> Rare:
     """``rare`` with the neighbours of its rows, or of those for which ``seed`` holds."""
-    lists = neighbour_lists(rare.rows.select("id", "features"), k, seed=seed, **blocking)
+    lists = neighbour_lists(rare.rows.select("id", "features"), k, seed=seed, stored=True, **blocking)
     # kept: several readers follow, and the search is the costly part
     return replace(rare, lists=cut_lineage(lists))
 

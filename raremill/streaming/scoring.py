@@ -93,9 +93,12 @@ def score_batches(
     again after a failure replaces its folder, so no row is stored twice."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        write_table(score(batch, model, with_seconds), f"{path}/batch_id={batch_id}", fmt)
+        batch = batch.persist()  # asked for a row and scored, decoded once
+        try:
+            if not batch.isEmpty():
+                write_table(score(batch, model, with_seconds), f"{path}/batch_id={batch_id}", fmt)
+        finally:
+            batch.unpersist()
 
     writer = transactions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     return _start(writer, every, available_now)
