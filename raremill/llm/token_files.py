@@ -70,7 +70,7 @@ def write_tokens(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
-        map_rows(ordered, make, FILE_SCHEMA, 1024)
+        map_rows(ordered, make, FILE_SCHEMA, 512)
         .write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
