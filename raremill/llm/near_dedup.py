@@ -5,15 +5,19 @@ hash values. Documents with equal sets form one class first. Inverted lists of t
 ``RETAINED`` least values then propose pairs of classes, the sketch of the union estimates
 their similarity, and the full sets decide.
 
-Lists never yield all their pairs at once. In a first round each member is compared with
-two leaders of its list (the least id and the least hash) and the links found are joined to
-components. In a second round only lists that still hold several components are looked at:
-members of different components are compared, all of them in lists of up to ``LIST``
-members. Longer lists (a common passage, or a large group) are split first by pairing their
-value with each of the next four values of a document; a part that is still longer than
-``LIST`` is compared with its leaders. Of two documents with similarity 0.85 about 27 of 32
-retained values agree, so that both rounds meet the pair in many lists; a document without
-13 shared values has no partner but for a chance below one in a thousand million.
+Documents are linked in three rounds, each of which looks only at different components of
+the links found before. First each member is compared with two leaders of its list (the
+least id and the least hash). Then lists of up to ``LIST`` members are compared in full. A
+document enters them by its shortest lists only: a partner shares ``LEAST_SHARED`` values,
+so two partners meet without the longest ``LEAST_SHARED - 1`` lists of either. Last come
+the documents with ``LEAST_SHARED`` values in longer lists (a common passage or template).
+Their full sets are joined exactly: shingles are ordered from rare to common among them, and
+two linked sets share one of the first few of each; lists of these are compared block by
+block. A bitmap of the retained values, sizes and positions rule pairs out before they are
+made, and only pairs that cannot be linked.
+
+Of two documents with similarity 0.85 about 27 of 32 retained values agree; fewer than
+``LEAST_SHARED`` do with a chance of about one in a thousand million.
 
 Words are lower-cased (A-Z only) runs of characters other than space and \\t \\n \\v \\f \\r. A
 text of one or two words has them as its only shingle; null, empty and blank texts have no
@@ -38,8 +42,8 @@ SKETCH = 64
 RETAINED = 32
 LIST = 64
 LEAST_SHARED = 13
-#: Lists that must propose a pair; it is met in about 27, and in four parts of each long one.
-LEAST_LISTS = 4
+#: Members of a block of a long list of whole sets.
+BLOCK = 1024
 #: Share of the union sketch below which a pair is not verified: at a similarity of 0.85,
 #: 64 values fall short of it by more than six standard deviations.
 LEAST_ESTIMATE = 0.55
@@ -62,33 +66,61 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique((x >> np.uint64(1)).astype(np.int64))
 
 
+def _bitmap(retained: np.ndarray) -> tuple[int, int]:
+    """Two words of 64 bits, in which each value sets one of 128 bits."""
+    bit, half = np.int64(1) << (retained & 63), (retained >> 6) & 1
+    return tuple(int(np.bitwise_or.reduce(bit[half == k], initial=0)) for k in (0, 1))
+
+
 def _sets(docs: DataFrame, whole: bool) -> DataFrame:
-    """(doc_id, n, digest, least values or the whole set) of each row."""
+    """(doc_id, n, digest, bitmap, least values or the whole set) of each row."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             cut = sets if whole else [s[:SKETCH] for s in sets]
             flat = np.concatenate([np.empty(0, np.int64), *cut])
+            maps = [_bitmap(s[:RETAINED]) for s in sets]
             arrays = [
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.md5(s.tobytes()).digest() for s in sets]),
+                *(pa.array([m[k] for m in maps], pa.int64()) for k in (0, 1)),
                 int_lists(flat, [len(s) for s in cut], pa.int64()),
             ]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "digest", "values"])
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "digest", "low", "high", "values"])
 
         return step
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, n long, digest binary, values array<long>")
+    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, n long, digest binary, low long, high long, values array<long>")
 
 
 def _node() -> Column:
-    return F.struct("doc_id", "digest", "n")
+    return F.struct("doc_id", "digest", "n", "low", "high")
+
+
+def _least(node: Column) -> Column:
+    """Retained values that a class shares with a partner; a set smaller than the sketch may
+    share all it has and still be below the number."""
+    return F.least(F.lit(LEAST_SHARED), F.ceil(node["n"] * 0.4))
+
+
+def _possible(u: Column, v: Column) -> Column:
+    """Whether sizes and bitmaps allow a link: a bit that only one has is a value that the
+    other lacks."""
+
+    def lacking(a, b):
+        return sum(F.bit_count(a[k].bitwiseAND(F.bitwise_not(b[k]))) for k in ("low", "high"))
+
+    most = F.greatest(_least(u), _least(v))
+    sizes = 100 * F.least(u["n"], v["n"]) >= 85 * F.greatest(u["n"], v["n"])
+    return sizes & (lacking(u, v) + most <= F.least(F.lit(RETAINED), u["n"])) & (
+        lacking(v, u) + most <= F.least(F.lit(RETAINED), v["n"])
+    )
 
 
 def _shared(classes: DataFrame) -> DataFrame:
     """Classes with at least ``LEAST_SHARED`` retained values that another has too, and
-    those values with the length and leaders of their lists."""
+    those values with the length and leaders of their lists, shortest first."""
     entries = classes.select("node", F.explode(F.slice("values", 1, RETAINED)).alias("value"))
     lists = stored(
         entries.groupBy("value")
@@ -101,20 +133,9 @@ def _shared(classes: DataFrame) -> DataFrame:
         "lists",
     )
     met = entries.join(lists, "value").groupBy("node").agg(
-        F.sort_array(F.collect_list(F.struct("value", "length", "first", "second"))).alias("lists")
+        F.sort_array(F.collect_list(F.struct("length", "value", "first", "second"))).alias("lists")
     )
-    # a set smaller than the sketch may share all it has and still be below the number
-    least = F.least(F.lit(LEAST_SHARED), F.ceil(F.col("node.n") * 0.4))
-    return stored(met.where(F.size("lists") >= least), "shared")
-
-
-def _often(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) whose sizes allow a link, met in ``LEAST_LISTS`` lists or more.
-    ``pairs`` has one row for each list."""
-    sized = pairs.where("u != v and 100 * least(u.n, v.n) >= 85 * greatest(u.n, v.n)")
-    least = F.least(F.lit(LEAST_LISTS), F.ceil(F.least("u.n", "v.n") * 0.4))
-    counted = sized.groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists"))
-    return counted.where(F.col("lists") >= least).select("u", "v")
+    return stored(met.where(F.size("lists") >= _least(F.col("node"))), "shared")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -173,52 +194,83 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _first_round(shared: DataFrame) -> DataFrame:
     """Each class with the leaders of its lists."""
     leaders = F.flatten(F.transform("lists", lambda x: F.array(x["first"], x["second"])))
-    pairs = shared.select(F.col("node").alias("a"), F.explode(leaders).alias("b"))
-    return _often(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+    pairs = shared.select(F.col("node").alias("a"), F.explode(F.array_distinct(leaders)).alias("b"))
+    pairs = pairs.where((F.col("a") != F.col("b")) & _possible(F.col("a"), F.col("b")))
+    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``nodes`` with the label of their component, which is the node itself if it has no link."""
+    known = labels.select("node", F.col("label").alias("_found"))
+    return nodes.join(known, "node", "left").withColumn("label", F.coalesce("_found", "node")).drop("_found")
+
+
+def _mixed(entries: DataFrame, *more: Column) -> DataFrame:
+    """Values whose entries belong to several components."""
+    found = entries.groupBy("value").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), *more)
+    return found.where("_low != _high").drop("_low", "_high")
 
 
 def _second_round(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components in lists that hold several."""
-    known = labels.select("node", F.col("label").alias("found"))
-    labelled = shared.join(known, "node", "left").withColumn("label", F.coalesce("found", "node"))
-    short = F.transform(
-        F.filter("lists", lambda x: x["length"] <= LIST), lambda x: F.struct(x["value"].alias("x"), F.lit(-1).cast("long").alias("y"))
-    )
-    long = F.filter("lists", lambda x: x["length"] > LIST)
-    split = F.flatten(
-        F.transform(
-            "long",
-            lambda x, k: F.transform(
-                F.slice("values", k + 2, 4), lambda y: F.struct(x["value"].alias("x"), y.alias("y"))
-            ),
-        )
+    """Pairs of different components in lists of up to ``LIST`` members."""
+    first = F.slice("lists", F.lit(1), (F.size("lists") - _least(F.col("node")) + 1).cast("int"))
+    short = F.transform(F.filter(first, lambda x: x["length"] <= LIST), lambda x: x["value"])
+    entries = _labelled(shared.select("node", short.alias("short")).where("size(short) > 0"), labels)
+    entries = entries.select("node", "label", F.explode("short").alias("value"))
+    lists = entries.groupBy("value").agg(
+        F.sort_array(F.collect_list(F.struct("node", "label"))).alias("m"),
+        F.min("label").alias("low"), F.max("label").alias("high"),
+    ).where("low != high").select("m")
+    pairs = lists.select(F.posexplode("m").alias("k", "a"), "m").select(
+        "a", F.explode(F.slice("m", F.col("k") + 2, LIST)).alias("b")
+    ).where((F.col("a.label") != F.col("b.label")) & _possible(F.col("a.node"), F.col("b.node")))
+    return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+
+
+def _third_round(shared: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of different components that may share no value in a list of up to ``LIST``
+    members: each has ``LEAST_SHARED`` values in longer lists of several components."""
+    long = F.transform(F.filter("lists", lambda x: x["length"] > LIST), lambda x: x["value"])
+    crowded = shared.select("node", long.alias("long")).where(F.size("long") >= _least(F.col("node")))
+    entries = _labelled(crowded, labels).select("node", "label", F.explode("long").alias("value"))
+    entries = stored(entries, "crowded")
+    met = entries.join(_mixed(entries), "value").groupBy("node", "label").agg(F.count(F.lit(1)).alias("long"))
+    rest = stored(met.where(F.col("long") >= _least(F.col("node"))).select("node", "label"), "rest")
+    ids = rest.select("node.doc_id").distinct()
+    sets = _sets(docs.join(ids, "doc_id", "left_semi"), True).select(_node().alias("node"), "values")
+    sets = stored(sets.dropDuplicates(["node"]).join(rest, "node"), "sets")
+    values = sets.select("node", "label", F.explode("values").alias("value"))
+    common = values.groupBy("value").agg(F.count(F.lit(1)).alias("times"))
+    ordered = values.join(common, "value").groupBy("node", "label").agg(
+        F.sort_array(F.collect_list(F.struct("times", "value"))).alias("values")
     )
-    keyed = labelled.select(
-        "node", "label", short.alias("short"), long.alias("long"),
-        F.transform("lists", lambda x: x["value"]).alias("every"),
-    ).withColumn("values", F.transform("long", lambda x: x["value"]))
-    entries = keyed.select("node", "label", F.explode(F.concat("short", split)).alias("key"))
-    mixed = stored(
-        entries.groupBy("key")
-        .agg(
-            F.count(F.lit(1)).alias("length"), F.min("label").alias("low"), F.max("label").alias("high"),
-            F.min("node").alias("one"), F.max("node").alias("two"),
+    # a linked set has 0.85 of the larger and 0.85 / 1.85 of both sizes in common with its partner
+    ahead = F.expr("slice(values, 1, cast(node.n - (85 * node.n + 99) div 100 + 1 as int))")
+    entries = ordered.select("node", "label", F.posexplode(ahead).alias("at", "x")).where("x.times > 1")
+    entries = stored(entries.select(
+        F.col("x.value").alias("value"), "node", "label", "at",
+        F.expr("at <= node.n - (170 * node.n + 184) div 185").alias("least"),
+    ), "ahead")
+    blocks = [F.ceil(F.count(x) / BLOCK).cast("int").alias(f"_{k}") for k, x in (("s", F.when(F.col("least"), 1)), ("l", F.lit(1)))]
+    lists = stored(_mixed(entries, *blocks).where("_s > 0"), "values")
+    met = entries.join(lists, "value")
+
+    def dealt(rows, name, own, other):
+        # each member is in one block of its side and meets all blocks of the other
+        block = F.pmod(F.xxhash64("node.digest", "node.doc_id"), F.col(own)).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+        return rows.select("value", block, every, F.struct("node", "label", "at").alias(name))
+
+    small, large = dealt(met.where("least"), "s", "_s", "_l"), dealt(met, "l", "_l", "_s")
+    pairs = small.join(large, ["value", "_s", "_l"]).where(
+        F.expr(
+            "s.label != l.label and (s.node.n < l.node.n or s.node.n = l.node.n and s.node < l.node)"
+            " and 185 * least(s.node.n - s.at, l.node.n - l.at) >= 85 * (s.node.n + l.node.n)"
         )
-        .where("low != high")
-        .select("key", "length", "one", "two"),
-        "mixed",
+        & _possible(F.col("s.node"), F.col("l.node"))
     )
-    met = stored(entries.join(mixed, "key"), "met")
-    # at most LIST members in each of these groups
-    few = met.where(F.col("length") <= LIST).groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("node", "label"))).alias("m")
-    )
-    crossed = few.select(F.posexplode("m").alias("k", "a"), "m").select(
-        "a", F.explode(F.slice("m", F.col("k") + 2, LIST)).alias("b")
-    ).where("a.label != b.label").select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    led = met.where(F.col("length") > LIST).select("node", F.explode(F.array("one", "two")).alias("b"))
-    led = led.select(F.least("node", "b").alias("u"), F.greatest("node", "b").alias("v"))
-    return _often(crossed.unionByName(led))
+    u, v = F.col("s.node"), F.col("l.node")
+    return stored(pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = stored(_sets(rows, False), "sketches")
     named = sketches.where("doc_id is not null and n > 0")
     # equal sets have equal sketches: the class is named by its least id
-    classes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "values")).alias("r"))
+    classes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "low", "high", "values")).alias("r"))
     classes = stored(
         classes.select("digest", "r.*").select(_node().alias("node"), "values"), "classes"
     )
@@ -236,7 +288,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(edges)
     more = stored(_verified(_estimated(_second_round(shared, labels), classes), rows), "links")
     if more.head(1):
-        labels = components(edges.unionByName(more))
+        edges = edges.unionByName(more)
+        labels = components(edges)
+    rest = stored(_verified(_third_round(shared, labels, rows), rows), "links")
+    if rest.head(1):
+        labels = components(edges.unionByName(rest))
     labelled = classes.select("node").join(labels, "node", "left")
     components_of = stored(
         labelled.select(F.col("node.digest").alias("digest"), F.coalesce("label", "node")["doc_id"].alias("component")),

@@ -99,3 +99,17 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 95), (200, 200)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {**{k: 0 for k in range(41)}, 100: 90, 90: 90, 95: 90}
+
+
+def test_links_within_a_common_template(spark, docs):
+    # more texts than a list may hold share most shingles and are below 0.85 with each other
+    template = prose(302)
+    texts = []
+    for _ in range(70):
+        own = prose(45)
+        texts += [" ".join(template + own), " ".join(template + own[:30] + prose(15))]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert sum(not kept for *_, kept in want) >= 65
+    assert sorted(tuple(r) for r in near_dedup.near_duplicates(docs(rows)).collect()) == want
