@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raremill.llm import chat, decontaminate, line_rules, mixing, near_dedup, passages, pii, secrets, token_files, toxicity
+from raremill.llm import (
+    chat, decontaminate, line_rules, mixing, near_dedup, passages, pii, secrets, spelling, token_files, toxicity, whitening,
+)
 from raremill.llm.tasks import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +209,61 @@ def op9_disclosures(spark, folder):
 def op4_passages(spark, folder):
     """Passages of 50 words or more that documents share, exactly or nearly."""
     return passages.passages(documents(spark, folder))
+
+
+@query()
+def op12_whitening(spark, folder):
+    """The leading components of all embeddings, whitened."""
+    return whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def _crc_steps() -> str:
+    """The checksum's remainders for the sixteen halves of a byte."""
+    out = []
+    for x in range(16):
+        for _ in range(4):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return str(out)
+
+
+SPELLING_SQL = rf"""
+with recursive runs as (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]{{6,}}')) as run
+  from documents
+), per as (select id, run, count(*) as k, hex(encode(id || ':' || run)) as x from runs group by id, run
+), summed as (
+  select run, k, xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(range(0, len(x)),
+      lambda i: (strpos('0123456789ABCDEF', x[(i + 1 - 2 * (i % 2) + 1)::int]) - 1)::bigint)),
+    lambda c, d: xor(c >> 4, ({_crc_steps()}::bigint[])[(xor(c, d) & 15) + 1]))) as h
+  from per
+), words as (
+  select word, sum(k)::bigint as n from (
+    select k, case when h % 199 = 0 then substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) else run end as word
+    from summed) group by word having len(word) >= 6 and sum(k) >= 5
+), cuts as (
+  select word, n, i, substr(word, 1, i) || substr(word, i + 2) as cut from words, range(0, 60) r(i) where i < len(word)
+), near as (
+  select distinct a.word, b.word as near, b.n as m from cuts a join cuts b on a.cut = b.cut and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from cuts a join words b on a.cut = b.word
+  union select b.word, a.word, a.n from cuts a join words b on a.cut = b.word
+), best as (
+  select word, count(*) as n_near, arg_min(near, (-m, near)) as near, max(m) as m from near group by word
+), formed as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when m >= 5 * w.n then near end as form,
+    case when m >= 5 * w.n then m end as form_n
+  from words w left join best b on w.word = b.word
+), walk as (
+  select word, word as root, form as next from formed
+  union all select walk.word, walk.next, f.form from walk join formed f on f.word = walk.next
+)
+select f.word, f.form, w.root, f.n, f.n_near, f.form_n from formed f join walk w on w.word = f.word and w.next is null
+"""
+
+
+@query(SPELLING_SQL)
+def op13_spelling(spark, folder):
+    """Spelling variants among the words of all documents."""
+    return spelling.variants(documents(spark, folder))
