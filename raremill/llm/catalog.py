@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raremill.llm import (
-    chat, decontaminate, line_rules, mixing, near_dedup, passages, pii, secrets, spelling, token_files, toxicity, whitening,
+    chat, decontaminate, line_rules, main_text, mixing, near_dedup, passages, pii, secrets, spelling, token_files, toxicity,
+    whitening,
 )
 from raremill.llm.tasks import new_folder, stored
 
@@ -211,6 +212,12 @@ def op4_passages(spark, folder):
     return passages.passages(documents(spark, folder))
 
 
+@query()
+def op11_main_text(spark, folder):
+    """The main text of all pages."""
+    return main_text.main_texts(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 @query()
 def op12_whitening(spark, folder):
     """The leading components of all embeddings, whitened."""
