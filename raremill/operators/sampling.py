@@ -21,9 +21,10 @@ def train_test_split(
     return df.where(inside), df.where(~inside)
 
 
-def fold_column(key: str, folds: int, seed: int = 11) -> Column:
+def fold_column(key: str | Column, folds: int, seed: int = 11) -> Column:
     """Fold number of a row, for cross-validation with a fold column."""
-    return (hash_bits("fold", seed, F.col(key)) % folds).cast("int")
+    key = F.col(key) if isinstance(key, str) else key
+    return (hash_bits("fold", seed, key) % folds).cast("int")
 
 
 def undersample(

@@ -116,11 +116,30 @@ def synthetic_rows(
         rare = with_lists(rare, k, wanted, block_rows=block_rows, max_pivots=max_pivots)
     copies = with_copies(rare.lists, whole, extra)
     picked = pick_neighbours(copies, "id", seed)
-    ends = _with_ends(picked, rare.rows, seed)
-    if rare.renamed:
-        ends = _with_user_ids(ends, rare.rows)
-    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return moved_rows(
+        picked, rare.rows, df.schema, features, label, seed, mode, minority, users=rare.rows if rare.renamed else None
+    )
+
+
+def moved_rows(
+    picked: DataFrame,
+    rows: DataFrame,
+    schema: T.StructType,
+    features: list[str],
+    label: str,
+    seed: int,
+    mode: str,
+    minority: int,
+    keep: tuple[str, ...] = (),
+    users: DataFrame | None = None,
+) -> DataFrame:
+    """The synthetic rows of picked neighbours; ``users`` gives the user's keys where ids were made."""
+    ends = _with_ends(picked, rows, seed, keep)
+    if users is not None:
+        ends = _with_user_ids(ends, users)
+    kinds = {f.name: f.dataType for f in schema.fields}
     return ends.selectExpr(
+        *keep,
         "id as seed_id",
         "copy",
         "nn_id",
@@ -137,14 +156,14 @@ def _with_user_ids(ends: DataFrame, rows: DataFrame) -> DataFrame:
     return ends
 
 
-def _with_ends(picked: DataFrame, rare: DataFrame, seed: int) -> DataFrame:
+def _with_ends(picked: DataFrame, rare: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Fetch the picked neighbour's features by key and draw the gap.
 
     The neighbour of an exact copy is the seed itself, whatever the gap, so those
     rows need no fetch; this keeps a hot group of copies, all of which point to
     the same few ids, out of the join.
     """
-    columns = ["id", "copy", "nn_id", "features"]
+    columns = [*keep, "id", "copy", "nn_id", "features"]
     ends = rare.select(F.col("id").alias("nn_id"), F.col("features").alias("nn_features"))
     gap = hash_uniform("gap", seed, F.col("id"), F.col("copy")).alias("gap")
     apart = picked.where(~F.col("same")).select(*columns, gap).join(ends, "nn_id")

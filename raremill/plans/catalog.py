@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 
 from raremill.functions.hashing import hash_uniform, keyed_uuid
 from raremill.functions.times import run_stamp
-from raremill.operators import knn, metrics, projection, sampling
+from raremill.operators import fold_smote, knn, metrics, projection, sampling
 from raremill.operators import smote as oversampling
 from raremill.operators.throughput import throughput
 from raremill.plans import oracle, tuning
 from raremill.schema import AMOUNT, ID, LABEL, feature_cols, txn_schema
 from raremill.session import cut_lineage, shared_folder
 from raremill.sinks import files, publish
-from raremill.sources import delimited, messages
+from raremill.sources import delimited, messages, numbered
 from raremill.sources.tables import stream_table, table, transactions
-from raremill.streaming import scoring, windows
+from raremill.streaming import latency, ledger, scoring, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,6 +120,50 @@ def drop_malformed(spark, folder):
     return rows.select("line_no", ID, "V1", "V28", AMOUNT, LABEL)
 
 
+def _numbered(spark, folder):
+    """The same lines stored over several files in the order of their ids, read leniently and numbered
+    by file and position: clicks all have id 0, yet every row has a number of its own."""
+    path = f"{_run_folder(spark)}/lines"
+    lines = _dirty_lines(spark, folder).repartitionByRange(4, "line_no").sortWithinPartitions("line_no")
+    lines.select("value").write.text(path)
+    return delimited.read_numbered_transactions(spark, path, header=False)
+
+
+@query(oracle.numbered('select number, "ID", "V1", "V28", "Amount", "Class" from numbered'))
+def numbered_lenient_scan(spark, folder):
+    return _numbered(spark, folder).select("number", ID, "V1", "V28", AMOUNT, LABEL)
+
+
+@query(oracle.NUMBERED_EVENTS)
+def numbered_table(spark, folder):
+    """Events stored over several Parquet files in time order, numbered by file and position."""
+    path = f"{_run_folder(spark)}/events"
+    events = table(spark, folder, "events").select("event_id", "ts", "user_id")
+    events.repartitionByRange(5, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(path)
+    return numbered.numbered_rows(spark.read.parquet(path)).select("event_id", "number")
+
+
+@query(oracle.SPLIT_BAD_IDS)
+def split_bad_ids(spark, folder):
+    """Training share and fold of rows of which many have the same id."""
+    part = F.when(sampling.in_training(0.7, "number"), "train").otherwise("test")
+    fold = sampling.fold_column("number", 5)
+    return _numbered(spark, folder).select("number", ID, LABEL, part.alias("part"), fold.alias("fold"))
+
+
+@query(oracle.UNDERSAMPLE_BAD_IDS)
+def undersample_bad_ids(spark, folder):
+    kept = sampling.undersample(_numbered(spark, folder), 0.3, LABEL, "number")
+    return kept.select("number", ID, LABEL)
+
+
+@query(oracle.PUBLISH_REPEATED_IDS)
+def publish_repeated_ids(spark, folder):
+    """Sends of rows that share an id: a uuid each, the id as it is."""
+    sends = publish.keyed_sends(_numbered(spark, folder), cycles=2, row_key="number")
+    return sends.select("uuid", "id", "cycle", "number")
+
+
 @query(oracle.PREDICTIONS)
 def prediction_projection(spark, folder):
     txn = transactions(spark, folder, extra=("ts",))
@@ -307,6 +351,19 @@ def smote_repeated_ids(spark, folder):
     return made.groupBy("seed_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(oracle.fold_smote(2))
+def smote_within_folds(spark, folder):
+    """Synthetic rows for each held-out fold, of rows outside it only."""
+    return fold_smote.fold_synthetic_rows(transactions(spark, folder), FEATURES, LABEL, ID, 2)
+
+
+@query(oracle.fold_smote(1.5))
+def smote_within_folds_short(spark, folder):
+    """The same at a fractional rate, from lists so short that most must be completed."""
+    txn = transactions(spark, folder)
+    return fold_smote.fold_synthetic_rows(txn, FEATURES, LABEL, ID, 1.5, length=5)
+
+
 @query(oracle.FOLD_COUNTS)
 def fold_class_counts(spark, folder):
     """Classes in each fold of a sweep's rebalanced training rows."""
@@ -489,6 +546,103 @@ def stream_throughput_5s(spark, folder):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def _sends_and_predictions(spark, folder):
+    """Sends and predictions of the transactions: some are never predicted, some too late,
+    some were never logged as sent; and a heartbeat a day after the last of each."""
+    txn = transactions(spark, folder, extra=("ts",))
+    uuid = keyed_uuid("send", 1, F.col(ID), F.lit(1)).alias("uuid")
+    delay = F.when(F.col(ID) % 97 == 0, F.lit(3600)).otherwise(F.col(ID) % 7 * 20 + 1)
+    at = F.col("ts").cast("timestamp")
+    sends = txn.where(F.col(ID) % 11 != 5).select(uuid, at.alias("sent_at"))
+    found = txn.where(F.col(ID) % 10 != 3).select(
+        uuid, F.timestamp_seconds(F.unix_seconds(at) + delay).alias("predicted_at")
+    )
+    end = txn.select((F.max(at) + F.expr("interval 1 day")).alias("end"))
+    beat = lambda name: end.select(F.lit(None).cast("string").alias("uuid"), F.col("end").alias(name))
+    return sends, found, beat("sent_at"), beat("predicted_at")
+
+
+@query(oracle.LATENCY)
+def send_latency_rows(spark, folder):
+    """Every send and every prediction with its partner, if it has one within ten minutes."""
+    sends, found, _, _ = _sends_and_predictions(spark, folder)
+    return _plain_times(latency.send_latency(sends, found))
+
+
+def _plain_times(rows: DataFrame) -> DataFrame:
+    names = ("sent_at", "predicted_at", "window_start")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in names if c in rows.columns})
+
+
+@query(oracle.LATENCY)
+def stream_latency(spark, folder):
+    """The same as a join of two streams; a last row far ahead moves the watermarks past all others."""
+    run = _run_folder(spark)
+    sends, found, last_send, last_found = _sends_and_predictions(spark, folder)
+    sends.unionByName(last_send).write.parquet(f"{run}/sends")
+    found.unionByName(last_found).write.parquet(f"{run}/found")
+    streams = [spark.readStream.schema(df.schema).parquet(f"{run}/{n}") for df, n in ((sends, "sends"), (found, "found"))]
+    rows = latency.send_latency(*streams)
+    latency.store_latency(rows, f"{run}/rows", f"{run}/checkpoint", available_now=True).awaitTermination()
+    return _plain_times(spark.read.schema(rows.schema).parquet(f"{run}/rows").where("uuid is not null"))
+
+
+@query(oracle.LATENCY_REPORT)
+def latency_by_hour(spark, folder):
+    sends, found, _, _ = _sends_and_predictions(spark, folder)
+    return _plain_times(latency.latency_report(latency.send_latency(sends, found)))
+
+
+def _consumed(spark, folder):
+    """Events as the offsets of four partitions, consumed in batches of fifty: the third batch of
+    each partition is lost but for its last ten offsets, the fifth is stored twice."""
+    events = table(spark, folder, "events").select("event_id")
+    at = F.col("event_id")
+    rows = events.select(
+        F.lit("transactions").alias("topic"),
+        (at % 4).cast("int").alias("partition"),
+        F.floor(at / 4).cast("long").alias("offset"),
+    ).withColumn("batch", F.floor(F.col("offset") / 50).cast("long"))
+    kept = rows.where((F.col("batch") != 2) | (F.col("offset") % 50 >= 40))
+    return rows, kept.unionByName(kept.where("batch = 4").withColumn("batch", F.lit(1004).cast("long")))
+
+
+@query(oracle.OFFSET_RANGES)
+def offset_ranges(spark, folder):
+    _, kept = _consumed(spark, folder)
+    return ledger.offset_ranges(kept)
+
+
+@query(oracle.OFFSET_AUDIT)
+def offset_audit(spark, folder):
+    """Lost and repeated offsets, with the batches around and in them."""
+    found = ledger.audit(ledger.offset_ranges(_consumed(spark, folder)[1]))
+    return found.withColumn("batches", F.array_join("batches", ","))
+
+
+@query(oracle.OFFSET_COVERAGE)
+def offset_coverage(spark, folder):
+    """For each batch as it was planned: offsets stored and lost."""
+    planned, kept = (ledger.offset_ranges(df) for df in _consumed(spark, folder))
+    return ledger.coverage(planned, kept)
+
+
+@query(oracle.OFFSET_STREAM)
+def stream_ledger(spark, folder):
+    """The ledger that a stream keeps of its own batches: together they cover every offset once."""
+    run = _run_folder(spark)
+    _consumed(spark, folder)[0].drop("batch").repartition(6, "offset").write.parquet(f"{run}/messages")
+    schema = "topic string, partition int, offset long"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{run}/messages")
+    ledger.record_offsets(stream, f"{run}/ledger", f"{run}/checkpoint", available_now=True).awaitTermination()
+    found = ledger.read_ledger(spark, f"{run}/ledger")
+    covered = ledger.merge_intervals(found, ledger.SOURCE)
+    twice = ledger.audit(found).where("kind = 'overlap'").groupBy(*ledger.SOURCE).agg(F.count(F.lit(1)).alias("n"))
+    return covered.join(twice, ledger.SOURCE, "left").select(
+        *ledger.SOURCE, "first", "last", F.coalesce("n", F.lit(0)).cast("long").alias("overlaps")
+    )
+
+
 # --- models -------------------------------------------------------------------
 
 
@@ -550,6 +704,23 @@ def stream_scored(spark, folder):
     return _checked(delimited.read_predictions(spark, f"{run}/predictions"))
 
 
+@query(oracle.SENT_TWICE)
+def stream_sent_twice(spark, folder):
+    """Held-out transactions of which a third is sent again and a seventh a third time, over several
+    micro-batches: each is scored once."""
+    run = _run_folder(spark)
+    model, test = _fitted(spark, folder)
+    sent = cut_lineage(publish.messages(publish.keyed_sends(test)))
+    for again, later in ((F.lit(True), 0), (F.col("id") % 3 == 0, 60_000), (F.col("id") % 7 == 0, 120_000)):
+        publish.to_files(sent.where(again).withColumn("time", F.col("time") + later), f"{run}/messages")
+    stream = scoring.sent_once(messages.file_messages(spark, f"{run}/messages", max_files=2))
+    scoring.score_stream(
+        scoring.decode_messages(stream), model, f"{run}/predictions", f"{run}/checkpoint", available_now=True
+    ).awaitTermination()
+    found = delimited.read_predictions(spark, f"{run}/predictions")
+    return _checked(found).join(found.select("id", "uuid"), "id")
+
+
 @query(oracle.HELD_OUT_CHECKED)
 def scored_batches(spark, folder):
     """The same by micro-batches, each in a folder of its own."""
@@ -575,3 +746,19 @@ def cv_sweep(spark, folder):
         F.col("params")["maxDepth"].alias("max_depth"), F.col("params")["impurity"].alias("impurity"),
         F.col("metric").between(0, 1).alias("metric_ok"),
     )
+
+
+@query(oracle.SWEEP_WITHIN)
+def cv_sweep_within_folds(spark, folder):
+    """The same with every fold resampled apart; its forests must do better than chance."""
+    grid = tuning.ForestGrid(num_trees=[5], max_depth=[4, 6], impurity=["gini"])
+    run = _run_folder(spark)
+    tuning.sweep(
+        transactions(spark, folder), [2], [0.3], grid, folds=3, parallelism=4, log_folder=run, within_folds=True
+    )
+    found = delimited.read_submodel_log(spark, f"{run}/submodel_log", "parquet")
+    chance = transactions(spark, folder).select(F.avg(LABEL)).scalar()
+    return found.select(
+        "oversampling", "undersampling", F.col("params")["maxDepth"].alias("max_depth"),
+        F.col("metric").between(chance, 1).alias("better_than_chance"),
+    )

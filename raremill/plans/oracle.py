@@ -89,6 +89,33 @@ DROP_MALFORMED = txn(
     _DIRTY,
 )
 
+_NUMBERED = (
+    'numbered as (select row_number() over (order by line_no) - 1 as number, '
+    'coalesce(try_cast(trim(f[1]) as bigint), 0) as "ID", try_cast(trim(f[2]) as double) as "V1", '
+    'try_cast(trim(f[29]) as double) as "V28", try_cast(trim(f[30]) as double) as "Amount", '
+    'try_cast(trim(f[31]) as int) as "Class" from dirty)'
+)
+
+
+def numbered(body: str) -> str:
+    """``body`` over the lenient rows with their place among all lines."""
+    return txn(body, _DIRTY, _NUMBERED)
+
+
+NUMBERED_EVENTS = "select event_id, row_number() over (order by ts, event_id) - 1 as number from events"
+SPLIT_BAD_IDS = numbered(
+    f"""select number, "ID", "Class", case when {_uniform("'split:11:' || number")} < 0.7::double
+    then 'train' else 'test' end as part, ({_bits("'fold:11:' || number")} % 5)::int as fold from numbered"""
+)
+UNDERSAMPLE_BAD_IDS = numbered(
+    f"""select number, "ID", "Class" from numbered where "Class" = 1
+    or ("Class" = 0 and {_uniform("'under:1:' || number")} < 0.3::double)"""
+)
+PUBLISH_REPEATED_IDS = numbered(
+    f"""select {_uuid("('send:1:' || number || ':' || c.cycle)")} as uuid, "ID" as id, c.cycle::int as cycle, number
+    from numbered, (select unnest([1, 2]) as cycle) c"""
+)
+
 PREDICTIONS = txn(
     f"""select {_uuid("'txn:1:' || \"ID\"")} as uuid, "ID" as id,
     ("Amount" > 160)::int::double as prediction, ("Amount" > 160)::int::double as "predictedLabel",
@@ -225,6 +252,40 @@ def smote(rate: float, mode: str = "interpolate", seconds: bool = False, union:
     return txn(body, *_picks(names, rate), made)
 
 
+def fold_smote(rate: float, folds: int = 5, k: int = 5) -> str:
+    """Neighbours by brute force among the rows outside each fold."""
+    whole = int(rate)
+    gaps = " + ".join(f'(a."{n}" - b."{n}")::double * (a."{n}" - b."{n}")::double' for n in _NAMES)
+    gap = _uniform("('gap:1:' || p.id || ':' || p.copy)")
+    chosen = _bits("('nn:1:' || c.id || ':' || c.copy)")
+    values = ", ".join(f'x."{n}" + (y."{n}" - x."{n}") * {gap} as "{n}"' for n in _NAMES)
+    fold = _bits("('fold:11:' || \"ID\")")
+    extra = _bits("('extra:1:' || id)")
+    ctes = [
+        f'rare as (select "ID" as id, *, ({fold} % {folds})::int as fold from txn where "Class" = 1)',
+        f"parts as (select h.held_out::int as held_out, r.* from rare r, (select unnest(range({folds})) as held_out) h "
+        "where r.fold <> h.held_out)",
+        "edges as (select * from (select held_out, seed_id, nn_id, dist, row_number() over "
+        "(partition by held_out, seed_id order by dist, nn_id)::int as rank "
+        f"from (select a.held_out, a.id as seed_id, b.id as nn_id, sqrt({gaps}) as dist from parts a join parts b "
+        f"on a.held_out = b.held_out and a.id <> b.id) p) q where rank <= {k})",
+        "sizes as (select held_out, count(*) as m from parts group by 1)",
+        f"ranked as (select held_out, id, row_number() over (partition by held_out order by {extra}, id) as r from parts)",
+        "copies as (select held_out, id, c.copy::int as copy from ranked join sizes using (held_out), "
+        f"(select unnest(range(1, {whole + 2})) as copy) c "
+        f"where c.copy <= {whole} or r <= floor(m * {rate}::double + 0.5) - m * {whole})",
+        "degree as (select held_out, seed_id, count(*) as n_nn from edges group by all)",
+        "picks as (select c.held_out, c.id, c.copy, e.nn_id from copies c "
+        "join degree d on d.held_out = c.held_out and d.seed_id = c.id "
+        f"join edges e on e.held_out = c.held_out and e.seed_id = c.id and e.rank = {chosen} % d.n_nn + 1)",
+    ]
+    return txn(
+        f'select p.held_out, p.id as seed_id, p.copy, p.nn_id, 1 as "Class", {values} '
+        "from picks p join rare x on x.id = p.id join rare y on y.id = p.nn_id",
+        *ctes,
+    )
+
+
 BALANCED_COUNTS = txn(
     'select "Class", sum(n)::bigint as n from (select "Class", count(*) as n from kept group by 1 '
     'union all select 1 as "Class", count(*) * 3 as n from txn where "Class" = 1) q group by 1',
@@ -325,6 +386,69 @@ SWEEP = """select s.o as oversampling, s.u as undersampling, t.n as num_trees, '
 from (values (2.0::double, 0.3::double), (1.5::double, 0.1::double)) s(o, u), (values ('5'), ('10')) t(n)"""
 
 
+SWEEP_WITHIN = """select 2.0::double as oversampling, 0.3::double as undersampling, d as max_depth,
+true as better_than_chance from (values ('4'), ('6')) t(d)"""
+SENT_TWICE = txn(
+    'select "ID" as id, "Class"::double as label, true as prediction_ok, true as label_ok, '
+    f"{_KEYED} as uuid from txn where not {_TRAIN}"
+)
+
+_TIMES = (
+    f"""sends as (select {_KEYED} as uuid, ts as sent_at from txn where "ID" % 11 <> 5)""",
+    f"""found as (select {_KEYED} as uuid, date_trunc('second', ts) + to_seconds(case when "ID" % 97 = 0 then 3600
+    else "ID" % 7 * 20 + 1 end) as predicted_at from txn where "ID" % 10 <> 3)""",
+    """latency as (select coalesce(s.uuid, f.uuid) as uuid, sent_at, predicted_at,
+    (epoch_us(predicted_at) - epoch_us(sent_at)) // 1000 as latency_ms,
+    case when s.uuid is null then 'unsent' when f.uuid is null then 'unpredicted' else 'matched' end as status
+    from sends s full join found f on s.uuid = f.uuid and predicted_at >= sent_at
+    and predicted_at <= sent_at + interval 10 minutes)""",
+)
+LATENCY = txn("select * from latency", *_TIMES)
+LATENCY_REPORT = txn(
+    """select time_bucket(interval 1 hour, coalesce(sent_at, predicted_at)) as window_start,
+    count(*) filter (status = 'matched') as matched, count(*) filter (status = 'unpredicted') as unpredicted,
+    count(*) filter (status = 'unsent') as unsent, min(latency_ms) as least_ms,
+    sum(latency_ms)::bigint / count(latency_ms)::double as mean_ms, max(latency_ms) as largest_ms from latency group by 1""",
+    *_TIMES,
+)
+
+_CONSUMED = """planned as (select 'transactions' as topic, (event_id % 4)::int as partition, event_id // 4 as "offset",
+event_id // 200 as batch from events),
+kept as (select * from planned where batch <> 2 or "offset" % 50 >= 40
+union all select topic, partition, "offset", 1004 as batch from planned where batch = 4)"""
+
+
+def _runs(source: str, keys: str) -> str:
+    """Unbroken runs of offsets by keys."""
+    return (
+        f'(select {keys}, min("offset") as first, max("offset") as last from (select *, "offset" - row_number() over '
+        f'(partition by {keys} order by "offset") as run from {source}) q group by {keys}, run)'
+    )
+
+
+_SOURCE = "topic, partition"
+OFFSET_RANGES = f"with {_CONSUMED} select * from {_runs('kept', _SOURCE + ', batch')}"
+OFFSET_AUDIT = f"""with {_CONSUMED}, bounds as (
+  select {_SOURCE}, min("offset") as low, max("offset") as high from kept group by all
+), every as (select {_SOURCE}, unnest(range(low, high + 1)) as "offset" from bounds),
+depth as (
+  select e.topic, e.partition, e."offset", coalesce(string_agg(batch::varchar, ',' order by batch), '') as batches
+  from every e left join kept k on k.topic = e.topic and k.partition = e.partition and k."offset" = e."offset" group by all
+), odd as (
+  select *, case when batches = '' then 'gap' else 'overlap' end as kind from depth where batches = '' or contains(batches, ',')
+), runs as (select * from {_runs('odd', _SOURCE + ', kind, batches')})
+select r.topic, r.partition, r.kind, r.first, r.last, case when kind = 'overlap' then batches else (
+  select string_agg(b::varchar, ',' order by b) from (select distinct batch as b from kept k where k.topic = r.topic
+  and k.partition = r.partition and k."offset" in (r.first - 1, r.last + 1)) n) end as batches from runs r"""
+OFFSET_COVERAGE = f"""with {_CONSUMED}
+select p.topic, p.partition, p.batch, min(p."offset") as first, max(p."offset") as last, count(k."offset") as held,
+count(*) - count(k."offset") as lost
+from planned p left join (select distinct topic, partition, "offset" from kept) k
+on k.topic = p.topic and k.partition = p.partition and k."offset" = p."offset" group by 1, 2, 3"""
+OFFSET_STREAM = f"""with {_CONSUMED}
+select topic, partition, min("offset") as first, max("offset") as last, 0::bigint as overlaps from planned group by 1, 2"""
+
+
 def best_config(thresholds: list[float]) -> str:
     rows = " union all ".join(
         f"select {i} as ordinal, {t}::double as threshold, "

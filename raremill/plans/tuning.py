@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
@@ -12,7 +14,10 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.util import inheritable_thread_target
+
 from raremill.functions.times import run_stamp
+from raremill.operators.fold_smote import HELD_OUT, fold_lists, fold_number, fold_synthetic_rows
 from raremill.operators.metrics import evaluation
 from raremill.operators.projection import label_indexer, label_names
 from raremill.operators.sampling import fold_column, train_test_split, undersample
@@ -104,11 +109,15 @@ def cross_validate(
     """Best forest of the grid by area under the PR curve. ``score`` is the hard
     prediction by default; ``rawPrediction`` uses the whole curve. Folds are drawn
     with the seed, or taken from ``fold_col``."""
+    return _search(train, grid, label, folds, parallelism, seed, score, max_memory_mb, fold_col).fit(train)
+
+
+def _search(train, grid, label, folds, parallelism, seed, score, max_memory_mb, fold_col="") -> CrossValidator:
     stages, forest = forest_stages(train, label, seed, max_memory_mb)
     evaluator = BinaryClassificationEvaluator(
         metricName="areaUnderPR", labelCol="label", rawPredictionCol=score, numBins=0
     )
-    search = CrossValidator(
+    return CrossValidator(
         estimator=stages,
         estimatorParamMaps=grid.param_maps(forest),
         evaluator=evaluator,
@@ -117,7 +126,6 @@ def cross_validate(
         parallelism=parallelism,
         seed=seed,
     )
-    return search.fit(train)
 
 
 def rebalance(
@@ -147,6 +155,68 @@ def rebalance(
     return rows.unionByName(made.select(*columns, own.alias(FOLD)))
 
 
+def cross_validate_within(
+    train: DataFrame,
+    over: float,
+    under: float,
+    grid: ForestGrid,
+    with_seconds: bool = False,
+    key: str = ID,
+    label: str = LABEL,
+    k: int = 5,
+    folds: int = 5,
+    parallelism: int = 4,
+    seed: int = 11,
+    score: str = "prediction",
+    max_memory_mb: int | None = None,
+    rare: Rare | None = None,
+    lists: DataFrame | None = None,
+) -> CrossValidatorModel:
+    """Best forest of the grid where every fold is judged on its rows as they came, by forests that
+    saw nothing of it: the other folds' rows are undersampled, and oversampled among themselves.
+    The chosen forest is fitted again on all of ``train``, rebalanced. ``key`` must be unique."""
+    features = feature_cols(with_seconds)
+    columns = [label, "features"]
+    real = assemble(train, with_seconds).select(key, *columns, fold_column(key, folds, seed).alias(FOLD))
+    real = cut_lineage(real.hint("rebalance"))
+    made = None
+    if over:
+        # seeds of the folds and of the final fit are drawn alike
+        made = fold_synthetic_rows(
+            train, features, label, key, over, folds, k, seed, seed, rare=rare, lists=lists
+        )
+        made = cut_lineage(assemble(made, with_seconds).select(HELD_OUT, *columns).hint("rebalance"))
+    search = _search(real.select(label), grid, label, folds, parallelism, seed, score, max_memory_mb)
+    stages, maps = search.getEstimator(), search.getEstimatorParamMaps()
+
+    def measured(job: tuple[int, int]) -> tuple[int, float]:
+        fold, i = job
+        rows = undersample(real.where(F.col(FOLD) != fold), under, label, key, seed).select(*columns)
+        if made is not None:
+            rows = rows.unionByName(made.where(F.col(HELD_OUT) == fold).select(*columns))
+        model = stages.fit(rows, maps[i])
+        judged = model.transform(real.where(F.col(FOLD) == fold).select(*columns))
+        return i, search.getEvaluator().evaluate(judged)
+
+    jobs = [(f, i) for f in range(folds) for i in range(len(maps))]
+    sums = _in_threads(inheritable_thread_target(train.sparkSession)(measured), jobs, parallelism, len(maps))
+    metrics = [s / folds for s in sums]
+    ready = assemble(rebalance(train, over, under, with_seconds, key, label, k, seed, folds, rare), with_seconds)
+    best = stages.fit(cut_lineage(ready.select(*columns).hint("rebalance")), maps[metrics.index(max(metrics))])
+    return search._copyValues(CrossValidatorModel(best, metrics))
+
+
+def _in_threads(run, jobs: Iterable, threads: int, results: int) -> list[float]:
+    """Sums of what ``run`` measures for each result, several jobs at a time."""
+    sums, pool = [0.0] * results, ThreadPool(threads)
+    try:
+        for i, value in pool.imap_unordered(run, jobs):
+            sums[i] += value
+    finally:
+        pool.close()
+    return sums
+
+
 def rare_of(train: DataFrame, with_seconds: bool, key: str, label: str, k: int) -> Rare:
     """The minority and its neighbours, searched once for all settings of a sweep."""
     return with_lists(rare_rows(train, feature_cols(with_seconds), label, key), k)
@@ -169,10 +239,14 @@ def sweep(
     max_memory_mb: int | None = None,
     log_folder: str | None = None,
     model_path: str | None = None,
+    within_folds: bool = False,
 ) -> Sweep:
     """Try every sampling setting, keep the one whose best forest has the largest
     metric (the earlier of equals), and evaluate it on the held-out share.
 
+    ``within_folds`` resamples inside the training part of each fold (``cross_validate_within``)
+    instead of before the folds are dealt.
+
     With ``log_folder`` the test partition, the per-parameter results and the
     report are written there; with ``model_path`` the chosen model too.
     """
@@ -183,15 +257,25 @@ def sweep(
         raise ValueError("no sampling settings")
     train, test = train_test_split(df, train_share, key, seed)
     rare = rare_of(train, with_seconds, key, label, k) if any(o for o, _ in pairs) else None
-    settings, rows = [], []
-    for o, u in pairs:
+    settings, rows, lists = [], [], None
+    if within_folds and rare:
+        # one search for all settings
+        lists = fold_lists(rare.rows.select("id", "features"), k, folds, fold_number(folds, seed))
+        lists = cut_lineage(lists)
+
+    def fitted(o: float, u: float) -> CrossValidatorModel:
+        if within_folds:
+            return cross_validate_within(
+                train, o, u, grid, with_seconds, key, label, k, folds, parallelism, seed, score, max_memory_mb, rare, lists
+            )
         balanced = rebalance(train, o, u, with_seconds, key, label, k, seed, folds, rare)
         ready = assemble(balanced, with_seconds).select(label, "features", FOLD)
         # read many times while fitting: stored once, in partitions of even size
         ready = cut_lineage(ready.hint("rebalance"))
-        model = cross_validate(
-            ready, grid, label, folds, parallelism, seed, score, max_memory_mb, FOLD
-        )
+        return cross_validate(ready, grid, label, folds, parallelism, seed, score, max_memory_mb, FOLD)
+
+    for o, u in pairs:
+        model = fitted(o, u)
         maps = zip(model.getEstimatorParamMaps(), model.avgMetrics)
         rows += [
             (started, float(u), float(o), {p.name: str(v) for p, v in params.items()}, float(metric))

@@ -13,14 +13,15 @@ from raremill.schema import ID
 
 
 def keyed_sends(
-    df: DataFrame, cycles: int = 1, producers: int = 1, key: str = ID, seed: int = 1
+    df: DataFrame, cycles: int = 1, producers: int = 1, key: str = ID, seed: int = 1, row_key: str | None = None
 ) -> DataFrame:
     """Every row ``cycles * producers`` times, each send with its own ``uuid`` and
     ``cycle`` number. The uuid follows from row, cycle and seed: a retried task
     sends the same one, and the send log agrees with the messages. Use a new seed
-    for each run."""
+    for each run. Where ids are missing or repeated, ``row_key`` names a column that tells rows
+    apart, such as the number of ``sources.numbered``."""
     sends = replicate(df, cycles * producers, "cycle").withColumn("id", F.col(key))
-    return sends.withColumn("uuid", keyed_uuid("send", seed, F.col(key), F.col("cycle")))
+    return sends.withColumn("uuid", keyed_uuid("send", seed, F.col(row_key or key), F.col("cycle")))
 
 
 def messages(sends: DataFrame, with_seconds: bool = False, connector: bool = False) -> DataFrame:

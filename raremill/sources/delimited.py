@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from raremill.schema import (
     ID, PREDICTIONS, REPORT, SUBMODEL_LOG, SUBMODELS, TUNING_LOG, oversampled_schema, txn_schema,
 )
+from raremill.sources.numbered import NUMBER, numbered_lines
 
 
 def fields(line: Column, delimiter: str = ",") -> Column:
@@ -127,6 +128,15 @@ def read_transactions_leniently(
     return lenient_rows(lines.where(not_blank()), with_seconds)
 
 
+def read_numbered_transactions(
+    spark: SparkSession, path: str, with_seconds: bool = False, header: bool = True
+) -> DataFrame:
+    """The same rows with a unique ``number`` each, from file and position: a key for splits, folds, draws
+    and messages where ids are no numbers or repeat."""
+    lines = numbered_lines(spark, path, header).where(not_blank())
+    return lenient_rows(lines, with_seconds, keep=(NUMBER,))
+
+
 def _without_first_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines but the first of each file, whatever it says. A separator that text
     does not hold makes the CSV reader, which knows where files begin, keep lines whole."""

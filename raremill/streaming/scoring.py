@@ -44,6 +44,22 @@ def decode_messages(
     return rows
 
 
+def sent_once(messages: DataFrame, within: str = "10 minutes", key: str = "key", time_col: str = "time") -> DataFrame:
+    """Each message once, however often it is sent within ``within``: the first of equal keys to come.
+    ``time_col`` is a time stamp or milliseconds. Messages without a key are told apart by their bytes.
+    A stream keeps a key until the watermark has passed it; later repeats are messages of their own."""
+    at = F.col(time_col)
+    if dict(messages.dtypes)[time_col] == "bigint":
+        at = F.timestamp_millis(at)
+    own = F.coalesce(F.col(key), F.concat(F.lit("bytes:"), F.sha2("value", 256)))
+    marked = messages.withColumns({"_own": own, "_at": at})
+    if not messages.isStreaming:
+        # the first of a table, not any
+        first = F.min_by(F.struct(*[F.col(c) for c in messages.columns]), "_at").alias("m")
+        return marked.groupBy("_own").agg(first).select("m.*")
+    return marked.withWatermark("_at", within).dropDuplicatesWithinWatermark(["_own"]).drop("_own", "_at")
+
+
 def score(
     transactions: DataFrame,
     model: Model,
