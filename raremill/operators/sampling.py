@@ -48,35 +48,62 @@ def replicate(df: DataFrame, copies: int, copy_col: str = "copy") -> DataFrame:
     return df.withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.lit(copies))))
 
 
+#: Rows that one task ranks at most.
+RANKED = 1 << 16
+_DIGIT = 14
+
+
 def among_first(df: DataFrame, size: int, key: str, purpose: str, seed: int = 1) -> Column:
     """A condition true for exactly ``size`` rows of ``df`` (all, if it has fewer):
-    those with the smallest (hash, key). ``key`` must be unique.
+    those with the smallest (hash, key). ``key`` must be unique; rows that share one stand or
+    fall together.
 
     The condition compares with the size-th smallest pair, so using it is a plain
-    filter. That pair is found without a global order: rows are counted per hash
-    bucket, and only the bucket that holds it, about n / 16384 rows, is ranked.
+    filter. That pair is found without a global order, by radix selection: see ``boundary``.
     """
     if size <= 0:
         return F.lit(False)
     bits = hash_bits(purpose, seed, F.col(key))
-    hashed = df.select(bits.alias("bits"), F.col(key).alias("key")).withColumn(
-        "bucket", F.shiftright(F.col("bits"), 18)
-    )
-    counts = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    # at most 16384 rows: a window over all of them is small
-    up_to = F.sum("n").over(Window.orderBy("bucket"))
-    holds = counts.select("bucket", "n", up_to.alias("up_to")).where(
-        (F.col("up_to") >= size) & (F.col("up_to") - F.col("n") < size)
-    )
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("bits", "key"))
-    last = (
-        hashed.join(F.broadcast(holds), "bucket")
-        .withColumn("rank", F.col("up_to") - F.col("n") + rank)
-        .where(F.col("rank") == size)
-        .select(F.struct("bits", "key"))
-    )
+    hashed = df.select(bits.alias("bits"), F.col(key).alias("key"))
+    found = boundary(hashed, size)
+    if found is None:
+        return F.lit(True)
+    low, high, rank, _ = found
+    # equal keys are one row with a weight
+    near = hashed.where(F.col("bits").between(low, high)).groupBy("bits", "key").agg(F.count(F.lit(1)).alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("bits", "key"))
+    last = near.select("bits", "key", "n", up_to.alias("up_to")).where(
+        (F.col("up_to") >= rank) & (F.col("up_to") - F.col("n") < rank)
+    ).first()
     pair = F.struct(bits.alias("bits"), F.col(key).alias("key"))
-    return F.coalesce(pair <= last.scalar(), F.lit(True))
+    kind = hashed.schema["key"].dataType
+    return pair <= F.struct(F.lit(last.bits).cast("long").alias("bits"), F.lit(last.key).cast(kind).alias("key"))
+
+
+def boundary(hashed: DataFrame, size: int) -> tuple[int, int, int, int] | None:
+    """The hashes (from, to) among which the size-th smallest lies, its rank among them, and their
+    number of rows; None if there are fewer rows.
+
+    Rows are counted in 16,384 ranges of hashes; the one that holds the rank is cut again as long as it has
+    more than ``RANKED`` rows and more than one hash. Each round reads the rows once and brings one
+    row to the driver."""
+    low, span, rank = 0, 1 << 32, size
+    while True:
+        step = max(1, span >> _DIGIT)
+        part = hashed.where(F.col("bits").between(low, low + span - 1))
+        place = F.floor((F.col("bits") - low) / step).alias("place")
+        counts = part.groupBy(place).agg(F.count(F.lit(1)).alias("n"))
+        # at most 16384 rows: a window over all of them is small
+        up_to = F.sum("n").over(Window.orderBy("place"))
+        holds = counts.select("place", "n", up_to.alias("up_to")).where(
+            (F.col("up_to") >= rank) & (F.col("up_to") - F.col("n") < rank)
+        )
+        row = holds.first()
+        if row is None:
+            return None
+        low, span, rank = low + row.place * step, step, rank - (row.up_to - row.n)
+        if row.n <= RANKED or span == 1:
+            return low, low + span - 1, rank, row.n
 
 
 def hash_ranked(df: DataFrame, size: int, key: str, purpose: str, seed: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raremill.functions.hashing import hash_uniform, keyed_uuid
@@ -14,11 +14,12 @@ from raremill.operators import fold_smote, knn, metrics, projection, sampling
 from raremill.operators import smote as oversampling
 from raremill.operators.throughput import throughput
 from raremill.plans import oracle, tuning
-from raremill.schema import AMOUNT, ID, LABEL, feature_cols, txn_schema
+from raremill.schema import AMOUNT, ID, LABEL, TUNING_LOG, feature_cols, txn_schema
 from raremill.session import cut_lineage, shared_folder
 from raremill.sinks import files, publish
 from raremill.sources import delimited, messages, numbered
 from raremill.sources.tables import stream_table, table, transactions
+from raremill.streaming import evaluation as running
 from raremill.streaming import latency, ledger, scoring, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,6 +165,21 @@ def publish_repeated_ids(spark, folder):
     return sends.select("uuid", "id", "cycle", "number")
 
 
+@query(oracle.REJECTS)
+def rejects_by_reason(spark, folder):
+    """Lines kept and rejected by one pass: counts from the stored tables, beside those taken on the way."""
+    path = f"{_run_folder(spark)}/judged"
+    judged = delimited.judged_rows(_dirty_lines(spark, folder), txn_schema())
+    seen = files.write_judged(judged, path)
+    kept, rejected = files.read_judged(spark, path, txn_schema())
+    counted = rejected.groupBy("reason", "column").agg(F.count(F.lit(1)).alias("n"))
+    whole = kept.agg(F.lit("kept").alias("reason"), F.lit(None).cast("string").alias("column"), F.count(F.lit(1)).alias("n"))
+    observed = F.create_map(*[x for r, n in seen.items() for x in (F.lit(r), F.lit(n))])
+    counted = counted.unionByName(whole)
+    total = F.sum("n").over(Window.partitionBy("reason"))
+    return counted.select("reason", "column", "n", (total == observed[F.col("reason")]).alias("as_observed"))
+
+
 @query(oracle.PREDICTIONS)
 def prediction_projection(spark, folder):
     txn = transactions(spark, folder, extra=("ts",))
@@ -214,10 +230,7 @@ def stored_predictions(spark, folder):
     return back.withColumn("prediction_time", F.col("prediction_time").cast("timestamp_ntz"))
 
 
-@query(oracle.SUBMODELS)
-def stored_submodels(spark, folder):
-    """Result lines whose parameter list holds commas, one per event, read back as a log."""
-    path = f"{_run_folder(spark)}/submodels"
+def _write_submodels(spark, folder, path):
     line = F.concat_ws(
         ",",
         run_stamp(F.col("ts")),
@@ -228,9 +241,73 @@ def stored_submodels(spark, folder):
         F.col("value").cast("string"),
     )
     table(spark, folder, "events").select(line.alias("value")).write.text(path)
+
+
+@query(oracle.SUBMODELS)
+def stored_submodels(spark, folder):
+    """Result lines whose parameter list holds commas, one per event, read back as a log."""
+    path = f"{_run_folder(spark)}/submodels"
+    _write_submodels(spark, folder, path)
     return delimited.read_submodel_log(spark, path)
 
 
+def _write_run_log(spark, folder, path):
+    """One line of the older run log per event, its numbers from the event."""
+    made = {"executionTime": run_stamp(F.col("ts")), "undersampling": F.lit("0.25"), "impurity": F.col("event_type")}
+    whole = {name: (F.col("event_id") + i).cast("string") for i, name in enumerate(TUNING_LOG.names)}
+    given = [
+        made.get(f.name, whole[f.name] if f.dataType.typeName() == "long" else F.col("value").cast("string"))
+        for f in TUNING_LOG
+    ]
+    events = table(spark, folder, "events").where("value is not null")
+    events.select(F.concat_ws(",", *given).alias("value")).write.text(path)
+
+
+@query(oracle.RUN_LOG)
+def stored_run_log(spark, folder):
+    path = f"{_run_folder(spark)}/tuning_log"
+    _write_run_log(spark, folder, path)
+    return delimited.read_run_log(spark, path)
+
+
+@query(oracle.txn(f'select {oracle.FEATURES}, "Class" from txn'))
+def stored_test_partition(spark, folder):
+    """A test partition without ids, written as CSV and read back."""
+    path = f"{_run_folder(spark)}/test_partition"
+    files.write_table(transactions(spark, folder).select(*FEATURES, LABEL), path, "csv")
+    return delimited.read_test_partition(spark, path, with_id=False)
+
+
+def _copied_run(spark, folder):
+    """A run's three text tables, copied twice to where a copy shall be."""
+    run = _run_folder(spark)
+    files.write_table(transactions(spark, folder).select(*FEATURES, LABEL), f"{run}/a/test_partition.csv", "csv")
+    _write_run_log(spark, folder, f"{run}/a/tuning_log.csv")
+    _write_submodels(spark, folder, f"{run}/a/submodel_log.csv")
+    for _ in range(2):
+        files.copy_run_tables(spark, f"{run}/a", f"{run}/b", with_id=False)
+    return f"{run}/b"
+
+
+@query(oracle.twice(oracle.SUBMODELS))
+def copied_submodels(spark, folder):
+    """The log of copies that append."""
+    return delimited.read_submodel_log(spark, f"{_copied_run(spark, folder)}/submodel_log.csv")
+
+
+@query(oracle.COPIED_SIZES)
+def copied_run_sizes(spark, folder):
+    """Rows after two copies: logs grow, the test partition is replaced."""
+    path = _copied_run(spark, folder)
+    found = {
+        "test_partition": delimited.read_test_partition(spark, f"{path}/test_partition.csv", with_id=False),
+        "tuning_log": delimited.read_run_log(spark, f"{path}/tuning_log.csv"),
+        "submodel_log": delimited.read_submodel_log(spark, f"{path}/submodel_log.csv"),
+    }
+    rows = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(oracle.RUN_LOG_FORMAT)
 def run_log_format(spark, folder):
     events = table(spark, folder, "events")
@@ -533,6 +610,24 @@ def stream_decoded(spark, folder):
     return spark.read.schema(rows.schema).parquet(f"{run}/rows")
 
 
+@query(oracle.LINEAGE)
+def stream_with_lineage(spark, folder):
+    """Messages decoded with the topic, partition and offset that each came from."""
+    run = _run_folder(spark)
+    sent = publish.messages(publish.keyed_sends(transactions(spark, folder)))
+    sent.select(
+        "key", "value", F.lit("transactions").alias("topic"), (F.col("id") % 3).cast("int").alias("partition"),
+        F.floor(F.col("id") / 3).cast("long").alias("offset"),
+    ).write.parquet(f"{run}/messages")
+    schema = "key string, value binary, topic string, partition int, offset long"
+    stream = spark.readStream.schema(schema).parquet(f"{run}/messages")
+    rows = scoring.decode_messages(stream, keep=("topic", "partition", "offset"))
+    rows = rows.select("uuid", "id", "topic", "partition", "offset")
+    writer = rows.writeStream.format("parquet").option("path", f"{run}/rows")
+    writer.option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{run}/rows")
+
+
 @query(oracle.THROUGHPUT)
 def stream_throughput_5s(spark, folder):
     """All windows of a stream at its end, from the updates it stored."""
@@ -643,6 +738,39 @@ def stream_ledger(spark, folder):
     )
 
 
+@query(oracle.THROUGHPUT)
+def stream_windows_late(spark, folder):
+    """Windows of a stream whose last files come long after their time, late rows counted in."""
+    run = _run_folder(spark)
+    events = table(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    for part in (F.col("event_id") % 5 != 0, F.col("event_id") % 5 == 0):
+        events.where(part).write.mode("append").parquet(f"{run}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{run}/events")
+    windows.throughput_with_late(stream, "ts", f"{run}/w", f"{run}/checkpoint", available_now=True).awaitTermination()
+    found = windows.windows_with_late(spark, f"{run}/w").drop("late")
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(oracle.RUNNING)
+def running_evaluation(spark, folder):
+    """Counts of a prediction stream as it runs; the exact areas must lie within their bounds."""
+    run = _run_folder(spark)
+    rows = rule_scores(spark, folder)
+    rows.repartition(4, "id").write.parquet(f"{run}/scores")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{run}/scores")
+    tallies = running.score_tallies(stream, 0.0, 1000.0, 256)
+    running.store_tallies(tallies, f"{run}/tallies", f"{run}/checkpoint", available_now=True).awaitTermination()
+    found = running.running_report(running.latest_tallies(spark, f"{run}/tallies"))
+    exact = metrics.curve_areas(rows, "score").select(F.struct("*")).scalar()
+    inside = lambda c: F.col(f"exact.{c}").between(F.col(f"{c}_low") - 1e-12, F.col(f"{c}_high") + 1e-12)
+    narrow = lambda c: F.col(f"{c}_high") - F.col(f"{c}_low") < 0.1
+    areas = ("areaUnderROC", "areaUnderPR")
+    return found.withColumn("exact", exact).select(
+        "tn", "fp", "fn", "tp", "accuracy", "precision", "sensitivity", "specificity", "fpr",
+        *[inside(c).alias(f"{c}_inside") for c in areas], narrow("areaUnderROC").alias("areaUnderROC_narrow"),
+    )
+
+
 # --- models -------------------------------------------------------------------
 
 
@@ -731,6 +859,57 @@ def scored_batches(spark, folder):
     return _checked(delimited.read_predictions(spark, f"{run}/predictions", "parquet"))
 
 
+@query(oracle.HELD_OUT_CHECKED)
+def stream_at_interval(spark, folder):
+    """The same at a fixed interval until nothing is left; a micro-batch without rows stores nothing."""
+    run, model, rows = _published(spark, folder)
+    none = spark.read.schema(messages.FILE_SCHEMA).parquet(f"{run}/messages").limit(0)
+    publish.to_files(none, f"{run}/messages")
+    query = scoring.score_batches(
+        rows, model, f"{run}/predictions", f"{run}/checkpoint", fmt="parquet", every=scoring.batch_interval(500, "ms")
+    )
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return _checked(delimited.read_predictions(spark, f"{run}/predictions", "parquet"))
+
+
+def _small_sweep(spark, folder):
+    run = _run_folder(spark)
+    grid = tuning.ForestGrid(num_trees=[5], max_depth=[4])
+    txn = transactions(spark, folder)
+    tuning.sweep(txn, [2], [0.3], grid, folds=2, log_folder=run, model_path=f"{run}/model")
+    return run
+
+
+@query(oracle.HELD_OUT_CHECKED)
+def stored_model_scores(spark, folder):
+    """Held-out transactions scored by a sweep's model, saved and loaded again."""
+    run = _small_sweep(spark, folder)
+    test = delimited.read_test_partition(spark, f"{run}/test_partition", fmt="parquet")
+    scored = scoring.load_model(f"{run}/model").transform(tuning.assemble(test))
+    return _checked(scored.select(F.col(ID).alias("id"), "label", "prediction", "predictedLabel"))
+
+
+@query(oracle.SWEEP_REPORT)
+def sweep_report(spark, folder):
+    """The report row of a sweep; its counts must be those of the held-out rows, its ratios follow
+    from them, and the forest must be better than chance."""
+    run = _small_sweep(spark, folder)
+    row = delimited.read_run_log(spark, f"{run}/tuning_log", "parquet")
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    near = lambda a, b: F.abs(F.coalesce(a - F.try_divide(*b), F.lit(0.0))) < 1e-12
+    share = (tp + fn) / (tp + fp + fn + tn)
+    return row.select(
+        "numWorkerNodes", "undersampling", "oversampling", "numTrees", "maxDepth", "impurity", "param2", "param15",
+        (tp + fn).cast("long").alias("positives"), (fp + tn).cast("long").alias("negatives"),
+        (near(F.col("precision"), (tp, tp + fp)) & near(F.col("sensitivity"), (tp, tp + fn))
+         & near(F.col("specificity"), (tn, tn + fp)) & near(F.col("fpr"), (fp, tn + fp))).alias("ratios_ok"),
+        ((F.col("areaUnderPR") > share) & (F.col("areaunderPRCV") > share)).alias("better_than_chance"),
+    )
+
+
 @query(oracle.SWEEP)
 def cv_sweep(spark, folder):
     """Grid points of a sweep over two sampling settings and two forests, from its stored log;

@@ -116,6 +116,19 @@ PUBLISH_REPEATED_IDS = numbered(
     from numbered, (select unnest([1, 2]) as cycle) c"""
 )
 
+_BAD = [
+    f"case when not regexp_full_match(f[1], '[+-]?[0-9]+') then 'ID' end",
+    *[f"case when try_cast(f[{i + 2}] as double) is null then '{n}' end" for i, n in enumerate(_NAMES)],
+    "case when not regexp_full_match(f[31], '[+-]?[0-9]+') then 'Class' end",
+]
+REJECTS = txn(
+    """select reason, case when reason = 'bad_value' then bad end as "column", count(*) as n, true as as_observed
+    from (select bad, case when len(f) < 31 then 'few_fields' when len(f) > 31 then 'many_fields'
+    when bad is not null then 'bad_value' else 'kept' end as reason from judged) q group by 1, 2""",
+    _DIRTY,
+    f"judged as (select f, coalesce({', '.join(_BAD)}) as bad from dirty)",
+)
+
 PREDICTIONS = txn(
     f"""select {_uuid("'txn:1:' || \"ID\"")} as uuid, "ID" as id,
     ("Amount" > 160)::int::double as prediction, ("Amount" > 160)::int::double as "predictedLabel",
@@ -133,6 +146,30 @@ SUBMODELS = (
     'maxDepth:5,kind:' || event_type as params, value as metric from events where value is not null"""
 )
 
+
+
+def twice(sql: str) -> str:
+    return f"select * from ({sql}) a union all select * from ({sql}) b"
+
+
+# The older run log's names and kinds, in file order.
+_LOG = (
+    "executionTime:s numWorkerNodes:l undersampling:u oversampling:l numTrees:l maxDepth:l maxBins:l impurity:e "
+    "featureSubsetStrategy:t minInstancesPerNode:l tp:d fp:d fn:d tn:d accuracy:d precision:d sensitivity:d specificity:d "
+    "areaUnderROC:d areaUnderPR:d areaunderPRCV:d param2:t param3:t param7:t param8:t param9:t param10:t param11:t "
+    "param12:t param13:t param14:t param15:t"
+).split()
+_LOG_VALUES = {
+    "s": _STAMP, "u": "0.25::double", "e": "event_type", "d": "value", "l": "event_id + {i}", "t": "value::varchar",
+}
+RUN_LOG = "select " + ", ".join(
+    _LOG_VALUES[kind].replace("{i}", str(i)) + f' as "{name}"'
+    for i, (name, kind) in enumerate(x.split(":") for x in _LOG)
+) + " from events where value is not null"
+
+COPIED_SIZES = """select 'test_partition' as name, count(*) as n from events
+union all select 'tuning_log', 2 * count(value) from events union all select 'submodel_log', 2 * count(value) from events"""
+
 LABEL_INDEX = (
     "select event_type, (dense_rank() over (order by event_type) - 1)::double as label, count(*) as n "
     "from events group by event_type"
@@ -381,6 +418,16 @@ HELD_OUT_STAMPED = txn(
     f'select "ID" as id, "Class"::double as label, true as prediction_ok, true as label_ok, '
     f"{_KEYED} as uuid, true as time_ok from txn where not {_TRAIN}"
 )
+LINEAGE = txn(
+    f"""select {_KEYED} as uuid, "ID" as id, 'transactions' as topic, ("ID" % 3)::int as partition, "ID" // 3 as "offset"
+    from txn"""
+)
+SWEEP_REPORT = txn(
+    """select 4::bigint as "numWorkerNodes", 0.3::double as undersampling, 2.0::double as oversampling,
+    5::bigint as "numTrees", 4::bigint as "maxDepth", 'gini' as impurity, '2' as param2, '5' as param15,
+    count(*) filter ("Class" = 1) as positives, count(*) filter ("Class" = 0) as negatives, true as ratios_ok,
+    true as better_than_chance from txn """ + f"where not {_TRAIN}"
+)
 SWEEP = """select s.o as oversampling, s.u as undersampling, t.n as num_trees, '5' as max_depth,
 'entropy' as impurity, true as metric_ok
 from (values (2.0::double, 0.3::double), (1.5::double, 0.1::double)) s(o, u), (values ('5'), ('10')) t(n)"""
@@ -449,6 +496,14 @@ OFFSET_STREAM = f"""with {_CONSUMED}
 select topic, partition, min("offset") as first, max("offset") as last, 0::bigint as overlaps from planned group by 1, 2"""
 
 
+RUNNING = txn(
+    f'select cells.*, {_RATIOS}, true as "areaUnderROC_inside", true as "areaUnderPR_inside", '
+    'true as "areaUnderROC_narrow" from cells',
+    _RULE,
+    _CELLS,
+)
+
+
 def best_config(thresholds: list[float]) -> str:
     rows = " union all ".join(
         f"select {i} as ordinal, {t}::double as threshold, "

@@ -7,7 +7,7 @@ would pass a whole table through one task. All readers here take directories.
 from __future__ import annotations
 
 from pyspark.ml.util import MLWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,27 @@ def write_table(
     writer.format(fmt).save(path)
 
 
+def write_judged(judged: DataFrame, path: str) -> dict[str, int]:
+    """Store judged rows in one pass, kept and rejected ones in folders of their own, and return
+    the counts that were taken on the way: ``lines``, ``kept`` and each reason."""
+    observed = Observation()
+    counts = [F.count_if(F.col("reason") == r).alias(r) for r in delimited.REASONS]
+    kept = F.count_if(F.col("reason").isNull()).alias("kept")
+    watched = judged.observe(observed, F.count(F.lit(1)).alias("lines"), kept, *counts)
+    fate = F.when(F.col("reason").isNull(), "kept").otherwise("rejected")
+    watched.withColumn("fate", fate).write.mode("overwrite").partitionBy("fate").parquet(path)
+    return observed.get
+
+
+def read_judged(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The kept rows of ``write_judged``, and the rejected lines with reason and column."""
+    text = [T.StructField(n, T.StringType()) for n in ("reason", "column", "rejected", "fate")]
+    loose = [T.StructField(f.name, f.dataType) for f in schema]
+    stored = spark.read.schema(T.StructType([*text[:3], *loose, text[3]])).parquet(path)
+    kept = stored.where("fate = 'kept'").select(*schema.names)
+    return kept, stored.where("fate = 'rejected'").select("reason", "column", F.col("rejected").alias("line"))
+
+
 def append_log(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append rows to a typed log, which is created if it does not exist."""
     write_table(rows, path, fmt, "append")

@@ -7,6 +7,7 @@ here a row is kept when it has the right number of fields and all of them cast.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,6 +96,64 @@ def strict_rows(
     return parsed.where(fits).select(*keep, *schema.names)
 
 
+_END = "\u0002"
+REASONS = ("few_fields", "many_fields", "bad_value", "missing_value", "malformed")
+
+
+def judged_rows(
+    df: DataFrame,
+    schema: T.StructType,
+    delimiter: str = ",",
+    line: str = "value",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Every line that is not blank, once: the typed row where ``strict_rows`` would keep it; where it would
+    not, the line, the reason and the first column at fault.
+
+    Adds ``reason`` (null: kept), ``column`` and ``rejected`` (the line) before the columns of the
+    schema, which are null in rejected rows. A reason is one of ``REASONS``: too few or too many fields, else
+    the first field that is no value of its type, else the first empty one that must not be."""
+    # a last field of our own tells how many fields there are; the reader has null for empty and missing ones
+    text = ", ".join(f"`f{i}` string" for i in range(len(schema) + 1))
+    marked = F.concat(F.col("_line"), F.lit(delimiter + _END))
+    named = [f"_typed_{f.name}" for f in schema]
+    ddl = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(named, schema, strict=True))
+    strict = {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    rows = df.where(not_blank(line)).select(
+        *keep, F.col(line).alias("_line"), F.inline(F.array(F.from_csv(line, f"{ddl}, `_bad` string", strict)))
+    )
+    fits = F.col("_bad").isNull()
+    for name, f in zip(named, schema, strict=True):
+        if not f.nullable:
+            fits = fits & F.col(name).isNotNull()
+    rows = rows.withColumn("_raw", F.when(~fits, F.from_csv(marked, text, {"sep": delimiter, "mode": "PERMISSIVE"})))
+    raw = lambda i: F.col("_raw")[f"f{i}"]
+    n = len(schema)
+    empty = [F.coalesce(F.trim(raw(i)) == "", F.lit(True)) for i in range(n)]
+    wrong = [F.when(~empty[i] & F.col(named[i]).isNull(), F.lit(f.name)) for i, f in enumerate(schema)]
+    absent = [F.when(empty[i], F.lit(f.name)) for i, f in enumerate(schema) if not f.nullable]
+    at_end = [F.coalesce(raw(i).endswith(_END), F.lit(False)) for i in range(n + 1)]
+    ended = functools.reduce(lambda a, b: a | b, [a & (raw(i) == _END) for i, a in enumerate(at_end[:n])], F.lit(False))
+    open_quote = functools.reduce(lambda a, b: a | b, at_end)
+    few, many = ended, ~open_quote
+    whole = F.coalesce(raw(n) == _END, F.lit(False))
+    first_wrong, first_absent = _first(wrong), _first(absent)
+    reason = (
+        F.when(fits, F.lit(None)).when(few, "few_fields").when(many, "many_fields")
+        .when(~whole, "malformed")
+        .when(first_wrong.isNotNull(), "bad_value").when(first_absent.isNotNull(), "missing_value").otherwise("malformed")
+    )
+    column = F.when(~fits & whole, F.coalesce(first_wrong, first_absent))
+    return rows.select(
+        *keep, reason.alias("reason"), column.alias("column"), F.when(~fits, F.col("_line")).alias("rejected"),
+        *[F.when(fits, F.col(name)).alias(f.name) for name, f in zip(named, schema, strict=True)],
+    )
+
+
+def _first(names: list[Column]) -> Column:
+    return F.coalesce(*names, F.lit(None).cast("string"))
+
+
 def lenient_rows(
     df: DataFrame,
     with_seconds: bool = False,

@@ -1,0 +1,50 @@
+import pytest
+from pyspark.sql import functions as F
+
+from raremill.functions.hashing import hash_bits
+from raremill.operators import sampling
+
+
+def ranked(spark, df, key="id", purpose="p"):
+    rows = df.select(hash_bits(purpose, 1, F.col(key)).alias("b"), F.col(key).alias("k")).collect()
+    return sorted((r.b, r.k) for r in rows)
+
+
+@pytest.mark.parametrize("bound", [1, 7, 1 << 16])
+def test_exact_sizes_at_every_depth(spark, monkeypatch, bound):
+    """However often the range at the boundary must be cut, the sample is the least hashes."""
+    monkeypatch.setattr(sampling, "RANKED", bound)
+    df = spark.range(3000)
+    want = ranked(spark, df)
+    for size in (1, 2, 1499, 2999, 3000, 4000):
+        got = {r.id for r in sampling.hash_ranked(df, size, "id", "p").collect()}
+        assert got == {k for _, k in want[:size]}
+
+
+def test_one_crowded_range(spark, monkeypatch):
+    """A million rows in one range of hashes: it is cut until no task ranks more than it may."""
+    monkeypatch.setattr(sampling, "RANKED", 5000)
+    hashed = spark.range(1_000_000).select((F.col("id") * 17 % 262_144).alias("bits"), F.col("id").alias("key"))
+    for size in (1, 123_456, 999_999, 1_000_000):
+        low, high, rank, n = sampling.boundary(hashed, size)
+        assert n <= 5000 and 1 <= rank <= n
+        assert hashed.where(F.col("bits") < low).count() + rank == size
+        assert hashed.where(F.col("bits").between(low, high)).count() == n
+    assert sampling.boundary(hashed, 1_000_001) is None
+
+
+def test_equal_keys_are_weighed(spark, monkeypatch):
+    """A million rows of five keys: one row per key is ranked, rows of a key stay together."""
+    monkeypatch.setattr(sampling, "RANKED", 100)
+    df = spark.range(1_000_000).select((F.col("id") % 5).alias("id"))
+    order = sorted({b: k for b, k in ranked(spark, df.distinct())}.items())
+    for size, keys in ((200_000, 1), (200_001, 2), (999_999, 5)):
+        kept = sampling.hash_ranked(df, size, "id", "p")
+        assert {r.id for r in kept.distinct().collect()} == {k for _, k in order[:keys]}
+        assert kept.count() == keys * 200_000
+
+
+def test_extra_copies_of_many(spark):
+    df = spark.range(1001)
+    assert sampling.sample_copies(df, 2.5, "id").count() == 2503
+    assert sampling.sample_copies(df.where("false"), 0.5, "id").count() == 0
