@@ -3,8 +3,10 @@
 A CGK walk reads a word sequence from a start: step j emits the word at the cursor and
 moves on by a random bit drawn from (repetition, j, word). Sequences at small edit distance
 then agree in most steps. Each repetition samples a few steps of its own walk as a bucket
-key, per class of item lengths, so windows as long as the item meet it in some repetition
-with the wanted recall. A fitting alignment of the item in the text then decides exactly.
+key, per class of lengths, so windows as long as the item meet it in some repetition
+with the wanted recall. Walks of long sequences drift apart, so items of more than ``PIECE`` words are
+sought by their pieces: one of them has at most its share of the edits. A fitting alignment of the whole item in the
+text then decides exactly.
 
 A lossless test comes first: an edit breaks at most two pairs of neighbouring words, so a
 window can hold an item of n words with e edits only if n - 1 - 2e of its word pairs are
@@ -20,6 +22,7 @@ pass over the documents each.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -34,6 +37,8 @@ from raremill.llm.tasks import map_rows
 _WORD = re.compile(r"\w+")
 _STEPS = 3
 _CLASS_RATIO = 1.15
+#: Words of an item, or of a piece of one, that one walk reads.
+PIECE = 24
 LEAK_SCHEMA = "doc_id long, item_id long, start_word int, n_words int, edits int"
 
 
@@ -83,7 +88,12 @@ class Index:
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         self.ids = [i for i, _ in items]
         self.items = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in items]
-        sizes = np.array([len(c) for c in self.items])
+        # pieces as (item, first word, words)
+        self.pieces = [
+            (k, int(a), c[a:b]) for k, c in enumerate(self.items)
+            for a, b in itertools.pairwise(np.linspace(0, len(c), math.ceil(len(c) / PIECE) + 1).astype(int))
+        ]
+        sizes = np.array([len(c) for _, _, c in self.pieces])
         self.pairs = np.unique(np.concatenate([self._paired(c) for c in self.items]))
         # class c holds lengths from low[c] to below low[c + 1]
         low = [int(sizes.min())]
@@ -102,10 +112,10 @@ class Index:
         keys, owners = [], []
         for c in self.used:
             own = [k for k, n in enumerate(sizes) if self.low[c] <= n < self.low[c + 1]]
-            longest = max(len(self.items[k]) for k in own)
+            longest = max(len(self.pieces[k][2]) for k in own)
             padded = np.zeros((len(own), longest + 1), np.int64)
             for row, k in enumerate(own):
-                padded[row, : len(self.items[k])] = self.items[k]
+                padded[row, : len(self.pieces[k][2])] = self.pieces[k][2]
             starts = np.arange(len(own)) * (longest + 1)
             found = self._keys(padded.ravel(), {int(c): starts})[int(c)]
             keys.append(found.ravel())
@@ -169,25 +179,28 @@ class Index:
             for r, k in zip(*np.nonzero(right > left), strict=True):
                 at = int(starts[c][k])
                 text = int(text_of[at])
-                for item in np.unique(self.owners[left[r, k] : right[r, k]]):
-                    seen = done.setdefault((text, int(item)), [])
-                    if any(a <= at < b for a, b in seen):
+                for piece in np.unique(self.owners[left[r, k] : right[r, k]]):
+                    item, ahead, _ = self.pieces[piece]
+                    seen = done.setdefault((text, item), [])
+                    start = at - ahead  # but for edits before the piece
+                    if any(a <= start < b for a, b in seen):
                         continue
                     n = len(self.items[item])
                     budget = int(self.max_ratio * n)
                     first = int(ends[text] - sizes[text])
-                    a, b = max(first, at - budget - 2), min(int(ends[text]), at + n + 2 * budget + 2)
+                    a, b = max(first, start - budget - 2), min(int(ends[text]), start + n + 2 * budget + 2)
                     bag = self.bags[item]
                     if len(bag.intersection(codes[a:b].tolist())) < len(bag) - budget:
                         continue  # each edit loses one word at most
                     edits, s, e = fitting_edits(self.items[item], codes[a:b])
                     # from here on this stretch needs no second look
-                    seen.append((at, at + 1))
-                    placed = places.setdefault((text, int(item)), [])
+                    seen.append((start, start + 1))
+                    placed = places.setdefault((text, item), [])
                     if edits <= budget and not any(a + s < y and x < a + e for x, y in placed):
                         placed.append((a + s, a + e))
-                        seen.append((a + s, a + e))
-                        yield text, int(item), a + s - first, e - s, edits
+                        # another place that starts here would overlap this one
+                        seen.append((a + s - budget, a + e))
+                        yield text, item, a + s - first, e - s, edits
 
 
 def _blocks(benchmark: DataFrame, min_words: int, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
@@ -210,7 +223,7 @@ def _indexes(docs, benchmark, id_col, text_col, max_ratio, recall, min_words, bl
         F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")
     )
     for block in _blocks(items, min_words, block_words):
-        yield docs.sparkSession.sparkContext.broadcast(Index(block, max_ratio, recall, seed))
+        yield Index(block, max_ratio, recall, seed)
 
 
 def leaks(
@@ -231,9 +244,8 @@ def leaks(
     out = None
     for index in _indexes(docs, benchmark, item_col, item_text_col, max_ratio, recall, min_words, block_words, seed):
 
-        def make(index=index):
-            own = index.value
-
+        # the index travels with the function, code and all
+        def make(own=index):
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
                 ids = batch.column(0).to_pylist()
                 hits = list(own.find([words_of(t) for t in batch.column(1).to_pylist()]))
@@ -265,9 +277,8 @@ def clean(
     at = docs.columns.index(text_col)
     for index in _indexes(docs, benchmark, "item_id", "text", max_ratio, recall, min_words, block_words, seed):
 
-        def make(index=index):
-            own = index.value
-
+        # the index travels with the function, code and all
+        def make(own=index):
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
                 texts = [words_of(t) for t in batch.column(at).to_pylist()]
                 held = np.ones(len(texts), bool)

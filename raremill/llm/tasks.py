@@ -40,8 +40,10 @@ def int_lists(values, lengths, kind=pa.int32()) -> pa.ListArray:
     """Flat ``values`` cut into lists of ``lengths``."""
     import numpy as np
 
-    offsets = np.zeros(len(lengths) + 1, np.int32)
+    offsets = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=offsets[1:])
+    if offsets[-1] > np.iinfo(np.int32).max:
+        raise OverflowError("more values than the lists of one batch can hold; use smaller slices")
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 

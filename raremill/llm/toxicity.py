@@ -255,10 +255,9 @@ def _idf(docs: DataFrame, terms: list[str]) -> np.ndarray:
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, and as evidence the nearest examples and the terms met."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = model  # travels with the function, code and all
 
     def make():
-        own = shared.value
         vectors = Vectors(own.terms)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -286,11 +285,10 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose score is 0.5 or more; all columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = model
     at = docs.columns.index(text_col)
 
     def make():
-        own = shared.value
         vectors = Vectors(own.terms)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

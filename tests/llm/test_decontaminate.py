@@ -73,6 +73,38 @@ def test_recall_within_the_budget():
     assert found / total >= 0.97
 
 
+KINDS = {
+    "replaced": lambda w, at: w[:at] + [rnd.choice(WORDS)] + w[at + 1 :],
+    "inserted": lambda w, at: w[:at] + [rnd.choice(WORDS)] + w[at:],
+    "deleted": lambda w, at: w[:at] + w[at + 1 :],
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("length", [20, 40, 60, 150, 300])
+def test_recall_at_the_full_budget(kind, length):
+    """A fifth of the words edited, of one kind, at places spread by chance."""
+    items = [(k, prose(length)) for k in range(40)]
+    index = Index(items, 0.2, 0.99, 7)
+    found = 0
+    for k, words in items:
+        text = words
+        for at in sorted(rnd.sample(range(length), length // 5), reverse=True):
+            text = KINDS[kind](text, at)
+        found += k in {items[h[1]][0] for h in index.find([prose(30) + text + prose(30)])}
+    assert found >= 38
+
+
+def test_two_places_side_by_side():
+    items = [(k, prose(n)) for k, n in enumerate((10, 70, 200))]
+    index = Index(items, 0.2, 0.99, 7)
+    for k, words in items:
+        text = prose(9) + words + words + prose(40) + words
+        got = sorted((h[2], h[3], h[4]) for h in index.find([text]) if items[h[1]][0] == k)
+        n = len(words)
+        assert got == [(9, n, 0), (9 + n, n, 0), (49 + 2 * n, n, 0)]
+
+
 def test_clean_texts_are_left_alone():
     index = Index([(k, prose(30)) for k in range(100)], 0.2, 0.99, 7)
     assert not list(index.find([prose(400) for _ in range(100)]))

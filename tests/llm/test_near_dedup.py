@@ -15,21 +15,21 @@ def prose(n):
     return [rnd.choice(WORDS) for _ in range(n)]
 
 
-def brute_set(text):
+def brute_set(text, width=3):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
-    if len(words) < 3:
+    if len(words) < width:
         return {tuple(words)} if words else set()
-    return {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
+    return {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
 
 
-def brute(rows):
-    sets = [(i, brute_set(t)) for i, t in rows if i is not None]
+def brute(rows, width=3, percent=85):
+    sets = [(i, brute_set(t, width)) for i, t in rows if i is not None]
     low = {k: i for k, (i, _) in enumerate(sets)}
     links = [
         (a, b) for a in range(len(sets)) for b in range(a)
         if sets[a][1] and sets[b][1]
-        and 100 * len(sets[a][1] & sets[b][1]) >= 85 * len(sets[a][1] | sets[b][1])
+        and 100 * len(sets[a][1] & sets[b][1]) >= percent * len(sets[a][1] | sets[b][1])
     ]
     moved = True
     while moved:
@@ -76,9 +76,11 @@ def test_equals_brute_force(spark, docs):
     got = near_dedup.near_duplicates(frame.repartition(5)).collect()
     assert sorted(tuple(r) for r in got if r.doc_id is not None) == brute(rows)
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 2
-    kept = near_dedup.one_of_each(frame)
+    kept = near_dedup.one_of_each(frame, near_dedup.Rule())
     assert kept.columns == frame.columns
-    assert kept.count() == sum(r.kept for r in got)
+    # of the row that is there twice one is enough
+    twice = {r.kept for r in got if r.doc_id == rows[3][0]} == {True}
+    assert kept.count() == sum(r.kept for r in got) - twice
 
 
 def test_nothing_to_link(spark, docs):
@@ -113,3 +115,28 @@ def test_links_within_a_common_template(spark, docs):
     want = brute(rows)
     assert sum(not kept for *_, kept in want) >= 65
     assert sorted(tuple(r) for r in near_dedup.near_duplicates(docs(rows)).collect()) == want
+
+
+def test_usual_rule_equals_brute_force(spark, docs):
+    """Five words and 0.8: copies with a block added go, others stay; small sets and long lists too."""
+    common, texts = prose(300), []
+    for size, length, edits in ((80, 120, 2), (20, 400, 8), (6, 30, 1)):
+        base = prose(length)
+        texts += [changed(base, edits) for _ in range(size)]
+    for more in (75, 85, 90, 95, 110):
+        base = prose(400)
+        texts += [base, base + prose(more)]
+    texts += [common + prose(60) for _ in range(90)] + [prose(k % 7) for k in range(30)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    found = near_dedup.near_duplicates(docs(rows), rule=near_dedup.USUAL)
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows, 5, 80)
+
+
+def test_rows_are_decided_not_ids(spark, docs):
+    """An id repeated with another text, rows repeated whole, and copies of both."""
+    a, b, c = (" ".join(prose(80)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (4, c), (5, None), (5, None), (None, a), (6, "")]
+    left = near_dedup.one_of_each(docs(rows))
+    text = {a: "a", b: "b", c: "c"}
+    got = sorted((r.doc_id or 0, text.get(r.text, r.text or "")) for r in left.collect())
+    assert got == [(0, "a"), (1, "a"), (2, "b"), (4, "c"), (5, ""), (5, ""), (6, "")]
