@@ -61,7 +61,8 @@ def run(spark, folder: str, names: list[str] | None = None) -> dict[str, str | N
                 out[name] = None if got.num_rows else "no rows"
             print(f"{name:32s} {took:6.2f}s {got.num_rows:8d} {out[name] or 'ok'}", flush=True)
         except Exception as e:
-            out[name] = f"{type(e).__name__}: {str(e)[:600]}"
+            causes = [line.strip() for line in str(e).splitlines() if line.startswith("Caused by")]
+            out[name] = " ".join([f"{type(e).__name__}: {str(e)[:600]}", *causes[:4]])
             print(f"{name:32s} FAILED {out[name]}", flush=True)
     return out
 
