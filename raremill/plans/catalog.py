@@ -167,7 +167,7 @@ def publish_repeated_ids(spark, folder):
 
 @query(oracle.REJECTS)
 def rejects_by_reason(spark, folder):
-    """Lines kept and rejected by one pass: counts from the stored tables, beside those taken on the way."""
+    """Lines kept and rejected by one pass: counts of the stored tables, beside those that the sink returns."""
     path = f"{_run_folder(spark)}/judged"
     judged = delimited.judged_rows(_dirty_lines(spark, folder), txn_schema())
     seen = files.write_judged(judged, path)
@@ -895,7 +895,7 @@ def stored_model_scores(spark, folder):
 @query(oracle.SWEEP_REPORT)
 def sweep_report(spark, folder):
     """The report row of a sweep; its counts must be those of the held-out rows, its ratios follow
-    from them, and the forest must be better than chance."""
+    from them, and the forest must be better than chance, where there is a positive to tell by."""
     run = _small_sweep(spark, folder)
     row = delimited.read_run_log(spark, f"{run}/tuning_log", "parquet")
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
@@ -906,7 +906,8 @@ def sweep_report(spark, folder):
         (tp + fn).cast("long").alias("positives"), (fp + tn).cast("long").alias("negatives"),
         (near(F.col("precision"), (tp, tp + fp)) & near(F.col("sensitivity"), (tp, tp + fn))
          & near(F.col("specificity"), (tn, tn + fp)) & near(F.col("fpr"), (fp, tn + fp))).alias("ratios_ok"),
-        ((F.col("areaUnderPR") > share) & (F.col("areaunderPRCV") > share)).alias("better_than_chance"),
+        F.when(tp + fn == 0, F.col("areaUnderPR").isNull())
+        .otherwise((F.col("areaUnderPR") > share) & (F.col("areaunderPRCV") > share)).alias("better_than_chance"),
     )
 
 

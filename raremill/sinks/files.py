@@ -7,7 +7,7 @@ would pass a whole table through one task. All readers here take directories.
 from __future__ import annotations
 
 from pyspark.ml.util import MLWritable
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,14 +29,16 @@ def write_table(
 
 def write_judged(judged: DataFrame, path: str) -> dict[str, int]:
     """Store judged rows in one pass, kept and rejected ones in folders of their own, and return
-    the counts that were taken on the way: ``lines``, ``kept`` and each reason."""
-    observed = Observation()
-    counts = [F.count_if(F.col("reason") == r).alias(r) for r in delimited.REASONS]
-    kept = F.count_if(F.col("reason").isNull()).alias("kept")
-    watched = judged.observe(observed, F.count(F.lit(1)).alias("lines"), kept, *counts)
+    the counts of the stored rows: ``lines``, ``kept`` and each reason, from the column of reasons alone.
+
+    An ``Observation`` would count on the way, but a session that has had one can no longer apply
+    fitted models: Spark 4.1 then tries to send the session's observation manager along with them."""
     fate = F.when(F.col("reason").isNull(), "kept").otherwise("rejected")
-    watched.withColumn("fate", fate).write.mode("overwrite").partitionBy("fate").parquet(path)
-    return observed.get
+    judged.withColumn("fate", fate).write.mode("overwrite").partitionBy("fate").parquet(path)
+    stored = judged.sparkSession.read.schema("reason string, fate string").parquet(path)
+    kept = F.count_if(F.col("fate") == "kept").alias("kept")
+    reasons = [F.count_if(F.col("reason") == r).alias(r) for r in delimited.REASONS]
+    return stored.agg(F.count(F.lit(1)).alias("lines"), kept, *reasons).first().asDict()
 
 
 def read_judged(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
