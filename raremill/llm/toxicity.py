@@ -1,20 +1,25 @@
 """Toxicity by nearest labelled examples (operator 7).
 
 Terms are lower-cased words and, for words of more than five letters, their first five
-letters with a mark. From a bounded sample of labelled rows come the terms that are more
-frequent in toxic texts than chance allows (chi-square), and the examples' vectors of
-(1 + ln tf) * idf, with document frequencies counted over all documents. A text's score
-is a vote of its ``neighbours`` nearest examples by exact cosine, weighted by similarity
-and calibrated by a logistic curve on votes that leave each example out of its own vote.
-
-The search is exact: examples lie in blocks, an inverted index keeps the largest weight of
-each term in each block, and blocks are visited by falling upper bound until none can enter
-the list. Ties go to the smaller example number.
-
-A text without any term, among them null and empty ones, gets the share of toxic examples
-among examples without terms. Without labelled rows every score is 0. Repeated rows score
-alike; only the text is read for a score. Labels that are null count as absent; of several
-labels of one id the largest holds.
+letters with a mark. All terms of a bounded sample of labelled rows count. A term weighs
+(1 + ln tf) * idf * strength in a vector: document frequencies are taken over all
+documents, and the strength, between ``FAINT`` and 1, rises with the term's chi-square
+among the examples if it leans to toxic ones. A text's score is a vote of its
+``neighbours`` nearest examples by exact cosine, weighted by similarity and calibrated by
+a logistic curve on votes that leave each example out of its own vote.
+
+The search is exact: posting lists hold each term's examples, cut at blocks of examples
+that lie close together, with the largest weight of the term in each block. Blocks with
+the largest sums of such weights are scored first; then all those that can still hold a
+nearer example. Ties go to the smaller example number.
+
+A text that shares no term with any example, among them null and empty ones, gets the
+share of toxic examples among examples without terms, or among all if each has one.
+Without labelled rows every score is 0. Repeated rows score alike; only the text is read
+for a score, the whole of it however long. Labels that are null count as absent; of
+several labels of one id the largest holds, and of several texts of one id the one whose
+terms come first in order. Extra columns are ignored. The model is as large as the term
+lists of its examples.
 """
 
 from __future__ import annotations
@@ -32,7 +37,12 @@ from raremill.llm.tasks import map_rows, stored
 
 _WORD = re.compile(r"\w+")
 _REMEMBERED = 200_000
-_BLOCK = 64
+_BLOCK = 128
+#: Least strength of a term, and the chi-square at which it is a half.
+FAINT = 0.02
+HALF = 30.0
+#: Terms of this chi-square (one in a thousand by chance) are named as evidence.
+TELLING = 10.83
 
 
 def terms_of(word: str) -> list[str]:
@@ -48,73 +58,119 @@ class Vectors:
 
     def __init__(self, vocabulary: list[str]):
         self.at = {t: k for k, t in enumerate(vocabulary)}
-        self._seen: dict[str, int] = {}
-        self._sets: list[tuple[int, ...]] = [()]
-
-    def _look(self, word: str) -> int:
-        own = tuple(self.at[t] for t in terms_of(word) if t in self.at)
-        code = 0
-        if own:
-            self._sets.append(own)
-            code = len(self._sets) - 1
-        self._seen[word] = code
-        return code
+        self._seen: dict[str, tuple[int, ...]] = {}
+
+    def _look(self, word: str) -> tuple[int, ...]:
+        own = self._seen[word] = tuple(self.at[t] for t in terms_of(word) if t in self.at)
+        return own
 
     def counts(self, text: str | None) -> dict[int, int]:
         if len(self._seen) > _REMEMBERED:
-            self._seen, self._sets = {}, [()]
-        get, out = self._seen.get, Counter()
-        for word in words_of(text):
-            code = get(word)
-            if code is None:
-                code = self._look(word)
-            if code:
-                out.update(self._sets[code])
+            self._seen = {}
+        get, out = self._seen.get, {}
+        for word, tf in Counter(words_of(text)).items():
+            own = get(word)
+            for k in self._look(word) if own is None else own:
+                out[k] = out.get(k, 0) + tf
         return out
 
 
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
+
+
+class Postings:
+    """Posting lists of the examples' terms in runs, one for each block of examples in
+    which the term stands, with the run's largest weight."""
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
+        # examples lie by their strongest term among those of one example in 20 or more (texts of
+        # a kind and of a language come together), then by their strongest of all
+        df = np.bincount(term, minlength=n_terms)
+        self.number = np.unique(example)  # examples with terms, in the order of blocks
+        kind, best = np.full(n, -1), np.full(n, -1)
+        by = np.lexsort((-term, weight))
+        best[example[by]] = term[by]
+        by = by[df[term[by]] * 20 >= n]
+        kind[example[by]] = term[by]
+        self.number = self.number[np.lexsort((self.number, best[self.number], kind[self.number]))]
+        place = np.zeros(n, np.int64)
+        place[self.number] = np.arange(len(self.number))
+        by = np.lexsort((place[example], term))
+        self.place = place[example[by]]
+        self.weight = weight[by]
+        term, block = term[by], self.place // _BLOCK
+        new = np.ones(len(by), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        starts = np.flatnonzero(new)
+        self.run = np.append(starts, len(by)).astype(np.int32)
+        self.run_block = block[starts].astype(np.int32)
+        self.peak = np.maximum.reduceat(self.weight, starts) if len(starts) else self.weight
+        self.term = np.searchsorted(term[starts], np.arange(n_terms + 1)).astype(np.int32)
+        self.blocks = -(-len(self.number) // _BLOCK)
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and dot products of the ``k`` nearest examples that share a term."""
+        length = self.term[at + 1] - self.term[at]
+        runs, own = _ranges(self.term[at], length), np.repeat(w, length)
+        block = self.run_block[runs]
+        bound = np.bincount(block, own * self.peak[runs], self.blocks)
+        todo = np.zeros(self.blocks, bool)
+        todo[np.argsort(-bound, kind="stable")[: 1 + -(-k // _BLOCK)]] = True
+        todo &= bound > 0
+        found, scores = self._best(runs, own, todo[block], k, skip)
+        # a little room for rounding, so that a tie is never passed over
+        least = scores[-1] - 1e-9 if len(scores) == k else 0.0
+        rest = (bound > 0) & (bound >= least) & ~todo
+        if rest.any():
+            more, others = self._best(runs, own, rest[block], k, skip)
+            found, scores = np.concatenate([found, more]), np.concatenate([scores, others])
+            best = np.lexsort((found, -scores))[:k]
+            found, scores = found[best], scores[best]
+        return found, scores
+
+    def _best(self, runs, own, use, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        runs, own = runs[use], own[use]
+        length = self.run[runs + 1] - self.run[runs]
+        at = _ranges(self.run[runs], length)
+        dots = np.bincount(self.place[at], np.repeat(own, length) * self.weight[at], len(self.number))
+        dots = np.round(dots, 12)
+        near = np.flatnonzero(dots > 0)
+        near = near[self.number[near] != skip]
+        if len(near) > k:
+            near = near[dots[near] >= -np.partition(-dots[near], k - 1)[k - 1]]
+        best = near[np.lexsort((self.number[near], -dots[near]))[:k]]
+        return self.number[best], dots[best]
+
+
 @dataclass
 class Model:
     terms: list[str]
     idf: np.ndarray
+    factor: np.ndarray  # of each term: idf * strength
+    telling: np.ndarray  # terms named as evidence
     example_ids: np.ndarray
-    toxic: np.ndarray  # of the examples that have a term
-    weights: np.ndarray  # example x term, rows of length 1
+    toxic: np.ndarray
+    postings: Postings
     neighbours: int
     empty_score: float
     slope: float = 1.0
     offset: float = 0.0
 
-    def __post_init__(self):
-        n = len(self.weights)
-        self.blocks = [(a, min(a + _BLOCK, n)) for a in range(0, n, _BLOCK)]
-        peaks = [self.weights[a:b].max(axis=0) for a, b in self.blocks]
-        self.peaks = np.array(peaks).reshape(len(peaks), len(self.terms))
-
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(sorted(counts), np.int64, len(counts))
-        tf = np.array([counts[int(k)] for k in at], float)
-        w = (1 + np.log(tf)) * self.idf[at]
+        at = np.fromiter(counts.keys(), np.int64, len(counts))
+        tf = np.fromiter(counts.values(), float, len(counts))
+        by = np.argsort(at)
+        at = at[by]
+        w = (1 + np.log(tf[by])) * self.factor[at]
         return at, w / np.sqrt((w * w).sum())
 
     def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the nearest examples that share a term."""
-        bound = self.peaks[:, at] @ w
-        found, scores = np.empty(0, np.int64), np.empty(0)
-        for k in np.argsort(-bound, kind="stable"):
-            full = len(scores) >= self.neighbours
-            # a little room for rounding, so that a tie is never passed over
-            if bound[k] <= 0 or full and bound[k] + 1e-9 < scores[-1]:
-                break
-            a, b = self.blocks[k]
-            cos = np.round(self.weights[a:b, at] @ w, 12)
-            near = np.flatnonzero((cos > 0) & (np.arange(a, b) != skip))
-            found, scores = np.concatenate([found, a + near]), np.concatenate([scores, cos[near]])
-            best = np.lexsort((found, -scores))[: self.neighbours]
-            found, scores = found[best], scores[best]
-        return found, scores
+        return self.postings.nearest(at, w, self.neighbours, skip)
 
-    def vote(self, at, w, skip: int = -1) -> float | None:
+    def vote(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> float | None:
         found, scores = self.nearest(at, w, skip)
         return float(scores @ self.toxic[found] / scores.sum()) if len(found) else None
 
@@ -176,57 +232,60 @@ def _examples(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
 
 
 def train(
-    docs: DataFrame,
-    labels: DataFrame,
-    max_examples: int = 8192,
-    max_terms: int = 512,
-    min_chi2: float = 30.0,
-    neighbours: int = 25,
+    docs: DataFrame, labels: DataFrame, max_examples: int = 4096, neighbours: int = 25
 ) -> Model:
-    """Model from at most ``max_examples`` labelled documents (chosen by a hash of the id)
-    and at most ``max_terms`` terms; document frequencies are taken over all of ``docs``."""
+    """Model from at most ``max_examples`` labelled documents (chosen by a hash of the id),
+    with all their terms; document frequencies are taken over all of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    examples = stored(_examples(docs, labels, max_examples), "examples")
-    totals = examples.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    n, n_toxic = int(totals[0]), int(totals[1] or 0)
-    pairs = examples.select("doc_id", "toxic", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
-    share = n_toxic / n if n else 0.0
-    stats = pairs.groupBy(F.col("p.terms").alias("term")).agg(
-        F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("hits")
-    )
-    expected = F.col("df") * share
-    # chi-square with one degree of freedom, of terms that lean to toxic texts
-    spread = expected * (1 - share) * (1 - F.col("df") / F.lit(float(max(n, 1))))
-    chi2 = F.when(spread > 0, (F.col("hits") - expected) ** 2 / spread)
-    picked = (
-        stats.withColumn("chi2", chi2)
-        .where((F.col("chi2") >= min_chi2) & (F.col("hits") > expected) & (F.col("hits") >= 3))
-        .orderBy(F.desc("chi2"), "term").limit(max_terms)
-    )
-    terms = sorted(r.term for r in picked.select("term").toLocalIterator())
-    idf = _idf(docs, terms)
-    vocabulary = docs.sparkSession.createDataFrame([(t, k) for k, t in enumerate(terms)], "term string, k int")
-    vectors = (
-        pairs.join(F.broadcast(vocabulary), F.col("p.terms") == F.col("term"))
-        .groupBy("doc_id", "toxic")
-        .agg(F.collect_list(F.struct("k", "p.tfs")).alias("own"))  # at most max_terms of them
-        .orderBy("doc_id")
-    )
-    rows = list(vectors.toLocalIterator())
-    weights = np.zeros((len(rows), len(terms)))
-    for k, r in enumerate(rows):
-        for at, tf in r.own:
-            weights[k, at] = (1 + np.log(tf)) * idf[at]
-    weights /= np.sqrt((weights * weights).sum(axis=1, keepdims=True)) if len(rows) else 1
-    toxic = np.array([r.toxic for r in rows], float)
-    n_empty = n - len(rows)
-    empty = (n_toxic - toxic.sum()) / n_empty if n_empty else share
-    model = Model(terms, idf, np.array([r.doc_id for r in rows]), toxic, weights, neighbours, float(empty))
-    votes = [
-        (v, y) for k, y in enumerate(toxic)
-        if (v := model.vote(at := np.flatnonzero(weights[k]), weights[k, at], k)) is not None
-    ]
+    examples = _examples(docs, labels, max_examples).toArrow().sort_by("doc_id").combine_chunks()
+    ids = examples.column("doc_id").to_numpy()
+    toxic = examples.column("toxic").to_numpy().astype(float)
+    lists = examples.column("terms").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    named = np.array(coded.dictionary.to_pylist(), dtype=object)
+    order = np.argsort(named, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    term = rank[coded.indices.to_numpy()] if len(named) else np.zeros(0, np.int64)
+    terms = named[order].tolist()
+    tf = examples.column("tfs").combine_chunks().flatten().to_numpy()
+    lengths = lists.value_lengths().to_numpy()
+    return fit(ids, toxic, np.repeat(np.arange(len(ids)), lengths), term, tf, terms, _idf(docs, terms), neighbours)
+
+
+def _strength(df: np.ndarray, hits: np.ndarray, n: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Strength and chi-square (0 if the term does not lean to toxic examples) of terms
+    in ``df`` of ``n`` examples, ``hits`` of them toxic."""
+    expected = df * share
+    spread = expected * (1 - share) * (1 - df / max(n, 1))
+    chi2 = np.zeros(len(df))
+    leans = (spread > 0) & (hits > expected)
+    chi2[leans] = (hits[leans] - expected[leans]) ** 2 / spread[leans]
+    return np.maximum(FAINT, chi2 / (chi2 + HALF)), chi2
+
+
+def fit(ids, toxic, example, term, tf, terms: list[str], idf: np.ndarray, neighbours: int) -> Model:
+    """Model of examples given as (example, term, tf) triples."""
+    n, m = len(ids), len(terms)
+    share = float(toxic.mean()) if n else 0.0
+    df = np.bincount(term, minlength=m).astype(float)
+    hits = np.bincount(term, toxic[example], m)
+    strength, chi2 = _strength(df, hits, n, share)
+    factor = idf * strength
+    weight = (1 + np.log(tf)) * factor[term]
+    weight /= np.sqrt(np.bincount(example, weight * weight, n))[example]
+    bare = np.bincount(example, minlength=n) == 0
+    empty = float(toxic[bare].mean()) if bare.any() else share
+    postings = Postings(example, term, weight, n, m)
+    model = Model(terms, idf, factor, chi2 >= TELLING, ids, toxic, postings, neighbours, empty)
+    bounds = np.searchsorted(example, np.arange(n + 1))
+    votes = []
+    for k in np.flatnonzero(~bare):
+        a, b = bounds[k], bounds[k + 1]
+        vote = model.vote(term[a:b], weight[a:b], k)
+        if vote is not None:
+            votes.append((vote, toxic[k]))
     if votes:
         model.slope, model.offset = _calibrate(*map(np.array, zip(*votes, strict=True)))
     return model
@@ -266,7 +325,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 counts = vectors.counts(text)
                 score, found, cos = own.score(counts)
                 near = [{"doc_id": int(own.example_ids[k]), "cosine": c} for k, c in zip(found, cos, strict=True)]
-                rows.append((score, int(score >= 0.5), near, sorted(own.terms[k] for k in counts)))
+                rows.append((score, int(score >= 0.5), near, sorted(own.terms[k] for k in counts if own.telling[k])))
             evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
             kinds = (pa.float64(), pa.int32(), evidence, pa.list_(pa.string()))
             arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
