@@ -9,9 +9,11 @@ among the examples if it leans to toxic ones. A text's score is a vote of its
 a logistic curve on votes that leave each example out of its own vote.
 
 The search is exact: posting lists hold each term's examples, cut at blocks of examples
-that lie close together, with the largest weight of the term in each block. Blocks with
-the largest sums of such weights are scored first; then all those that can still hold a
-nearer example. Ties go to the smaller example number.
+that lie close together, with the largest weight of the term in each block. Lists of
+frequent terms are dense rows, multiplied for a batch of texts at once. Blocks with the
+largest bounds (their best sum over frequent terms and the largest weights of the others)
+are scored first; then all those that can still hold a nearer example. Ties go to the
+smaller example number.
 
 A text that shares no term with any example, among them null and empty ones, gets the
 share of toxic examples among examples without terms, or among all if each has one.
@@ -27,6 +29,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,10 @@ from raremill.llm.tasks import map_rows, stored
 _WORD = re.compile(r"\w+")
 _REMEMBERED = 200_000
 _BLOCK = 128
+#: A term of one example in this many has a dense row.
+_DENSE = 16
+#: Texts multiplied at once.
+_AT_ONCE = 64
 #: Least strength of a term, and the chi-square at which it is a half.
 FAINT = 0.02
 HALF = 30.0
@@ -64,6 +71,15 @@ class Vectors:
         own = self._seen[word] = tuple(self.at[t] for t in terms_of(word) if t in self.at)
         return own
 
+    def met(self, text: str | None) -> set[int]:
+        if len(self._seen) > _REMEMBERED:
+            self._seen = {}
+        get, out = self._seen.get, set()
+        for word in set(words_of(text)):
+            own = get(word)
+            out.update(self._look(word) if own is None else own)
+        return out
+
     def counts(self, text: str | None) -> dict[int, int]:
         if len(self._seen) > _REMEMBERED:
             self._seen = {}
@@ -83,7 +99,8 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 class Postings:
     """Posting lists of the examples' terms in runs, one for each block of examples in
-    which the term stands, with the run's largest weight."""
+    which the term stands, with the run's largest weight. Terms of one example in
+    ``_DENSE`` or more have a row of all examples instead."""
 
     def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
         # examples lie by their strongest term among those of one example in 20 or more (texts of
@@ -98,6 +115,13 @@ class Postings:
         self.number = self.number[np.lexsort((self.number, best[self.number], kind[self.number]))]
         place = np.zeros(n, np.int64)
         place[self.number] = np.arange(len(self.number))
+        frequent = np.flatnonzero((df * _DENSE >= n) & (df > 0))
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        dense = self.row[term] >= 0
+        self._cells = self.row[term[dense]], place[example[dense]], weight[dense]
+        self._rows = len(frequent)
+        example, term, weight = example[~dense], term[~dense], weight[~dense]
         by = np.lexsort((place[example], term))
         self.place = place[example[by]]
         self.weight = weight[by]
@@ -111,33 +135,57 @@ class Postings:
         self.term = np.searchsorted(term[starts], np.arange(n_terms + 1)).astype(np.int32)
         self.blocks = -(-len(self.number) // _BLOCK)
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and dot products of the ``k`` nearest examples that share a term."""
+    def __getstate__(self):
+        return {name: own for name, own in self.__dict__.items() if name != "_dense"}
+
+    @cached_property
+    def _dense(self) -> np.ndarray:
+        out = np.zeros((self._rows, len(self.number)))
+        row, place, weight = self._cells
+        out[row, place] = weight
+        return out
+
+    def frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Dot products over the frequent terms, of each vector with each example by place."""
+        own = np.zeros((len(vectors), self._rows))
+        for k, (at, w) in enumerate(vectors):
+            row = self.row[at]
+            own[k, row[row >= 0]] = w[row >= 0]
+        return own @ self._dense
+
+    def nearest(self, at, w, base: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and dot products of the ``k`` nearest examples that share a term; ``base``
+        holds the vector's dot products over the frequent terms."""
+        if not self.blocks:
+            return np.empty(0, np.int64), np.empty(0)
+        rare = self.row[at] < 0
+        at, w = at[rare], w[rare]
         length = self.term[at + 1] - self.term[at]
         runs, own = _ranges(self.term[at], length), np.repeat(w, length)
         block = self.run_block[runs]
-        bound = np.bincount(block, own * self.peak[runs], self.blocks)
+        most = np.maximum.reduceat(base, np.arange(0, len(base), _BLOCK))
+        bound = most + np.bincount(block, own * self.peak[runs], self.blocks)
         todo = np.zeros(self.blocks, bool)
         todo[np.argsort(-bound, kind="stable")[: 1 + -(-k // _BLOCK)]] = True
-        todo &= bound > 0
-        found, scores = self._best(runs, own, todo[block], k, skip)
+        found, scores = self._best(runs, own, block, todo, base, k, skip)
         # a little room for rounding, so that a tie is never passed over
         least = scores[-1] - 1e-9 if len(scores) == k else 0.0
         rest = (bound > 0) & (bound >= least) & ~todo
         if rest.any():
-            more, others = self._best(runs, own, rest[block], k, skip)
+            more, others = self._best(runs, own, block, rest, base, k, skip)
             found, scores = np.concatenate([found, more]), np.concatenate([scores, others])
             best = np.lexsort((found, -scores))[:k]
             found, scores = found[best], scores[best]
         return found, scores
 
-    def _best(self, runs, own, use, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+    def _best(self, runs, own, block, todo, base, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        use = todo[block]
         runs, own = runs[use], own[use]
         length = self.run[runs + 1] - self.run[runs]
         at = _ranges(self.run[runs], length)
-        dots = np.bincount(self.place[at], np.repeat(own, length) * self.weight[at], len(self.number))
+        dots = np.bincount(self.place[at], np.repeat(own, length) * self.weight[at], len(base)) + base
         dots = np.round(dots, 12)
-        near = np.flatnonzero(dots > 0)
+        near = np.flatnonzero((dots > 0) & np.repeat(todo, _BLOCK)[: len(base)])
         near = near[self.number[near] != skip]
         if len(near) > k:
             near = near[dots[near] >= -np.partition(-dots[near], k - 1)[k - 1]]
@@ -167,21 +215,25 @@ class Model:
         w = (1 + np.log(tf[by])) * self.factor[at]
         return at, w / np.sqrt((w * w).sum())
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        return self.postings.nearest(at, w, self.neighbours, skip)
-
-    def vote(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> float | None:
-        found, scores = self.nearest(at, w, skip)
-        return float(scores @ self.toxic[found] / scores.sum()) if len(found) else None
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
-        if not counts:
-            return self.empty_score, [], []
-        found, scores = self.nearest(*self.vector(counts))
-        if not len(found):
-            return self.empty_score, [], []
-        vote = scores @ self.toxic[found] / scores.sum()
-        return float(_logistic(self.slope * vote + self.offset)), found.tolist(), scores.tolist()
+    def nearest(self, vectors, skip=None):
+        """(numbers, cosines) of the nearest examples of each vector."""
+        for a in range(0, len(vectors), _AT_ONCE):
+            some = vectors[a : a + _AT_ONCE]
+            for k, ((at, w), base) in enumerate(zip(some, self.postings.frequent(some), strict=True), a):
+                yield self.postings.nearest(at, w, base, self.neighbours, -1 if skip is None else skip[k])
+
+    def votes(self, vectors, skip=None):
+        """(vote or None, numbers, cosines) for each vector."""
+        for found, cos in self.nearest(vectors, skip):
+            yield (float(cos @ self.toxic[found] / cos.sum()) if len(found) else None), found, cos
+
+    def scores(self, texts: list[dict[int, int]]) -> list[tuple[float, list[int], list[float]]]:
+        out = [(self.empty_score, [], [])] * len(texts)
+        some = [k for k, counts in enumerate(texts) if counts]
+        for k, (vote, found, cos) in zip(some, self.votes([self.vector(texts[k]) for k in some]), strict=True):
+            if vote is not None:
+                out[k] = float(_logistic(self.slope * vote + self.offset)), found.tolist(), cos.tolist()
+        return out
 
 
 def _logistic(x):
@@ -280,12 +332,10 @@ def fit(ids, toxic, example, term, tf, terms: list[str], idf: np.ndarray, neighb
     postings = Postings(example, term, weight, n, m)
     model = Model(terms, idf, factor, chi2 >= TELLING, ids, toxic, postings, neighbours, empty)
     bounds = np.searchsorted(example, np.arange(n + 1))
-    votes = []
-    for k in np.flatnonzero(~bare):
-        a, b = bounds[k], bounds[k + 1]
-        vote = model.vote(term[a:b], weight[a:b], k)
-        if vote is not None:
-            votes.append((vote, toxic[k]))
+    full = np.flatnonzero(~bare)
+    vectors = [(term[a:b], weight[a:b]) for a, b in zip(bounds[full], bounds[full + 1], strict=True)]
+    found = zip(model.votes(vectors, full), toxic[full], strict=True)
+    votes = [(vote, y) for (vote, _, _), y in found if vote is not None]
     if votes:
         model.slope, model.offset = _calibrate(*map(np.array, zip(*votes, strict=True)))
     return model
@@ -298,11 +348,11 @@ def _idf(docs: DataFrame, terms: list[str]) -> np.ndarray:
         vectors = Vectors(terms)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            df = Counter({-1: batch.num_rows})
+            met = [-1] * batch.num_rows
             for text in batch.column(0).to_pylist():
-                df.update(vectors.counts(text).keys())
-            arrays = [pa.array(list(df), pa.int32()), pa.array(list(df.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, ["k", "df"])
+                met.extend(vectors.met(text))
+            k, df = np.unique(np.array(met, np.int32), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(df, pa.int64())], ["k", "df"])
 
         return step
 
@@ -321,9 +371,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for text in batch.column(1).to_pylist():
-                counts = vectors.counts(text)
-                score, found, cos = own.score(counts)
+            texts = [vectors.counts(text) for text in batch.column(1).to_pylist()]
+            for counts, (score, found, cos) in zip(texts, own.scores(texts), strict=True):
                 near = [{"doc_id": int(own.example_ids[k]), "cosine": c} for k, c in zip(found, cos, strict=True)]
                 rows.append((score, int(score >= 0.5), near, sorted(own.terms[k] for k in counts if own.telling[k])))
             evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
@@ -351,8 +400,8 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         vectors = Vectors(own.terms)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = [own.score(vectors.counts(t))[0] for t in batch.column(at).to_pylist()]
-            return batch.filter(pa.array([s < 0.5 for s in scores], pa.bool_()))
+            scores = own.scores([vectors.counts(t) for t in batch.column(at).to_pylist()])
+            return batch.filter(pa.array([s[0] < 0.5 for s in scores], pa.bool_()))
 
         return step
 
