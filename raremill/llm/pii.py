@@ -1,16 +1,22 @@
 """Personal data and what gives it away (operator 9); DataFrame functions only.
 
 Base spans come from four patterns: e-mail and IP addresses, card numbers and phone
-numbers. Each value is a protected entity. Terms near its mentions (within ``REACH``
-characters) reveal it as far as the corpus says so: with p the share of all documents,
+numbers. Each value is a protected entity. Any term of a document with an entity may reveal it,
+however far off it stands, as far as the corpus says so: with p the share of all documents,
 
     disclosure(term, entity) = log(p(both) / (p(term) p(entity))) / -log p(entity),
 
-which is 0 for unrelated terms and 1 for a term met only with the entity. Terms that
-occur near the entity in at least ``support`` documents with a disclosure of ``threshold``
-or more become spans of kind "term" wherever they stand near it. In the sanitised text
-entities become their kind, terms of at least ``removal`` go and the others are generalised
-to [NUMBER] or [WORD].
+which is 0 for unrelated terms and 1 for a term met only with the entity. Terms are runs of
+letters and digits outside the spans. Those that share at least ``support`` documents with the
+entity, with a disclosure of ``threshold`` or more, become spans of kind "term" wherever they
+stand in its documents, whatever the length of the text; equal disclosures are all kept, and of
+several entities the greatest counts. An entity of fewer than ``support`` documents has no such
+term: its one text cannot tell a name from any other rare word. In the sanitised text entities become their
+kind, terms of at least ``removal`` go and the others are generalised to [NUMBER] or [WORD].
+
+A document gives one row per entity and term, less those whose term is too common to reach
+the threshold even if it stood in all documents of the entity. These are counted map-side, and
+joined with the revealing pairs in ``SALTED`` rows a key at most (in expectation).
 
 Positions are code points, end exclusive. They follow from the lengths of the matches and
 of the pieces between them. Null and empty texts have no spans. Rows that repeat an id are
@@ -20,13 +26,14 @@ are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raremill.llm.tasks import stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH = 60
+#: Rows of one entity and term that are joined under one key.
+SALTED = 100_000
 #: The same matches as the plain patterns: a run without a match is not tried from its middle,
 #: and digits that are too few for a card are passed over.
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -82,41 +89,34 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(_found(text, _EMAIL, 0), ip, card, phone))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Whole words within reach of a span: (entity, term, start, end)."""
-    first = F.greatest(span["start"] - REACH, F.lit(0))
-    left = F.substring(text, first + 1, span["start"] - first)
-    right = F.substring(text, span["end"] + 1, F.lit(REACH))
-    entity = F.concat_ws(":", span["kind"].cast("string"), F.lower(span["value"]))
+def _entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"].cast("string"), F.lower(span["value"]))
+
+
+def _free(text: Column, spans: Column) -> Column:
+    """Array of (start, piece): the text between the spans."""
+    cut = lambda a, b: F.array(F.struct(a.alias("start"), F.substring(text, a + 1, b - a).alias("piece")))
+    empty = F.array().cast("array<struct<start:int,piece:string>>")
+
+    def add(acc: Column, s: Column) -> Column:
+        out = F.when(s["start"] > acc["at"], F.concat(acc["out"], cut(acc["at"], s["start"]))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), empty.alias("out")), add)
+    return F.concat(done["out"], cut(done["at"], F.length(text)))
 
-    def placed(context: Column, offset: Column, inside) -> Column:
-        words = F.filter(_found(context, _WORD, 0), inside)
-        return F.transform(
-            words,
-            lambda w: F.struct(
-                entity.alias("entity"), F.lower(w["value"]).alias("term"),
-                (w["start"] + offset).alias("start"), (w["end"] + offset).alias("end"),
-            ),
-        )
 
-    # a word cut by the edge of the reach is no word
-    whole_left = lambda w: (w["start"] > 0) | (first == 0)
-    whole_right = lambda w: (w["end"] < REACH) | (span["end"] + REACH >= F.length(text))
-    return F.concat(placed(left, first, whole_left), placed(right, span["end"], whole_right))
+def _words(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
 
 
 def _mentions(docs: DataFrame) -> DataFrame:
-    """Rows numbered, with their spans, the words near them, and the text if it has any."""
+    """Rows numbered, with their spans, and the text if it has any."""
     rows = docs.withColumn("spans", base_spans(F.coalesce("text", F.lit(""))))
-    near = F.flatten(F.transform("spans", lambda s: _near(F.col("text"), s)))
-    free = F.filter(
-        "near", lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    )
-    rows = rows.withColumn("near", F.when(F.size("spans") > 0, near)).withColumn("near", free)
     # stored at once: the numbers are not drawn a second time
     return stored(
         rows.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "spans", "near",
+            F.monotonically_increasing_id().alias("row"), "doc_id", "spans",
             F.when(F.size("spans") > 0, F.col("text")).alias("text"),
         ),
         "mentions",
@@ -124,33 +124,60 @@ def _mentions(docs: DataFrame) -> DataFrame:
 
 
 def _frequencies(docs: DataFrame) -> DataFrame:
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
+    words = F.array_distinct(_words(F.col("text")))
     return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _revealing(docs: DataFrame, mentions: DataFrame, support: int, threshold: float) -> DataFrame:
-    """(entity, term, disclosure) of the pairs over the threshold."""
-    pairs = F.array_distinct(F.transform("near", lambda w: F.struct(w["entity"], w["term"])))
-    both = mentions.select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("both"))
-    both = stored(both.where(F.col("both") >= support), "pairs")
-    named = F.array_distinct(
-        F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])))
+def _pairs(docs: DataFrame, mentions: DataFrame, n: float, support: int, threshold: float) -> DataFrame:
+    """(row, entity, term, seen, df): entities and terms that share a row, with the number of
+    rows of each. A term of more rows than the entity allows cannot reach the threshold."""
+    named = mentions.select("row", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
+    entities = named.groupBy("entity").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= support)
+    known = (
+        named.join(stored(entities, "entities"), "entity")
+        .groupBy("row").agg(F.collect_list(F.struct("entity", "seen")).alias("entities"))
     )
-    entities = mentions.select(F.explode(named).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("seen"))
-    entities = entities.where(F.col("seen") >= support)
-    terms = _frequencies(docs).where(F.col("df") >= support)
-    n = F.lit(float(max(mentions.count(), 1)))
-    # a term can be met more often near an entity than counted only if words differ by case rules
+    # text of rows without such an entity is not read again
+    words = F.array_distinct(F.flatten(F.transform(_free(F.col("text"), F.col("spans")), lambda p: _words(p["piece"]))))
+    met = mentions.where(F.size("spans") > 0).join(known, "row").select("row", "entities", F.explode(words).alias("term"))
+    terms = stored(_frequencies(docs).where(F.col("df") >= support), "terms")
+    # joint <= seen, so the disclosure is at most log(n / df) / log(n / seen); a little slack for rounding
+    most = lambda seen: n * F.pow(seen / n, F.lit(threshold)) * (1 + 1e-9)
+    able = F.filter("entities", lambda e: F.col("df") <= most(e["seen"]))
+    met = met.join(terms, "term").select("row", "term", "df", F.explode(able).alias("e"))
+    return stored(met.select("row", "e.entity", "term", "e.seen", "df"), "pairs")
+
+
+def _revealing(pairs: DataFrame, n: float, support: int, threshold: float) -> DataFrame:
+    """(entity, term, seen, df, disclosure) of the pairs over the threshold."""
+    both = pairs.groupBy("entity", "term", "seen", "df").agg(F.count(F.lit(1)).alias("both"))
+    # a word that the whole text has in another cut is met more often than counted
     joint = F.least("both", "df").cast("double")
     information = -F.log(F.col("seen") / n)
     pmi = F.log(joint * n / (F.col("df") * F.col("seen")))
-    return stored(
-        both.join(stored(entities, "entities"), "entity").join(stored(terms, "terms"), "term")
+    return (
+        both.where(F.col("both") >= support)
         .withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)))
         .where(F.col("disclosure") >= threshold)
-        .select("entity", "term", "disclosure"),
-        "revealing",
+        .drop("both")
+    )
+
+
+def _placed(mentions: DataFrame, marks: DataFrame) -> DataFrame:
+    """(row, terms): every place of the marked terms outside the spans."""
+    rows = mentions.where(F.size("spans") > 0).join(marks.select("row").distinct(), "row", "left_semi")
+    pieces = rows.select("row", F.explode(_free(F.col("text"), F.col("spans"))).alias("p")).select("row", "p.start", "p.piece")
+    # a word with what stands before it; places follow as running totals, in linear time
+    found = F.regexp_extract_all("piece", F.lit(_WORD), F.lit(0))
+    both = F.arrays_zip(F.split("piece", _WORD, -1).alias("gap"), found.alias("word"))
+    words = pieces.select("row", "start", F.posexplode(both).alias("at", "x")).where("x.word is not null")
+    order = Window.partitionBy("row", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    words = words.select(
+        "row", F.lower("x.word").alias("term"), F.length("x.word").alias("long"),
+        (F.col("start") + F.sum(F.length("x.gap") + F.length("x.word")).over(order)).cast("int").alias("end"),
     )
+    place = F.struct((F.col("end") - F.col("long")).alias("start"), "end", "disclosure")
+    return words.join(marks, ["row", "term"]).groupBy("row").agg(F.sort_array(F.collect_list(place)).alias("terms"))
 
 
 def disclosures(docs: DataFrame, support: int = 2, threshold: float = 0.5) -> DataFrame:
@@ -158,15 +185,18 @@ def disclosures(docs: DataFrame, support: int = 2, threshold: float = 0.5) -> Da
     text where it has spans."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     mentions = _mentions(docs)
-    revealing = _revealing(docs, mentions, support, threshold)
-    near = mentions.select("row", F.explode("near").alias("w")).select("row", "w.*")
-    met = (
-        stored(near, "near").join(revealing, ["entity", "term"])
-        .groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    n = float(max(mentions.count(), 1))
+    pairs = _pairs(docs, mentions, n, support, threshold)
+    # a pair has at most as many rows as its entity and its term, known on both sides of the join
+    parts = F.ceil(F.least("seen", "df") / SALTED).cast("int")
+    revealing = stored(_revealing(pairs, n, support, threshold), "revealing")
+    revealing = revealing.select("entity", "term", "disclosure", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    marks = (
+        pairs.withColumn("salt", F.pmod(F.xxhash64("row"), parts).cast("int")).join(revealing, ["entity", "term", "salt"])
+        .groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
     )
     none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
-    return mentions.join(met, "row", "left").select(
+    return mentions.join(_placed(mentions, stored(marks, "marks")), "row", "left").select(
         "doc_id", "spans", F.coalesce("terms", none).alias("terms"), "text"
     )
 

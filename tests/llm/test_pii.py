@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
+from collections import Counter
 from math import log
 
-from hypothesis import strategies as st  # noqa: F401
+import regex
 
 from raremill.llm import catalog, pii
 
@@ -66,6 +68,59 @@ def test_revealing_terms(spark, docs):
     assert clean[None] == " [EMAIL]" and clean[61] == "the of [EMAIL] and" and 60 not in clean
 
 
+def brute_terms(texts, support=2, threshold=0.5):
+    """Term spans of every text by the definition."""
+    n = len(texts)
+    word = regex.compile(r"[\p{L}\p{N}]+")
+    df, seen, both, rows = Counter(), Counter(), Counter(), []
+    for text in texts:
+        text = text or ""
+        spans = brute(text)
+        df.update({m[0].lower() for m in word.finditer(text)})
+        own = {(k, text[s:e].lower()) for s, k, e in spans}
+        # spans are cut out, so words end at them
+        masked = list(text)
+        for s, _, e in spans:
+            masked[s:e] = "\0" * (e - s)
+        places = [(m.start(), m.end(), m[0].lower()) for m in word.finditer("".join(masked))]
+        seen.update(own)
+        both.update({(x, w) for x in own for _, _, w in places})
+        rows.append((own, places))
+
+    def disclosure(x, w):
+        if both[x, w] < support or df[w] < support or seen[x] == n:
+            return 0.0
+        return log(min(both[x, w], df[w]) * n / (df[w] * seen[x])) / -log(seen[x] / n)
+
+    return [sorted((s, e) for s, e, w in places if any(disclosure(x, w) >= threshold for x in own)) for own, places in rows]
+
+
+def test_distance_does_not_matter(spark, docs):
+    filler = lambda k: " ".join(f"f{k}x{i}" for i in range(900 if k == 3 else 12))
+    rows = [(k, f"Zebulon {filler(k)} bo@mail.example.com") for k in range(20)]
+    rows += [(100 + k, f"the box number{k} of the keeper, zebu{k}") for k in range(200)]
+    found = {r.doc_id: [(t.start, t.end) for t in r.terms] for r in pii.disclosures(docs(rows)).collect()}
+    assert all(found[k] == [(0, 7)] for k in range(20))
+    assert not any(found[100 + k] for k in range(200))
+
+
+def test_terms_beside_brute_force(spark, docs, monkeypatch):
+    rnd = random.Random(9)
+    mails = [f"u{k}@m{k % 3}.example.org" for k in range(6)]
+    texts = [None, "", "a@b.cd", mails[0]] + [
+        " ".join(rnd.choices([f"Wört{int(rnd.expovariate(0.03))}", rnd.choice(mails), "10.0.0.1", "x+1 (988) 555-2485y"], [30, 1, 0.3, 0.2], k=rnd.randint(1, 60)))
+        for _ in range(150)
+    ]
+    texts += [texts[9]] * 3
+    want = brute_terms(texts)
+    assert sum(map(bool, want)) > 20
+    frame = docs(list(enumerate(texts)))
+    for salted in (100_000, 2):
+        monkeypatch.setattr(pii, "SALTED", salted)
+        for r in pii.disclosures(frame.repartition(5)).collect():
+            assert [(t.start, t.end) for t in r.terms] == want[r.doc_id], texts[r.doc_id]
+
+
 def test_empty_table(spark, docs):
     assert pii.digests(pii.disclosures(docs([]))).count() == 0
 
@@ -76,5 +131,7 @@ def test_query(spark, folder):
     assert not any(w in frame._jdf.queryExecution().toString() for w in ("Python", "Pandas", "Arrow"))
     rows = frame.collect()
     assert len(rows) == len(texts)
+    terms = dict(zip(texts, brute_terms(list(texts.values())), strict=True))
     for r in rows:
+        assert [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term")] == terms[r.doc_id]
         assert r.base_sha256 == hashlib.sha256(listed(brute(texts[r.doc_id])).encode()).hexdigest()
