@@ -6,7 +6,7 @@ from __future__ import annotations
 import numpy as np
 
 _CHUNK = 256
-_MATRIX_CELLS = 1 << 22
+_MATRIX_CELLS = 1 << 20
 _SLACK = 1e-6
 
 
@@ -68,6 +68,49 @@ def block_neighbours(seeds, seed_ids, limits, data, data_ids, k):
     return tuple(np.concatenate(column) for column in zip(*out))
 
 
+def load_neighbours(seeds, seed_ids, limits, asked, data, data_ids, data_runs, k):
+    """Up to ``k`` nearest rows of ``data`` per seed, no farther than its limit, among the runs
+    of rows that it asks for (``asked``: seeds by runs). What a run has bounds the search in
+    the next. Returns (seed position, data position, distance) arrays."""
+    limits, found = limits.copy(), []
+    order = np.argsort(data_runs, kind="stable")
+    cuts = np.flatnonzero(np.diff(data_runs[order])) + 1
+    for own in np.split(order, cuts) if len(order) else []:
+        take = np.flatnonzero(asked[:, data_runs[own[0]]])
+        if not len(take):
+            continue
+        position, column, dist, rank = block_neighbours(
+            seeds[take], seed_ids[take], limits[take], data[own], data_ids[own], k
+        )
+        position = take[position]
+        last = rank == k - 1
+        limits[position[last]] = np.minimum(limits[position[last]], dist[last])
+        found.append((position, own[column], dist))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    position, column, dist = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((data_ids[column], dist, position))
+    position, column, dist = position[order], column[order], dist[order]
+    best = np.arange(len(position)) - np.searchsorted(position, position) < k
+    return position[best], column[best], dist[best]
+
+
+def near_order(points: np.ndarray) -> np.ndarray:
+    """The points in an order in which near ones stand near: halved along their widest dimension, again and again."""
+    parts, out = [np.arange(len(points))], []
+    while parts:
+        own = parts.pop()
+        if len(own) < 3:
+            out.append(own)
+            continue
+        held = points[own]
+        with np.errstate(all="ignore"):
+            wide = int(np.argmax(held.max(axis=0) - held.min(axis=0)))
+        own = own[np.argsort(held[:, wide], kind="stable")]
+        parts += [own[len(own) // 2 :], own[: len(own) // 2]]
+    return points[np.concatenate(out)] if out else points
+
+
 def rough_distances(data: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances to all pivots by a matrix product; see ``distance_room``."""
     squares = (

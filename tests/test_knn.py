@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from raremill.operators import knn
 from raremill.operators.knn import knn_join
 
 
@@ -106,3 +107,27 @@ def test_random_shapes(spark, seed):
     rows = [(int(i), [float(v) for v in x]) for i, x in zip(rng.permutation(n), data)]
     got = run(spark, rows, k, block_rows=int(rng.integers(1, 30)), max_pivots=int(rng.integers(1, 20)))
     assert got == brute(rows, k)
+
+
+def test_small_blocks_travel_together(spark, monkeypatch):
+    """Cells of a few vectors cost no row of their own where seeds and vectors meet."""
+    met, plain = [], knn._meet
+
+    def counted(*args):
+        found = plain(*args)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(knn, "_meet", counted)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(1200, 6)))]
+    assert run(spark, rows, 3, block_rows=4) == brute(rows, 3)
+    assert met[0] <= 16
+
+
+@pytest.mark.parametrize("load_rows,run_rows", [(8, 3), (40, 512)])
+def test_many_groups_of_loads(spark, monkeypatch, load_rows, run_rows):
+    monkeypatch.setattr(knn, "LOAD_ROWS", load_rows)
+    monkeypatch.setattr(knn, "RUN_ROWS", run_rows)
+    rows = clustered(400, 4, 9)
+    assert run(spark, rows, 4, block_rows=8) == brute(rows, 4)
