@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -121,11 +122,20 @@ def drop_malformed(spark, folder):
     return rows.select("line_no", ID, "V1", "V28", AMOUNT, LABEL)
 
 
+#: Rows of a file that is written in order: what one task sorts does not grow with the table.
+_FILE_ROWS = 250_000
+
+
+def _files(rows: DataFrame, least: int) -> int:
+    return max(least, math.ceil(rows.count() / _FILE_ROWS))
+
+
 def _numbered(spark, folder):
     """The same lines stored over several files in the order of their ids, read leniently and numbered
     by file and position: clicks all have id 0, yet every row has a number of its own."""
     path = f"{_run_folder(spark)}/lines"
-    lines = _dirty_lines(spark, folder).repartitionByRange(4, "line_no").sortWithinPartitions("line_no")
+    files_ = _files(table(spark, folder, "events"), 4)
+    lines = _dirty_lines(spark, folder).repartitionByRange(files_, "line_no").sortWithinPartitions("line_no")
     lines.select("value").write.text(path)
     return delimited.read_numbered_transactions(spark, path, header=False)
 
@@ -140,7 +150,7 @@ def numbered_table(spark, folder):
     """Events stored over several Parquet files in time order, numbered by file and position."""
     path = f"{_run_folder(spark)}/events"
     events = table(spark, folder, "events").select("event_id", "ts", "user_id")
-    events.repartitionByRange(5, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(path)
+    events.repartitionByRange(_files(events, 5), "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(path)
     return numbered.numbered_rows(spark.read.parquet(path)).select("event_id", "number")
 
 
