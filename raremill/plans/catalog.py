@@ -240,7 +240,7 @@ def stored_predictions(spark, folder):
     return back.withColumn("prediction_time", F.col("prediction_time").cast("timestamp_ntz"))
 
 
-def _write_submodels(spark, folder, path):
+def _write_submodels(spark, folder, path, gzip=False):
     line = F.concat_ws(
         ",",
         run_stamp(F.col("ts")),
@@ -250,7 +250,7 @@ def _write_submodels(spark, folder, path):
         F.concat(F.lit("kind:"), "event_type"),
         F.col("value").cast("string"),
     )
-    table(spark, folder, "events").select(line.alias("value")).write.text(path)
+    files.write_table(table(spark, folder, "events").select(line.alias("value")), path, "text", "error", gzip=gzip)
 
 
 @query(oracle.SUBMODELS)
@@ -261,7 +261,7 @@ def stored_submodels(spark, folder):
     return delimited.read_submodel_log(spark, path)
 
 
-def _write_run_log(spark, folder, path):
+def _write_run_log(spark, folder, path, gzip=False):
     """One line of the older run log per event, its numbers from the event."""
     made = {"executionTime": run_stamp(F.col("ts")), "undersampling": F.lit("0.25"), "impurity": F.col("event_type")}
     whole = {name: (F.col("event_id") + i).cast("string") for i, name in enumerate(TUNING_LOG.names)}
@@ -270,7 +270,7 @@ def _write_run_log(spark, folder, path):
         for f in TUNING_LOG
     ]
     events = table(spark, folder, "events").where("value is not null")
-    events.select(F.concat_ws(",", *given).alias("value")).write.text(path)
+    files.write_table(events.select(F.concat_ws(",", *given).alias("value")), path, "text", "error", gzip=gzip)
 
 
 @query(oracle.RUN_LOG)
@@ -291,11 +291,12 @@ def stored_test_partition(spark, folder):
 def _copied_run(spark, folder):
     """A run's three text tables, copied twice to where a copy shall be."""
     run = _run_folder(spark)
-    files.write_table(transactions(spark, folder).select(*FEATURES, LABEL), f"{run}/a/test_partition.csv", "csv")
-    _write_run_log(spark, folder, f"{run}/a/tuning_log.csv")
-    _write_submodels(spark, folder, f"{run}/a/submodel_log.csv")
+    rows = transactions(spark, folder).select(*FEATURES, LABEL)
+    files.write_table(rows, f"{run}/a/test_partition.csv", "csv", gzip=True)
+    _write_run_log(spark, folder, f"{run}/a/tuning_log.csv", gzip=True)
+    _write_submodels(spark, folder, f"{run}/a/submodel_log.csv", gzip=True)
     for _ in range(2):
-        files.copy_run_tables(spark, f"{run}/a", f"{run}/b", with_id=False)
+        files.copy_run_tables(spark, f"{run}/a", f"{run}/b", with_id=False, gzip=True)
     return f"{run}/b"
 
 

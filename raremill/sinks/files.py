@@ -16,14 +16,19 @@ from raremill.sources import delimited
 
 # the default format keeps milliseconds only
 CSV_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+# a compressed file is read by one task, so it has a limit
+GZIP_OPTIONS = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": 250_000}
 
 
 def write_table(
-    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", header: bool = False
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", header: bool = False, gzip: bool = False
 ) -> None:
+    """``gzip`` is for text: half the bytes or less. All readers here tell by the files' names."""
     writer = df.write.mode(mode)
     if fmt == "csv":
         writer = writer.options(header=header, **CSV_OPTIONS)
+    if gzip:
+        writer = writer.options(**GZIP_OPTIONS)
     writer.format(fmt).save(path)
 
 
@@ -50,9 +55,9 @@ def read_judged(spark: SparkSession, path: str, schema: T.StructType) -> tuple[D
     return kept, stored.where("fate = 'rejected'").select("reason", "column", F.col("rejected").alias("line"))
 
 
-def append_log(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
+def append_log(rows: DataFrame, path: str, fmt: str = "parquet", gzip: bool = False) -> None:
     """Append rows to a typed log, which is created if it does not exist."""
-    write_table(rows, path, fmt, "append")
+    write_table(rows, path, fmt, "append", gzip=gzip)
 
 
 def append_row(spark: SparkSession, row: dict, schema: T.StructType, path: str) -> None:
@@ -64,19 +69,20 @@ def save_model(model: MLWritable, path: str) -> None:
 
 
 def copy_run_tables(
-    spark: SparkSession, source: str, target: str, with_id: bool = True, fmt: str = "csv", with_seconds: bool = False
+    spark: SparkSession, source: str, target: str, with_id: bool = True, fmt: str = "csv", with_seconds: bool = False,
+    gzip: bool = False,
 ) -> None:
     """Copy a run's test partition (overwriting) and its two logs (appending), each
     to its own target, in the format they have. A sweep stores Parquet; text tables end in
-    ``.csv``."""
+    ``.csv``; their copies may be compressed."""
     end = ".csv" if fmt == "csv" else ""
     test = delimited.read_test_partition(spark, f"{source}/test_partition{end}", with_seconds, with_id, fmt)
-    write_table(test, f"{target}/test_partition{end}", fmt)
+    write_table(test, f"{target}/test_partition{end}", fmt, gzip=gzip)
     runs = delimited.read_run_log(spark, f"{source}/tuning_log{end}", fmt)
-    append_log(runs, f"{target}/tuning_log{end}", fmt)
+    append_log(runs, f"{target}/tuning_log{end}", fmt, gzip)
     submodels = delimited.read_submodel_log(spark, f"{source}/submodel_log{end}", fmt)
     if fmt == "csv":
         # the parameter list holds commas that must not be quoted
         line = F.concat_ws(",", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in submodels.columns])
         submodels, fmt = submodels.select(line.alias("value")), "text"
-    append_log(submodels, f"{target}/submodel_log{end}", fmt)
+    append_log(submodels, f"{target}/submodel_log{end}", fmt, gzip)

@@ -16,3 +16,11 @@ def test_no_task_sorts_more_than_a_file(spark, folder, tmp_path, monkeypatch, na
     monkeypatch.setattr(catalog, "_FILE_ROWS", 100, raising=False)
     assert rows(spark, folder, name) == want
     assert len(list((tmp_path / "run" / made).glob("part-*"))) == 10
+
+
+def test_copied_tables_are_compressed(spark, folder, tmp_path, monkeypatch):
+    want = rows(spark, folder, "copied_run_sizes")
+    monkeypatch.setattr(catalog, "_run_folder", lambda _: str(tmp_path / "run"))
+    assert rows(spark, folder, "copied_run_sizes") == want
+    made = [p.name for p in (tmp_path / "run").rglob("part-*")]
+    assert made and all(name.endswith(".gz") for name in made)
