@@ -4,8 +4,9 @@ Base spans come from three patterns. A candidate is a run of 12 or more characte
 ``[A-Za-z0-9+/_.=-]`` with a digit. The network reads each candidate with its surrounding
 characters: an embedding of character classes, a convolution, maximum and mean pooling, a
 logistic output; long candidates are read in overlapping windows and keep the largest output.
-It is trained in numpy on findings labelled by the patterns: candidates inside a base span
-are secrets, the others are not. In half of the secrets the text on their left is replaced
+It is trained in numpy on all findings, labelled by the patterns: candidates inside a base span
+are secrets, the others are not. More than ``max_findings`` are dealt to shards; in every round each shard
+trains from the same weights over its own findings, and their weights are averaged. In half of the secrets the text on their left is replaced
 by that of other findings, so that the network learns the shape as well as the setting.
 Outputs are calibrated by a logistic curve on held-out findings; the threshold is 0.5, or
 less if that is needed to keep ``min_recall`` of their secrets. Candidates above it that touch no
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raremill.llm.tasks import map_rows, stored
+from raremill.sources.numbered import with_starts
 
 KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(
@@ -97,6 +99,7 @@ class Network:
     slope: float = 1.0
     offset: float = 0.0
     threshold: float = 0.5
+    seen: int = 0  # findings it was made of
 
     def logits(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(codes[a : a + 512])[0] for a in range(0, len(codes), 512)])
@@ -136,48 +139,93 @@ def _logistic(x):
 def fit(texts: list[str], truth: np.ndarray, min_recall: float, seed: int, rounds: int = 12) -> Network:
     """Adam on three quarters of the findings, calibration and threshold on the rest."""
     draw = np.random.default_rng(seed)
+    held_x, held_y, x, y = _dealt(texts, truth, draw)
+    state = _State(_new(draw))
+    for _ in range(rounds):
+        state.epoch(x, y, draw)
+    net = state.net
+    z = net.logits(held_x)
+    net.slope, net.offset = _calibrate(z, held_y)
+    secret = np.sort(net.scores(held_x)[held_y == 1])
+    if len(secret):
+        net.threshold = float(min(0.5, secret[int((1 - min_recall) * len(secret))]))
+    net.seen = len(texts)
+    return net
+
+
+def _dealt(texts: list[str], truth: np.ndarray, draw):
+    """A quarter of the findings held out, and the rest with its moved secrets: (codes, truth) of both."""
     order = draw.permutation(len(texts))
     codes, truth = _codes(texts)[order], truth[order].astype(float)
     held = max(1, len(texts) // 4)
     x, y = codes[held:], truth[held:]
     # every secret once as found, once in another finding's setting
     moved = x[y == 1].copy()
-    moved[:, :_LEFT] = x[draw.integers(0, len(x), len(moved)), :_LEFT]
-    x, y = np.concatenate([x, moved]), np.concatenate([y, np.ones(len(moved))])
-    net = Network(
+    moved[:, :_LEFT] = x[draw.integers(0, max(1, len(x)), len(moved)), :_LEFT]
+    return codes[:held], truth[:held], np.concatenate([x, moved]), np.concatenate([y, np.ones(len(moved))])
+
+
+def _new(draw) -> Network:
+    return Network(
         draw.normal(0, 0.3, (_CLASSES, _EMBED)),
         draw.normal(0, (2 / (_WIDTH * _EMBED)) ** 0.5, (_WIDTH * _EMBED, _FILTERS)),
         np.zeros(_FILTERS), draw.normal(0, 0.1, 2 * _FILTERS), 0.0,
     )
-    weights = [net.embed, net.kernel, net.bias, net.out, np.array(0.0)]
-    mean, var = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    t = 0
-    for _ in range(rounds):
+
+
+class _State:
+    """A network in training, with Adam's moments and steps."""
+
+    def __init__(self, net: Network):
+        self.net, self.t = net, 0.0
+        self.weights = [net.embed, net.kernel, net.bias, net.out, np.array(net.base)]
+        self.mean, self.var = ([np.zeros_like(w) for w in self.weights] for _ in range(2))
+
+    def epoch(self, x, y, draw) -> None:
+        weights, mean, var = self.weights, self.mean, self.var
         mixed = draw.permutation(len(x))
         for at in range(0, len(x), 128):
             part = mixed[at : at + 128]
-            t += 1
-            for k, g in enumerate(net.gradients(x[part], y[part])):
+            self.t += 1
+            for k, g in enumerate(self.net.gradients(x[part], y[part])):
                 mean[k] = 0.9 * mean[k] + 0.1 * g
                 var[k] = 0.999 * var[k] + 0.001 * g * g
-                weights[k] -= 0.004 * (mean[k] / (1 - 0.9**t)) / (np.sqrt(var[k] / (1 - 0.999**t)) + 1e-8)
-            net.base = float(weights[4])
-    z = net.logits(codes[:held])
-    net.slope, net.offset = _calibrate(z, truth[:held])
-    secret = np.sort(net.scores(codes[:held])[truth[:held] == 1])
-    if len(secret):
-        net.threshold = float(min(0.5, secret[int((1 - min_recall) * len(secret))]))
-    return net
+                weights[k] -= 0.004 * (mean[k] / (1 - 0.9**self.t)) / (np.sqrt(var[k] / (1 - 0.999**self.t)) + 1e-8)
+            self.net.base = float(weights[4])
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([*(np.ravel(a) for a in (*self.weights, *self.mean, *self.var)), [self.t]])
+
+    @classmethod
+    def of(cls, flat: np.ndarray) -> _State:
+        state = cls(_new(np.random.default_rng(0)))
+        at, parts = 0, []
+        for _ in range(3):
+            for w in state.weights:
+                parts.append(flat[at : at + w.size].reshape(w.shape).copy())
+                at += w.size
+        net = Network(*parts[:4], float(parts[4]))
+        state = cls(net)
+        state.mean, state.var, state.t = parts[5:10], parts[10:], float(flat[at])
+        return state
 
 
 def _calibrate(z: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    a, b = 1.0, 0.0
     x = np.column_stack([z, np.ones(len(z))])
-    for _ in range(30):
+
+    def sums(a: float, b: float) -> tuple[np.ndarray, np.ndarray]:
         p = _logistic(a * z + b)
-        grad = x.T @ (p - truth) + 0.1 * np.array([a - 1.0, b])
-        curve = x.T @ (x * (p * (1 - p))[:, None]) + 0.1 * np.eye(2)
-        step = np.linalg.solve(curve, grad)
+        return x.T @ (p - truth), x.T @ (x * (p * (1 - p))[:, None])
+
+    return _newton(sums)
+
+
+def _newton(sums) -> tuple[float, float]:
+    a, b = 1.0, 0.0
+    for _ in range(30):
+        grad, curve = sums(a, b)
+        grad = grad + 0.1 * np.array([a - 1.0, b])
+        step = np.linalg.solve(curve + 0.1 * np.eye(2), grad)
         a, b = a - step[0], b - step[1]
         if abs(step).max() < 1e-8:
             break
@@ -206,20 +254,103 @@ def _findings(docs: DataFrame) -> DataFrame:
     return map_rows(docs, make, "doc_id long, start int, secret int, piece string")
 
 
-def train(docs: DataFrame, max_findings: int = 4000, min_recall: float = 0.99, seed: int = 3) -> Network | None:
-    """Network from at most ``max_findings`` findings, half of each label, chosen by hash."""
+#: Tasks that shards are dealt to at most; each sends one sum of weights to the driver in a round.
+_TASKS = 256
+
+
+def train(docs: DataFrame, max_findings: int = 4000, min_recall: float = 0.99, seed: int = 3, rounds: int = 12) -> Network | None:
+    """Network from all findings, in shards of about ``max_findings`` if there are more."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = (F.xxhash64("doc_id", "start"), "doc_id", "start", "piece")
-    half = max_findings // 2
     found = stored(_findings(rows), "findings")
-    sample = [
-        r for label in (1, 0)
-        for r in found.where(F.col("secret") == label).orderBy(*order).limit(half).toLocalIterator()
-    ]
-    truth = np.array([r.secret for r in sample])
-    if min(truth.sum(), len(truth) - truth.sum()) < 8:
+    size, secret = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("secret"), F.lit(0))).first()
+    if min(secret, size - secret) < 8:
         return None
-    return fit([r.piece for r in sample], truth, min_recall, seed)
+    if size <= max_findings:
+        own = [r for label in (1, 0) for r in found.where(F.col("secret") == label).orderBy(*order).toLocalIterator()]
+        return fit([r.piece for r in own], np.array([r.secret for r in own]), min_recall, seed, rounds)
+    shards = -(-size // max_findings)
+    shard = F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(shards)).cast("int")
+    dealt = found.withColumn("shard", shard).repartition(min(shards, _TASKS), "shard")
+    dealt = stored(dealt.sortWithinPartitions("shard", F.desc("secret"), *order).select("shard", "secret", "piece"), "shards")
+    return _fit_shards(dealt, min_recall, seed, rounds)
+
+
+def _over_shards(dealt: DataFrame, make, schema: str) -> DataFrame:
+    """``make`` of each shard's number, pieces and labels: RecordBatches. A shard is brought together in one task."""
+
+    def task(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield make(held[0][0], [r[2] for r in held], np.array([r[1] for r in held]))
+                    held.clear()
+                held.append(row)
+        if held:
+            yield make(held[0][0], [r[2] for r in held], np.array([r[1] for r in held]))
+
+    together = dealt.repartition(min(dealt.select("shard").distinct().count(), _TASKS), "shard")
+    return together.sortWithinPartitions("shard", F.desc("secret"), F.xxhash64("piece"), "piece").mapInArrow(task, schema)
+
+
+def _fit_shards(dealt: DataFrame, min_recall: float, seed: int, rounds: int) -> Network:
+    """The same as ``fit`` where no task has all findings."""
+    state = _State(_new(np.random.default_rng(seed))).flat()
+    for number in range(rounds):
+
+        def epoch(shard: int, texts: list[str], truth: np.ndarray, number=number, start=state) -> pa.RecordBatch:
+            _, _, x, y = _dealt(texts, truth, np.random.default_rng((seed, shard)))
+            own = _State.of(start)
+            own.epoch(x, y, np.random.default_rng((seed, shard, number)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int32()), pa.array([len(texts)], pa.int64()), pa.array([own.flat() * len(texts)], pa.list_(pa.float64()))],
+                ["shard", "n", "state"],
+            )
+
+        # summed where they are made, in the order of the shards
+        summed = _over_shards(dealt, epoch, "shard int, n long, state array<double>").mapInArrow(_summed, "n long, state array<double>")
+        n, total = 0, np.zeros(len(state))
+        for row in summed.toLocalIterator():
+            n, total = n + row.n, total + np.array(row.state)
+        state = total / n
+    net = _State.of(state).net
+    net.seen = n
+
+    def held(shard: int, texts: list[str], truth: np.ndarray) -> pa.RecordBatch:
+        x, y, _, _ = _dealt(texts, truth, np.random.default_rng((seed, shard)))
+        return pa.RecordBatch.from_arrays([pa.array(net.logits(x)), pa.array(y)], ["z", "y"])
+
+    outputs = stored(_over_shards(dealt, held, "z double, y double"), "held")
+    grouped = stored(outputs.groupBy("z", "y").agg(F.count(F.lit(1)).alias("n")), "held_counts")
+
+    def sums(a: float, b: float) -> tuple[np.ndarray, np.ndarray]:
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.lit(a) * F.col("z") + F.lit(b)))))
+        gap, w = F.col("n") * (p - F.col("y")), F.col("n") * p * (1 - p)
+        parts = (gap * F.col("z"), gap, w * F.col("z") * F.col("z"), w * F.col("z"), w)
+        g0, g1, c00, c01, c11 = grouped.agg(*[F.sum(x).alias(f"s{k}") for k, x in enumerate(parts)]).first()
+        return np.array([g0, g1]), np.array([[c00, c01], [c01, c11]])
+
+    net.slope, net.offset = _newton(sums)
+    secrets = grouped.where("y = 1").select("z", "n")
+    size = secrets.agg(F.sum("n")).first()[0]
+    if size:
+        at = int((1 - min_recall) * size)
+        z = with_starts(secrets, ["z"]).where((F.col("start") <= at) & (F.col("start") + F.col("n") > at)).first().z
+        net.threshold = float(min(0.5, _logistic(net.slope * z + net.offset)))
+    return net
+
+
+def _summed(batches):
+    """The sums of a task's rows as one row."""
+    n, total = 0, None
+    for batch in batches:
+        for k in range(batch.num_rows):
+            own = batch.column("state")[k].values.to_numpy()
+            total = own if total is None else total + own
+            n += batch.column("n")[k].as_py()
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.list_(pa.float64()))], ["n", "state"])
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
