@@ -131,3 +131,11 @@ def test_many_groups_of_loads(spark, monkeypatch, load_rows, run_rows):
     monkeypatch.setattr(knn, "RUN_ROWS", run_rows)
     rows = clustered(400, 4, 9)
     assert run(spark, rows, 4, block_rows=8) == brute(rows, 4)
+
+
+def test_tasks_are_sent_few_meetings_at_once(spark, monkeypatch):
+    sent, plain = [], knn._probe
+    monkeypatch.setattr(knn, "_probe", lambda *a: sent.append(spark.conf.get(knn._SENT)) or plain(*a))
+    rows = [(i, [float(i), 1.0]) for i in range(20)]
+    assert run(spark, rows, 2) == brute(rows, 2)
+    assert int(sent[0].rstrip("bB")) <= 8 << 20
