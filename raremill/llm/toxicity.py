@@ -8,12 +8,10 @@ among the examples if it leans to toxic ones. A text's score is a vote of its
 ``neighbours`` nearest examples by exact cosine, weighted by similarity and calibrated by
 a logistic curve on votes that leave each example out of its own vote.
 
-The search is exact: posting lists hold each term's examples, cut at blocks of examples
-that lie close together, with the largest weight of the term in each block. Lists of
-frequent terms are dense rows, multiplied for a batch of texts at once. Blocks with the
-largest bounds (their best sum over frequent terms and the largest weights of the others)
-are scored first; then all those that can still hold a nearer example. Ties go to the
-smaller example number.
+The search is exact: posting lists hold each term's examples, and all that a text's terms
+meet are summed. Lists of frequent terms are dense rows, multiplied for a batch of texts at
+once. Ties go to the smaller example number. ``train_and_score`` counts the terms of its texts
+once, for the document frequencies and for their scores.
 
 A text that shares no term with any example, among them null and empty ones, gets the
 share of toxic examples among examples without terms, or among all if each has one.
@@ -36,13 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raremill.llm.tasks import map_rows, stored
+from raremill.llm.tasks import int_lists, map_rows, stored
 
 _WORD = re.compile(r"\w+")
-_REMEMBERED = 200_000
-_BLOCK = 128
+_REMEMBERED = 50_000
 #: A term of one example in this many has a dense row.
-_DENSE = 16
+_DENSE = 8
 #: Texts multiplied at once.
 _AT_ONCE = 64
 #: Least strength of a term, and the chi-square at which it is a half.
@@ -71,15 +68,6 @@ class Vectors:
         own = self._seen[word] = tuple(self.at[t] for t in terms_of(word) if t in self.at)
         return own
 
-    def met(self, text: str | None) -> set[int]:
-        if len(self._seen) > _REMEMBERED:
-            self._seen = {}
-        get, out = self._seen.get, set()
-        for word in set(words_of(text)):
-            own = get(word)
-            out.update(self._look(word) if own is None else own)
-        return out
-
     def counts(self, text: str | None) -> dict[int, int]:
         if len(self._seen) > _REMEMBERED:
             self._seen = {}
@@ -90,6 +78,17 @@ class Vectors:
                 out[k] = out.get(k, 0) + tf
         return out
 
+    def arrays(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The same as places in the vocabulary, rising, and frequencies."""
+        return _arrays(self.counts(text))
+
+
+def _arrays(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.fromiter(counts.keys(), np.int32, len(counts))
+    tf = np.fromiter(counts.values(), np.int32, len(counts))
+    by = np.argsort(at)
+    return at[by], tf[by]
+
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each range, one range after the other."""
@@ -98,55 +97,36 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class Postings:
-    """Posting lists of the examples' terms in runs, one for each block of examples in
-    which the term stands, with the run's largest weight. Terms of one example in
-    ``_DENSE`` or more have a row of all examples instead."""
+    """Posting lists of the examples' terms. Terms of one example in ``_DENSE`` or more have
+    a row of all examples instead."""
 
     def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
-        # examples lie by their strongest term among those of one example in 20 or more (texts of
-        # a kind and of a language come together), then by their strongest of all
+        self.n = n
         df = np.bincount(term, minlength=n_terms)
-        self.number = np.unique(example)  # examples with terms, in the order of blocks
-        kind, best = np.full(n, -1), np.full(n, -1)
-        by = np.lexsort((-term, weight))
-        best[example[by]] = term[by]
-        by = by[df[term[by]] * 20 >= n]
-        kind[example[by]] = term[by]
-        self.number = self.number[np.lexsort((self.number, best[self.number], kind[self.number]))]
-        place = np.zeros(n, np.int64)
-        place[self.number] = np.arange(len(self.number))
         frequent = np.flatnonzero((df * _DENSE >= n) & (df > 0))
         self.row = np.full(n_terms, -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
         dense = self.row[term] >= 0
-        self._cells = self.row[term[dense]], place[example[dense]], weight[dense]
+        self._cells = self.row[term[dense]], example[dense].astype(np.int32), weight[dense]
         self._rows = len(frequent)
         example, term, weight = example[~dense], term[~dense], weight[~dense]
-        by = np.lexsort((place[example], term))
-        self.place = place[example[by]]
+        by = np.lexsort((example, term))
+        self.place = example[by].astype(np.int32)
         self.weight = weight[by]
-        term, block = term[by], self.place // _BLOCK
-        new = np.ones(len(by), bool)
-        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        starts = np.flatnonzero(new)
-        self.run = np.append(starts, len(by)).astype(np.int32)
-        self.run_block = block[starts].astype(np.int32)
-        self.peak = np.maximum.reduceat(self.weight, starts) if len(starts) else self.weight
-        self.term = np.searchsorted(term[starts], np.arange(n_terms + 1)).astype(np.int32)
-        self.blocks = -(-len(self.number) // _BLOCK)
+        self.term = np.searchsorted(term[by], np.arange(n_terms + 1)).astype(np.int32)
 
     def __getstate__(self):
         return {name: own for name, own in self.__dict__.items() if name != "_dense"}
 
     @cached_property
     def _dense(self) -> np.ndarray:
-        out = np.zeros((self._rows, len(self.number)))
+        out = np.zeros((self._rows, self.n))
         row, place, weight = self._cells
         out[row, place] = weight
         return out
 
     def frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Dot products over the frequent terms, of each vector with each example by place."""
+        """Dot products over the frequent terms, of each vector with each example."""
         own = np.zeros((len(vectors), self._rows))
         for k, (at, w) in enumerate(vectors):
             row = self.row[at]
@@ -156,63 +136,44 @@ class Postings:
     def nearest(self, at, w, base: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and dot products of the ``k`` nearest examples that share a term; ``base``
         holds the vector's dot products over the frequent terms."""
-        if not self.blocks:
-            return np.empty(0, np.int64), np.empty(0)
         rare = self.row[at] < 0
         at, w = at[rare], w[rare]
         length = self.term[at + 1] - self.term[at]
-        runs, own = _ranges(self.term[at], length), np.repeat(w, length)
-        block = self.run_block[runs]
-        most = np.maximum.reduceat(base, np.arange(0, len(base), _BLOCK))
-        bound = most + np.bincount(block, own * self.peak[runs], self.blocks)
-        todo = np.zeros(self.blocks, bool)
-        todo[np.argsort(-bound, kind="stable")[: 1 + -(-k // _BLOCK)]] = True
-        found, scores = self._best(runs, own, block, todo, base, k, skip)
-        # a little room for rounding, so that a tie is never passed over
-        least = scores[-1] - 1e-9 if len(scores) == k else 0.0
-        rest = (bound > 0) & (bound >= least) & ~todo
-        if rest.any():
-            more, others = self._best(runs, own, block, rest, base, k, skip)
-            found, scores = np.concatenate([found, more]), np.concatenate([scores, others])
-            best = np.lexsort((found, -scores))[:k]
-            found, scores = found[best], scores[best]
-        return found, scores
-
-    def _best(self, runs, own, block, todo, base, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        use = todo[block]
-        runs, own = runs[use], own[use]
-        length = self.run[runs + 1] - self.run[runs]
-        at = _ranges(self.run[runs], length)
-        dots = np.bincount(self.place[at], np.repeat(own, length) * self.weight[at], len(base)) + base
-        dots = np.round(dots, 12)
-        near = np.flatnonzero((dots > 0) & np.repeat(todo, _BLOCK)[: len(base)])
-        near = near[self.number[near] != skip]
-        if len(near) > k:
-            near = near[dots[near] >= -np.partition(-dots[near], k - 1)[k - 1]]
-        best = near[np.lexsort((self.number[near], -dots[near]))[:k]]
-        return self.number[best], dots[best]
+        lists = _ranges(self.term[at], length)
+        dots = np.round(np.bincount(self.place[lists], np.repeat(w, length) * self.weight[lists], self.n) + base, 12)
+        if skip >= 0:
+            dots[skip] = 0
+        least = np.partition(dots, self.n - k)[self.n - k] if self.n > k else 0.0
+        near = np.flatnonzero((dots > 0) & (dots >= least))
+        best = near[np.lexsort((near, -dots[near]))[:k]]
+        return best, dots[best]
 
 
 @dataclass
 class Model:
     terms: list[str]
     idf: np.ndarray
-    factor: np.ndarray  # of each term: idf * strength
-    telling: np.ndarray  # terms named as evidence
     example_ids: np.ndarray
     toxic: np.ndarray
-    postings: Postings
+    postings: Postings | np.ndarray  # or the weights of each example's terms
     neighbours: int
     empty_score: float
+    factor: np.ndarray | None = None  # of each term: idf * strength; None: idf
+    telling: np.ndarray | None = None  # terms named as evidence
     slope: float = 1.0
     offset: float = 0.0
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(counts.keys(), np.int64, len(counts))
-        tf = np.fromiter(counts.values(), float, len(counts))
-        by = np.argsort(at)
-        at = at[by]
-        w = (1 + np.log(tf[by])) * self.factor[at]
+    def __post_init__(self):
+        if isinstance(self.postings, np.ndarray):
+            example, term = np.nonzero(self.postings)
+            self.postings = Postings(example, term, self.postings[example, term], *self.postings.shape)
+        if self.factor is None:
+            self.factor = self.idf
+        if self.telling is None:
+            self.telling = np.zeros(len(self.terms), bool)
+
+    def vector(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(tf)) * self.factor[at]
         return at, w / np.sqrt((w * w).sum())
 
     def nearest(self, vectors, skip=None):
@@ -227,14 +188,18 @@ class Model:
         for found, cos in self.nearest(vectors, skip):
             yield (float(cos @ self.toxic[found] / cos.sum()) if len(found) else None), found, cos
 
-    def scores(self, texts: list[dict[int, int]]) -> list[tuple[float, list[int], list[float]]]:
-        out = [(self.empty_score, [], [])] * len(texts)
-        some = [k for k, counts in enumerate(texts) if counts]
-        for k, (vote, found, cos) in zip(some, self.votes([self.vector(texts[k]) for k in some]), strict=True):
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, numbers, cosines) of texts given as places of terms and frequencies."""
+        out = [(self.empty_score, np.empty(0, np.int64), np.empty(0))] * len(texts)
+        some = [k for k, (at, _) in enumerate(texts) if len(at)]
+        for k, (vote, found, cos) in zip(some, self.votes([self.vector(*texts[k]) for k in some]), strict=True):
             if vote is not None:
-                out[k] = float(_logistic(self.slope * vote + self.offset)), found.tolist(), cos.tolist()
+                out[k] = float(_logistic(self.slope * vote + self.offset)), found, cos
         return out
 
+    def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
+        return self.scores([_arrays(counts)])[0]
+
 
 def _logistic(x):
     return 1 / (1 + np.exp(-x))
@@ -283,11 +248,8 @@ def _examples(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     return one.select("doc_id", "r.*")
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, max_examples: int = 4096, neighbours: int = 25
-) -> Model:
-    """Model from at most ``max_examples`` labelled documents (chosen by a hash of the id),
-    with all their terms; document frequencies are taken over all of ``docs``."""
+def _labelled(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple:
+    """Ids and labels of the examples, their (example, term, tf) triples and all their terms."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     examples = _examples(docs, labels, max_examples).toArrow().sort_by("doc_id").combine_chunks()
@@ -303,7 +265,21 @@ def train(
     terms = named[order].tolist()
     tf = examples.column("tfs").combine_chunks().flatten().to_numpy()
     lengths = lists.value_lengths().to_numpy()
-    return fit(ids, toxic, np.repeat(np.arange(len(ids)), lengths), term, tf, terms, _idf(docs, terms), neighbours)
+    return ids, toxic, np.repeat(np.arange(len(ids)), lengths), term, tf, terms
+
+
+def train(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, neighbours: int = 25) -> Model:
+    """Model from at most ``max_examples`` labelled documents (chosen by a hash of the id),
+    with all their terms; document frequencies are taken over all of ``docs``."""
+    examples = _labelled(docs, labels, max_examples)
+    return fit(*examples, _idf(_counted(docs, examples[-1]), len(examples[-1])), neighbours)
+
+
+def train_and_score(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, neighbours: int = 25) -> DataFrame:
+    """``docs`` scored by the model that they and ``labels`` train; their terms are counted once and stored."""
+    examples = _labelled(docs, labels, max_examples)
+    counted = stored(_counted(docs, examples[-1]), "counted", "zstd")
+    return _scored(counted, fit(*examples, _idf(counted, len(examples[-1])), neighbours))
 
 
 def _strength(df: np.ndarray, hits: np.ndarray, n: int, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -330,7 +306,7 @@ def fit(ids, toxic, example, term, tf, terms: list[str], idf: np.ndarray, neighb
     bare = np.bincount(example, minlength=n) == 0
     empty = float(toxic[bare].mean()) if bare.any() else share
     postings = Postings(example, term, weight, n, m)
-    model = Model(terms, idf, factor, chi2 >= TELLING, ids, toxic, postings, neighbours, empty)
+    model = Model(terms, idf, ids, toxic, postings, neighbours, empty, factor, chi2 >= TELLING)
     bounds = np.searchsorted(example, np.arange(n + 1))
     full = np.flatnonzero(~bare)
     vectors = [(term[a:b], weight[a:b]) for a, b in zip(bounds[full], bounds[full + 1], strict=True)]
@@ -341,54 +317,76 @@ def fit(ids, toxic, example, term, tf, terms: list[str], idf: np.ndarray, neighb
     return model
 
 
-def _idf(docs: DataFrame, terms: list[str]) -> np.ndarray:
-    """ln((1 + N) / (1 + df)) + 1 with N and df over all documents."""
+def _counted(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, at, tf): the known terms of each text, rising, and how often each stands there."""
 
     def make():
         vectors = Vectors(terms)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            met = [-1] * batch.num_rows
-            for text in batch.column(0).to_pylist():
-                met.extend(vectors.met(text))
-            k, df = np.unique(np.array(met, np.int32), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(df, pa.int64())], ["k", "df"])
+            found = [vectors.arrays(text) for text in batch.column(1).to_pylist()]
+            sizes = [len(at) for at, _ in found]
+            lists = [int_lists(np.concatenate([x[k] for x in found]), sizes) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "at", "tf"])
 
         return step
 
-    found = map_rows(docs.select("text"), make, "k int, df long").groupBy("k").agg(F.sum("df").alias("df"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return map_rows(rows, make, "doc_id long, at array<int>, tf array<int>")
+
+
+def _idf(counted: DataFrame, n_terms: int) -> np.ndarray:
+    """ln((1 + N) / (1 + df)) + 1 with N and df over all documents."""
+
+    def task(batches):
+        n, df = 0, np.zeros(n_terms, np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            df += np.bincount(batch.column(0).flatten().to_numpy(), minlength=n_terms)
+        met = np.flatnonzero(df)
+        k, df = np.append(met, -1).astype(np.int32), np.append(df[met], n)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(df, pa.int64())], ["k", "df"])
+
+    found = counted.select("at").mapInArrow(task, "k int, df long").groupBy("k").agg(F.sum("df").alias("df"))
     df = {r.k: r.df for r in found.toLocalIterator()}
-    counts = np.array([df.get(k, 0) for k in range(len(terms))], float)
+    counts = np.array([df.get(k, 0) for k in range(n_terms)], float)
     return np.log((1 + df.get(-1, 0)) / (1 + counts)) + 1
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, and as evidence the nearest examples and the terms met."""
+    return _scored(_counted(docs, model.terms, id_col, text_col), model)
+
+
+def _scored(counted: DataFrame, model: Model) -> DataFrame:
     own = model  # travels with the function, code and all
 
     def make():
-        vectors = Vectors(own.terms)
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            texts = [vectors.counts(text) for text in batch.column(1).to_pylist()]
-            for counts, (score, found, cos) in zip(texts, own.scores(texts), strict=True):
-                near = [{"doc_id": int(own.example_ids[k]), "cosine": c} for k, c in zip(found, cos, strict=True)]
-                rows.append((score, int(score >= 0.5), near, sorted(own.terms[k] for k in counts if own.telling[k])))
-            evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
-            kinds = (pa.float64(), pa.int32(), evidence, pa.list_(pa.string()))
-            arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            names = ["doc_id", "score", "predicted", "nearest", "terms"]
-            return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
+            ends = batch.column(1).offsets.to_numpy()
+            at, tf = (batch.column(k).values.to_numpy() for k in (1, 2))
+            texts = [(at[a:b], tf[a:b]) for a, b in zip(ends, ends[1:])]
+            found = own.scores(texts)
+            score = np.array([s for s, _, _ in found])
+            near = [np.concatenate([x[k] for x in found]) for k in (1, 2)]
+            offsets = pa.array(np.cumsum([0, *(len(x[1]) for x in found)]), pa.int32())
+            evidence = pa.StructArray.from_arrays(
+                [pa.array(own.example_ids[near[0]], pa.int64()), pa.array(near[1])], ["doc_id", "cosine"]
+            )
+            terms = [[own.terms[k] for k in met[own.telling[met]]] for met, _ in texts]
+            arrays = [
+                batch.column(0), pa.array(score), pa.array(score >= 0.5).cast(pa.int32()),
+                pa.ListArray.from_arrays(offsets, evidence), pa.array(terms, pa.list_(pa.string())),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "predicted", "nearest", "terms"])
 
         return step
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = (
         "doc_id long, score double, predicted int, "
         "nearest array<struct<doc_id: bigint, cosine: double>>, terms array<string>"
     )
-    return map_rows(rows, make, schema)
+    return map_rows(counted, make, schema)
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -400,7 +398,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         vectors = Vectors(own.terms)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = own.scores([vectors.counts(t) for t in batch.column(at).to_pylist()])
+            scores = own.scores([vectors.arrays(t) for t in batch.column(at).to_pylist()])
             return batch.filter(pa.array([s[0] < 0.5 for s in scores], pa.bool_()))
 
         return step

@@ -105,6 +105,25 @@ def test_scores_by_brute_force(spark, docs):
         assert [e.doc_id for e in r.nearest] == want[r.doc_id][1]
 
 
+def test_one_count_of_terms_gives_the_same_scores(spark, docs):
+    rows, _, labels = tables(spark, docs)
+    rows += [(900, None), (901, ""), (None, prose(bad=5)), (7, rows[7][1]), (902, "of no known term")]
+    frame = docs(rows)
+    got = toxicity.train_and_score(frame, labels).collect()
+    want = toxicity.scored(frame, toxicity.train(frame, labels)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == len(rows)
+
+
+def test_the_model_is_small(spark, docs):
+    """It travels to every task: 16 bytes at most for each term of an example, and two words for each term."""
+    rows, _, labels = tables(spark, docs, 2000)
+    model = toxicity.train(docs(rows), labels)
+    entries = sum(len(plain_terms(text)) for k, text in rows if k % 2)
+    sent = model.postings.__getstate__()
+    held = sum(a.nbytes for a in [*sent["_cells"], *(v for v in sent.values() if isinstance(v, np.ndarray))])
+    assert held <= 16 * entries + 8 * len(model.terms) + 8
+
+
 def test_document_frequencies_cover_all_rows(spark, docs):
     rows, _, labels = tables(spark, docs)
     model = toxicity.train(docs(rows), labels)
