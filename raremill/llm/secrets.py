@@ -273,10 +273,10 @@ def train(docs: DataFrame, max_findings: int = 4000, min_recall: float = 0.99, s
     shard = F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(shards)).cast("int")
     dealt = found.withColumn("shard", shard).repartition(min(shards, _TASKS), "shard")
     dealt = stored(dealt.sortWithinPartitions("shard", F.desc("secret"), *order).select("shard", "secret", "piece"), "shards")
-    return _fit_shards(dealt, min_recall, seed, rounds)
+    return _fit_shards(dealt, min(shards, _TASKS), min_recall, seed, rounds)
 
 
-def _over_shards(dealt: DataFrame, make, schema: str) -> DataFrame:
+def _over_shards(dealt: DataFrame, tasks: int, make, schema: str) -> DataFrame:
     """``make`` of each shard's number, pieces and labels: RecordBatches. A shard is brought together in one task."""
 
     def task(batches):
@@ -290,11 +290,11 @@ def _over_shards(dealt: DataFrame, make, schema: str) -> DataFrame:
         if held:
             yield make(held[0][0], [r[2] for r in held], np.array([r[1] for r in held]))
 
-    together = dealt.repartition(min(dealt.select("shard").distinct().count(), _TASKS), "shard")
+    together = dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))
     return together.sortWithinPartitions("shard", F.desc("secret"), F.xxhash64("piece"), "piece").mapInArrow(task, schema)
 
 
-def _fit_shards(dealt: DataFrame, min_recall: float, seed: int, rounds: int) -> Network:
+def _fit_shards(dealt: DataFrame, tasks: int, min_recall: float, seed: int, rounds: int) -> Network:
     """The same as ``fit`` where no task has all findings."""
     state = _State(_new(np.random.default_rng(seed))).flat()
     for number in range(rounds):
@@ -308,10 +308,10 @@ def _fit_shards(dealt: DataFrame, min_recall: float, seed: int, rounds: int) ->
                 ["shard", "n", "state"],
             )
 
-        # summed where they are made, in the order of the shards
-        summed = _over_shards(dealt, epoch, "shard int, n long, state array<double>").mapInArrow(_summed, "n long, state array<double>")
+        # summed where they are made; one row a task, of which all tasks train at the same time
+        summed = _over_shards(dealt, tasks, epoch, "shard int, n long, state array<double>").mapInArrow(_summed, "n long, state array<double>")
         n, total = 0, np.zeros(len(state))
-        for row in summed.toLocalIterator():
+        for row in summed.collect():
             n, total = n + row.n, total + np.array(row.state)
         state = total / n
     net = _State.of(state).net
@@ -321,7 +321,7 @@ def _fit_shards(dealt: DataFrame, min_recall: float, seed: int, rounds: int) ->
         x, y, _, _ = _dealt(texts, truth, np.random.default_rng((seed, shard)))
         return pa.RecordBatch.from_arrays([pa.array(net.logits(x)), pa.array(y)], ["z", "y"])
 
-    outputs = stored(_over_shards(dealt, held, "z double, y double"), "held")
+    outputs = stored(_over_shards(dealt, tasks, held, "z double, y double"), "held")
     grouped = stored(outputs.groupBy("z", "y").agg(F.count(F.lit(1)).alias("n")), "held_counts")
 
     def sums(a: float, b: float) -> tuple[np.ndarray, np.ndarray]:
