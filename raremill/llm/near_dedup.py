@@ -8,7 +8,7 @@ their similarity, and the full sets decide.
 
 Documents are linked in three rounds, each of which looks only at different components of
 the links found before. First each member is compared with two leaders of its list (the
-least id and the least hash). Then lists of up to ``LIST`` members are compared in full. A
+least number and the least hash). Then lists of up to ``LIST`` members are compared in full. A
 document enters them by its shortest lists only: a partner shares ``Rule.shared`` values,
 so two partners meet without the longest ``Rule.shared - 1`` lists of either. Last come
 the documents with ``Rule.shared`` values in longer lists (a common passage or template).
@@ -140,21 +140,23 @@ def _possible(u: Column, v: Column, rule: Rule) -> Column:
 def _shared(classes: DataFrame, rule: Rule) -> DataFrame:
     """Classes with at least ``Rule.shared`` retained values that another has too, and
     those values with the length and leaders of their lists, shortest first."""
-    entries = classes.select("node", F.explode(F.slice("values", 1, RETAINED)).alias("value"))
+    # lists hold the numbers of classes, which are short
+    entries = classes.select("number", F.explode(F.slice("values", 1, RETAINED)).alias("value"))
     lists = stored(
         entries.groupBy("value")
         .agg(
-            F.count(F.lit(1)).alias("length"), F.min("node").alias("first"),
-            F.min(F.struct(F.xxhash64("node.digest"), F.col("node"))).alias("second"),
+            F.count(F.lit(1)).alias("length"), F.min("number").alias("first"),
+            F.min(F.struct(F.xxhash64("number"), F.col("number"))).alias("second"),
         )
         .where("length > 1")
-        .select("value", "length", "first", F.col("second.node").alias("second")),
+        .select("value", "length", "first", F.col("second.number").alias("second")),
         "lists",
     )
-    met = entries.join(lists, "value").groupBy("node").agg(
+    met = entries.join(lists, "value").groupBy("number").agg(
         F.sort_array(F.collect_list(F.struct("length", "value", "first", "second"))).alias("lists")
     )
-    return stored(met.where(F.size("lists") >= _least(F.col("node"), rule)), "shared")
+    named = met.join(classes.select("number", "node"), "number")
+    return stored(named.where(F.size("lists") >= _least(F.col("node"), rule)).select("number", "node", "lists"), "shared")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -212,11 +214,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     return map_rows(full, make, f"u {kind}, v {kind}")
 
 
-def _first_round(shared: DataFrame, rule: Rule) -> DataFrame:
+def _first_round(shared: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Each class with the leaders of its lists."""
     leaders = F.flatten(F.transform("lists", lambda x: F.array(x["first"], x["second"])))
-    pairs = shared.select(F.col("node").alias("a"), F.explode(F.array_distinct(leaders)).alias("b"))
-    pairs = pairs.where((F.col("a") != F.col("b")) & _possible(F.col("a"), F.col("b"), rule))
+    pairs = shared.select("number", F.col("node").alias("a"), F.explode(F.array_distinct(leaders)).alias("leader"))
+    named = classes.select(F.col("number").alias("leader"), F.col("node").alias("b"))
+    pairs = pairs.where("number != leader").join(named, "leader").where(_possible(F.col("a"), F.col("b"), rule))
     return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
@@ -305,10 +308,10 @@ def near_duplicates(
     # equal sets have equal sketches: the class is named by its least id
     classes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "low", "high", "values")).alias("r"))
     classes = stored(
-        classes.select("digest", "r.*").select(_node().alias("node"), "values"), "classes"
+        classes.select("digest", "r.*").select(F.monotonically_increasing_id().alias("number"), _node().alias("node"), "values"), "classes"
     )
     shared = _shared(classes, rule)
-    edges = stored(_verified(_estimated(_first_round(shared, rule), classes, rule), rows, rule), "links")
+    edges = stored(_verified(_estimated(_first_round(shared, classes, rule), classes, rule), rows, rule), "links")
     labels = components(edges)
     more = stored(_verified(_estimated(_second_round(shared, labels, rule), classes, rule), rows, rule), "links")
     if more.head(1):
