@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +38,19 @@ def _plain(text: str) -> bool:
     return not any(pair in kinds for pair in _UNCLEAR)
 
 
-class _Chunks(dict):
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
+def _symbols() -> dict[int, str]:
+    """How a byte-level vocabulary writes each byte. The line feed is a word of its own, chunks are parted by zeros."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in own]
+    found = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return found | {10: f"{found[10]} ", 0: " "}
 
-    def __missing__(self, key: str) -> int:
-        self[key] = at = len(self)
-        self.fresh.append(key)
-        return at
+
+_SYMBOLS = _symbols()
+_HEADS = (_SYMBOLS[32], _SYMBOLS[10][0])
+#: Marks that the pattern makes a word of their own after a word.
+_MARKS = "!#$%&*"
+_MARK_RUN = re.compile(f"[{_MARKS}]+")
 
 
 def load(path: str, special_as_text: bool = False):
@@ -69,13 +74,33 @@ class Encoder:
     def __init__(self, path: str | None = None, special_as_text: bool = False):
         self._tokenizer = load(path or default_vocabulary(), special_as_text)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._firsts = {s[0] for s in self._special}
         self._as_text = special_as_text
+        self._words = self._word_tokenizer()
         self._kept: dict = {}
         self._forget()
 
+    def _word_tokenizer(self):
+        """The same model on words that stand in its symbols already: no pattern, no places in the text. None: the
+        vocabulary is not plainly byte-level."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        own, split = self._tokenizer, self._tokenizer.pre_tokenizer
+        vocabulary = own.get_vocab()
+        plain = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
+        if not plain or own.normalizer is not None or own.post_processor is not None:
+            return None
+        if not all(h in vocabulary for h in _HEADS) or any(s.strip().isalpha() for s in self._special):
+            return None
+        words = Tokenizer(own.model)
+        words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self._starts = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._starts[[k for token, k in vocabulary.items() if token.startswith(_HEADS)]] = True
+        return words
+
     def _forget(self) -> None:
         """Keep only the chunks that were met again since the last time."""
-        old, ids, ends = _Chunks(), np.empty(0, np.int32), np.zeros(1, np.int64)
+        old, ids, ends = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
         if self._kept:
             again = np.flatnonzero(self._kept["uses"] > 1)
             if len(again) < REMEMBERED // 2:
@@ -96,28 +121,46 @@ class Encoder:
         """Marks before which the text may be cut; None: it must be encoded whole."""
         if not text or "\0" in text:
             return None
-        if not self._as_text and any(s in text for s in self._special):
+        if not self._as_text and any(c in text for c in self._firsts) and any(s in text for s in self._special):
             return None
         if _plain(text):
             return _FINE
         return None if _SPACE_RUN.search(text) else _COARSE
 
-    def _learn(self) -> None:
-        """Encode the chunks met for the first time, a thousand at once. Chunks of a space
-        and letters are one piece each, so they can be encoded as one text."""
-        kept, chunks = self._kept, self._kept["chunks"]
-        fresh, chunks.fresh = chunks.fresh, []
-        plain = [c[:1] == " " and c[1:].isalpha() for c in fresh]
+    def _codes(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of distinct ``chunks``; those met for the first time are encoded."""
+        known = self._kept["chunks"]
+        codes = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            fresh = [chunks[k] for k in new.tolist()]
+            codes[new] = np.arange(len(known), len(known) + len(fresh))
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            self._learn(fresh)
+        return codes
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode chunks, a thousand at once. Those of a space or line feed, letters and perhaps marks are encoded as
+        one text of words, where a chunk begins with the only token that begins with its space or line feed."""
+        kept = self._kept
+        plain = [self._words is not None and c[:1] in " \n" and c[1:].rstrip(_MARKS).isalpha() for c in fresh]
         ids, counts = [], []
         for wanted in (True, False):
             own = [c for c, p in zip(fresh, plain, strict=True) if p == wanted]
             groups = [own[at : at + 1000] for at in range(0, len(own), 1000)]
-            texts = ["".join(g) for g in groups] if wanted else groups
-            found = self._tokenizer.encode_batch(texts, is_pretokenized=not wanted, add_special_tokens=False)
-            ids += [np.array(e.ids, np.int32) for e in found]
-            counts += [
-                np.bincount(np.array(e.word_ids, np.int64), minlength=len(g)) for e, g in zip(found, groups, strict=True)
-            ]
+            if wanted:
+                texts = ["\0".join(g).encode().decode("latin-1").translate(_SYMBOLS) for g in groups]
+                texts = [_MARK_RUN.sub(r" \g<0>", t) for t in texts]
+                found = self._words.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+                ids += [np.array(e.ids, np.int32) for e in found]
+                firsts = [np.flatnonzero(self._starts[one]) for one in ids]
+                counts += [np.diff(f, append=len(one)) for f, one in zip(firsts, ids, strict=True)]
+            else:
+                found = self._tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)
+                ids += [np.array(e.ids, np.int32) for e in found]
+                counts += [
+                    np.bincount(np.array(e.word_ids, np.int64), minlength=len(g)) for e, g in zip(found, groups, strict=True)
+                ]
         # back from the order of encoding to that of the chunks
         order = np.argsort(~np.array(plain, bool), kind="stable")
         lengths = np.concatenate([np.empty(0, np.int64), *counts])
@@ -149,10 +192,7 @@ class Encoder:
             sizes.append(np.diff(cut.offsets.to_numpy()))
         # each distinct piece of the batch is looked up once
         coded = pa.chunked_array(pieces).combine_chunks().dictionary_encode()
-        look = self._kept["chunks"].__getitem__
-        codes = np.fromiter(map(look, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        if self._kept["chunks"].fresh:
-            self._learn()
+        codes = self._codes(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         codes = codes[coded.indices.to_numpy()]
         self._kept["uses"] += np.bincount(codes, minlength=len(self._kept["uses"]))
         flat, lengths = self._gather(codes)

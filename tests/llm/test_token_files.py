@@ -38,6 +38,33 @@ def test_any_text(texts):
     assert flat.tolist() == [i for w in want for i in w]
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abéªЖ中1 \n.,$!*'"), max_size=30), max_size=5))
+def test_words_with_marks(plain, texts):
+    flat, counts = Encoder().encode(texts)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want]
+    assert flat.tolist() == [i for w in want for i in w]
+
+
+def test_words_are_encoded_without_the_pattern(plain):
+    """Words, also after a line feed or before marks, go to the model in its own symbols."""
+    own = Encoder()
+
+    class Slow:
+        def encode_batch(self, groups, **_):
+            assert groups == [[""]]  # before the first word of a text
+            return plain.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)
+
+        def encode_batch_fast(self, texts, **_):
+            return [plain.encode(t, add_special_tokens=False) for t in texts]
+
+    own._tokenizer = Slow()
+    texts = [" Éa\nFor née", " one two three$$$ four\nfive"]
+    flat, _ = own.encode(texts)
+    assert flat.tolist() == [i for t in texts for i in plain.encode(t, add_special_tokens=False).ids]
+
+
 def test_files_read_back(spark, docs, plain, tmp_path):
     rows = [(9 - k, t) for k, t in enumerate(TEXTS)] + [(5, None), (5, "again"), (None, "no id")]
     path = str(tmp_path / "t")
