@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
+from itertools import compress, repeat
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ _KINDS = bytes(
     for c in map(chr, range(256))
 )
 _UNCLEAR = (b"  ", b"w ", b" .", b"w.", b"p.", b"..")
+_UNCLEAR_PLAIN = tuple(pair for pair in _UNCLEAR if b"w" not in pair)
 
 
 def _plain(text: str) -> bool:
@@ -35,24 +37,32 @@ def _plain(text: str) -> bool:
         kinds = text.encode("latin-1").translate(_KINDS)
     except UnicodeEncodeError:
         return False
-    return not any(pair in kinds for pair in _UNCLEAR)
+    return not any(pair in kinds for pair in (_UNCLEAR if b"w" in kinds else _UNCLEAR_PLAIN))
 
 
-def _symbols() -> dict[int, str]:
-    """How a byte-level vocabulary writes each byte. The line feed is a word of its own, chunks are parted by zeros."""
+def _symbols() -> np.ndarray:
+    """How a byte-level vocabulary writes each byte; zeros, which part words, as spaces."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    others = [b for b in range(256) if b not in own]
-    found = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
-    return found | {10: f"{found[10]} ", 0: " "}
+    found = np.zeros(256, "<u4")
+    found[own] = own
+    found[found == 0] = np.arange(256, 512 - len(own))
+    found[0] = 32
+    return found
 
 
 _SYMBOLS = _symbols()
-_HEADS = (_SYMBOLS[32], _SYMBOLS[10][0])
+_HEADS = (chr(_SYMBOLS[32]), chr(_SYMBOLS[10]))
 #: Marks that the pattern makes a word of their own after a word.
 _MARKS = "!#$%&*"
 _MARK_RUN = re.compile(f"[{_MARKS}]+")
 
 
+def _as_symbols(chunks: list[str]) -> str:
+    """The words of ``chunks`` in the vocabulary's symbols; a line feed is a word of its own."""
+    raw = "\0".join(chunks).replace("\n", "\n\0").encode()
+    return _MARK_RUN.sub(r" \g<0>", _SYMBOLS[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le"))
+
+
 def load(path: str, special_as_text: bool = False):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -86,18 +96,24 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         own, split = self._tokenizer, self._tokenizer.pre_tokenizer
-        vocabulary = own.get_vocab()
         plain = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
         if not plain or own.normalizer is not None or own.post_processor is not None:
             return None
-        if not all(h in vocabulary for h in _HEADS) or any(s.strip().isalpha() for s in self._special):
+        if any(own.token_to_id(h) is None for h in _HEADS) or any(s.strip().isalpha() for s in self._special):
             return None
         words = Tokenizer(own.model)
         words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self._starts = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._starts[[k for token, k in vocabulary.items() if token.startswith(_HEADS)]] = True
+        self._heads = np.empty(0, np.int8)  # by id: 1 if its token begins with a space or line feed, 2 if not, 0 if not met
         return words
 
+    def _firsts_of(self, ids: np.ndarray) -> np.ndarray:
+        """Places of tokens that begin with a space or line feed."""
+        if (most := int(ids.max(initial=-1))) >= len(self._heads):
+            self._heads = np.concatenate([self._heads, np.zeros(most + 1 - len(self._heads), np.int8)])
+        for k in np.unique(ids[self._heads[ids] == 0]).tolist():
+            self._heads[k] = 1 if self._tokenizer.id_to_token(k).startswith(_HEADS) else 2
+        return np.flatnonzero(self._heads[ids] == 1)
+
     def _forget(self) -> None:
         """Keep only the chunks that were met again since the last time."""
         old, ids, ends = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
@@ -146,14 +162,13 @@ class Encoder:
         plain = [self._words is not None and c[:1] in " \n" and c[1:].rstrip(_MARKS).isalpha() for c in fresh]
         ids, counts = [], []
         for wanted in (True, False):
-            own = [c for c, p in zip(fresh, plain, strict=True) if p == wanted]
+            own = list(compress(fresh, plain if wanted else map(not_, plain)))
             groups = [own[at : at + 1000] for at in range(0, len(own), 1000)]
             if wanted:
-                texts = ["\0".join(g).encode().decode("latin-1").translate(_SYMBOLS) for g in groups]
-                texts = [_MARK_RUN.sub(r" \g<0>", t) for t in texts]
+                texts = [_as_symbols(g) for g in groups]
                 found = self._words.encode_batch_fast(texts, add_special_tokens=False) if texts else []
                 ids += [np.array(e.ids, np.int32) for e in found]
-                firsts = [np.flatnonzero(self._starts[one]) for one in ids]
+                firsts = map(self._firsts_of, ids)
                 counts += [np.diff(f, append=len(one)) for f, one in zip(firsts, ids, strict=True)]
             else:
                 found = self._tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)

@@ -59,6 +59,9 @@ def test_words_are_encoded_without_the_pattern(plain):
         def encode_batch_fast(self, texts, **_):
             return [plain.encode(t, add_special_tokens=False) for t in texts]
 
+        def id_to_token(self, k):
+            return plain.id_to_token(k)
+
     own._tokenizer = Slow()
     texts = [" Éa\nFor née", " one two three$$$ four\nfive"]
     flat, _ = own.encode(texts)
