@@ -35,10 +35,11 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: Rows of one entity and term that are joined under one key.
 SALTED = 100_000
 #: The same matches as the plain patterns: a run without a match is not tried from its middle,
-#: and digits that are too few for a card are passed over.
-_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: and digits that are too few for a card are passed over. Groups are repeated possessively, as a
+#: run that may be given back takes a frame of the task's stack for each of its parts.
+_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
-_CARD = r"[0-9](?:[\x20-]?[0-9]){11,}"
+_CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _WORD = r"[\p{L}\p{N}]++"
 

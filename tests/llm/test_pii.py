@@ -48,6 +48,15 @@ def test_base_spans(spark, docs):
         assert set(filter(None, listed(want).split(","))) <= set(r.spans.split(","))
 
 
+def test_long_runs(spark, docs):
+    """Digits and labels without end are no depth of the task's stack."""
+    texts = ["1" * 9_000, "1 " * 9_000, "1-" * 9_000 + "x", "a@b" + ".c" * 9_000, "+1" + "(2" * 9_000]
+    found = {r.doc_id: r for r in pii.digests(pii.disclosures(docs(texts))).collect()}
+    for k, text in enumerate(texts):
+        want = brute(text) if k != 3 else [(0, 0, len(text))]
+        assert found[k].base_sha256 == hashlib.sha256(listed(want).encode()).hexdigest()
+
+
 def test_revealing_terms(spark, docs):
     rows = [(k, f"the keeper {k} from Zebulon about the bo@mail.example.com box and more") for k in range(3)]
     rows += [(10 + k, f"the box and more about words number{k} from the keeper") for k in range(40)]
