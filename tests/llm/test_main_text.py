@@ -131,6 +131,39 @@ def test_pages_that_mark_their_article_are_differenced(spark):
     assert got == {k: want(k).replace("Today: n", "N") + "\nThe end." + line(k) for k, _, _ in rows}
 
 
+def test_few_neighbours_tell_too(spark):
+    """On a host of few pages what an article that is not closed takes in goes, a title in the menus of others stays."""
+    head = lambda k, n: "".join(f"<nav>Number {j}</nav>" for j in range(n) if j != k)
+    rows = [
+        (10 * n + k, f"http://h{n}.example/{k}", head(k, n) + (marked(k, "{}</article>") if k == 1 else marked(k)))
+        for n in (2, 3, 4) for k in range(n)
+    ]
+    rows += [(60 + k, f"http://other.example/{k}", f"<article><p>Only {k}</p></article><nav>Only {1 - k}</nav>") for k in range(2)]
+    rows += [(70 + k, f"http://own.example/{k}", marked(k, "<p>Thanks {}</p></article>")) for k in range(3)]
+    got = texts(main_text.main_texts(frame(spark, rows)))
+    text = lambda k: want(k).replace("Today: n", "N") + "\nThe end."
+    expected = {10 * n + k: text(k) for n in (2, 3, 4) for k in range(n)} | {60: "Only 0", 61: "Only 1"}
+    assert got == expected | {70 + k: text(k) + "\nThanks\nImprint and terms" for k in range(3)}
+
+
+def test_marked_page_among_unmarked_ones(spark):
+    rows = [(k, f"http://h.example/{k}", plain(k, body(k))) for k in range(9)]
+    rows[4] = (4, "http://h.example/4", f"<article>{plain(4, body(4))}</article>")
+    assert texts(main_text.main_texts(frame(spark, rows))) == {k: want(k) for k in range(9)}
+
+
+def test_pages_that_are_mostly_template(spark):
+    """All neighbours share most of the text: short pages, and one of many copies."""
+    menu = " ".join(f"entry-{j}-of-a-long-menu" for j in range(40))
+    rows = [(k, f"http://short.example/{k:02d}", plain(k, body(k, 1), menu)) for k in range(30)]
+    rows += [(100 + k, f"http://copies.example/{k:02d}", plain(*((50, body(50)) if 20 <= k < 60 else (k, body(k))))) for k in range(120)]
+    rows += [(300 + k, f"http://two.example/{k}", plain(k, body(k, 1), menu)) for k in range(2)]
+    got = texts(main_text.main_texts(frame(spark, rows).repartition(3), block=16))
+    expected = {k: want(k, 1) for k in range(30)} | {100 + k: want(50 if 20 <= k < 60 else k) for k in range(120)}
+    assert {k: v for k, v in got.items() if k < 300} == expected
+    assert all(got[k].startswith("entry-0-") for k in (300, 301))
+
+
 def test_pages_of_one_path(spark, monkeypatch):
     """Very many pages of one path are dealt to several tasks and differenced with other paths."""
     monkeypatch.setattr(main_text, "_MOST", 50)
